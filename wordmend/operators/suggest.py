@@ -162,16 +162,15 @@ def _staged_rank(hits: DataFrame) -> DataFrame:
     return hits.select("word", "candidate", at.alias("at"))
 
 
-def _hits_by_broadcast(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+def _hits_by_broadcast(words: DataFrame, dictionary: DataFrame, kinds: str) -> DataFrame:
     """All sources against a broadcast index: the words stay where they are."""
-    prefix = _entries(
-        dictionary.where(F.char_length("word") >= 2), _key(PREFIX, F.left("word", F.lit(2)))
-    )
-    index = (
-        prefix.unionByName(_entries(dictionary, _key(VARIANT, F.col("word"))))
-        .unionByName(_fixed_entries(dictionary))
-    )
-    return _match(words, _probes(ALWAYS + SHORT + PREFIX + VARIANT), F.broadcast(index))
+    index = _fixed_entries(dictionary)
+    if PREFIX in kinds:
+        two = dictionary.where(F.char_length("word") >= 2)
+        index = index.unionByName(_entries(two, _key(PREFIX, F.left("word", F.lit(2)))))
+    if VARIANT in kinds:
+        index = index.unionByName(_entries(dictionary, _key(VARIANT, F.col("word"))))
+    return _match(words, _probes(kinds), F.broadcast(index))
 
 
 def _match(words: DataFrame, probes: Column, index: DataFrame) -> DataFrame:
@@ -181,56 +180,100 @@ def _match(words: DataFrame, probes: Column, index: DataFrame) -> DataFrame:
     return exploded.join(index, "key").where(_close_enough())
 
 
-def _hits_by_shuffle(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+def _hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kinds: str) -> DataFrame:
     """The same hits for a dictionary that is too big to broadcast.
 
     Equal prefixes would bring a large part of the dictionary together with a large part of
     the words. Words within edit distance 3 share a string that is left after at most 3
     deletions, so sources 1 and 3 join on the first 2 characters plus such a string.
     """
-    longest = dictionary.agg(F.max(F.char_length("word"))).first()[0] or 0
-    head = F.left("word", F.lit(2))
-    rest = F.substring("word", F.lit(3), F.char_length("word"))
+    fixed = "".join(k for k in kinds if k in (ALWAYS, SHORT))
+    hits = _match(words, _probes(fixed or ALWAYS), F.broadcast(_fixed_entries(dictionary)))
+    if VARIANT in kinds:
+        index = _entries(dictionary, _key(VARIANT, F.col("word")))
+        hits = hits.unionByName(_match(words, _probes(VARIANT), index))
+    if PREFIX in kinds:
+        hits = hits.unionByName(_prefix_hits_by_shuffle(words, dictionary))
+    return hits
 
-    def keys() -> Column:
-        return F.transform(
-            deletion_neighbours(rest, FAR), lambda d: F.concat(F.lit(PREFIX), head, F.lit(" "), d)
-        )
 
+def _prefix_hits_by_shuffle(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    head = F.left("word", F.lit(2))
+    rest = F.substring("word", F.lit(3), F.char_length("word"))
+    keys = F.transform(
+        deletion_neighbours(rest, FAR), lambda d: F.concat(F.lit(PREFIX), head, F.lit(" "), d)
+    )
     two = F.char_length("word") >= 2
-    prefix_index = (
-        with_features(dictionary.where(two))
-        .select(
-            F.explode(keys()).alias("key"),
-            F.col("word").alias("candidate"),
-            F.col("size").alias("c_size"),
-            F.col("letters").alias("c_letters"),
-        )
+    index = with_features(dictionary.where(two)).select(
+        F.explode(keys).alias("key"),
+        F.col("word").alias("candidate"),
+        F.col("size").alias("c_size"),
+        F.col("letters").alias("c_letters"),
     )
-    prefix_probes = F.transform(keys(), lambda k: _probe(k, PREFIX, F.lit(0)))
+    longest = dictionary.agg(F.max(F.char_length("word"))).first()[0] or 0
     reachable = words.where(two & (F.col("size") <= longest + FAR))
-    by_prefix = _match(reachable, prefix_probes, prefix_index).dropDuplicates(
-        ["word", "candidate"]
+    probes = F.transform(keys, lambda k: _probe(k, PREFIX, F.lit(0)))
+    return _match(reachable, probes, index).dropDuplicates(["word", "candidate"])
+
+
+def prefix_matches(words: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
+    """For each word: how many dictionary words share its first ``size`` characters, and the
+    first and last of them in byte order. Only prefixes are joined, not pairs of words.
+    """
+    prefix = F.left("word", F.lit(size))
+    groups = (
+        dictionary.select("word")
+        .where(F.char_length("word") >= size)
+        .distinct()
+        .groupBy(prefix.alias("prefix"))
+        .agg(
+            F.count("*").alias("candidates"),
+            F.min("word").alias("first"),
+            F.max("word").alias("last"),
+        )
     )
-    by_variant = _match(
-        words, _probes(VARIANT), _entries(dictionary, _key(VARIANT, F.col("word")))
+    if is_small(groups):
+        groups = F.broadcast(groups)
+    asked = words.select("word").distinct().where(F.char_length("word") >= size)
+    return asked.withColumn("prefix", prefix).join(groups, "prefix").drop("prefix")
+
+
+def near_words(words: DataFrame, dictionary: DataFrame, prefix: int, distance: int) -> DataFrame:
+    """``(word, candidate, distance)`` for dictionary words that share the first 2 or 3
+    characters (``prefix``) and are at most ``distance`` edits away.
+    """
+    hits = _all_hits(words, dictionary, PREFIX)
+    head = F.lit(prefix)
+    return (
+        hits.where(F.char_length("word") >= prefix)
+        .where(F.left("word", head) == F.left("candidate", head))
+        .select("word", "candidate", F.levenshtein("word", "candidate").alias("distance"))
+        .where(F.col("distance") <= distance)
     )
-    fixed = _match(words, _probes(ALWAYS + SHORT), F.broadcast(_fixed_entries(dictionary)))
-    return by_prefix.unionByName(by_variant).unionByName(fixed)
+
+
+def variant_matches(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``(word, candidate, position)``: one-step variants that are dictionary words, with
+    the place at which they are first made.
+    """
+    hits = _all_hits(words, dictionary, VARIANT)
+    return hits.groupBy("word", "candidate").agg(F.min("rank").alias("position"))
+
+
+def _all_hits(words: DataFrame, dictionary: DataFrame, kinds: str) -> DataFrame:
+    entries = dictionary.select("word").distinct()
+    # The work per word is far larger than its bytes, so the number of tasks is set here.
+    tasks = shuffle_tasks(words.sparkSession)
+    asked = with_features(words.select("word").distinct().repartition(tasks, "word"))
+    by = _hits_by_broadcast if is_small(entries) else _hits_by_shuffle
+    return by(asked, entries, kinds).where(F.col("kind").isin(*kinds))
 
 
 def ranked_candidates(words: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
     """``(word, candidate, position)``: the first k candidates of each word, plus one row
     without a candidate for words that have fewer.
     """
-    entries = dictionary.select("word").distinct()
-    # The work per word is far larger than its bytes, so the number of tasks is set here.
-    spread = words.select("word").distinct().repartition(shuffle_tasks(words.sparkSession), "word")
-    spread = with_features(spread)
-    if is_small(entries):
-        hits = _hits_by_broadcast(spread, entries)
-    else:
-        hits = _hits_by_shuffle(spread, entries)
+    hits = _all_hits(words, dictionary, ALWAYS + SHORT + PREFIX + VARIANT)
     best = (
         _staged_rank(hits)
         .groupBy("word", "candidate")
