@@ -7,9 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MIN_BLOCK = 32
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.
 
@@ -19,44 +16,45 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+_BLOCK = 32
+
+
 def running_starts(lengths: Column) -> Column:
-    """Exclusive prefix sums of an int array: element i is the sum of elements 0..i-1.
+    """The sum of the elements before each element of an int array.
 
     Appending to an array copies it, so one long fold would be quadratic. The array is
-    folded in blocks of about sqrt(n) instead, then the block totals are folded.
+    folded in blocks of about sqrt(n), then the block totals are folded.
     """
     zero = F.array(F.lit(0))
 
-    def append_sum(acc: Column, step: Column) -> Column:
-        return F.concat(acc, F.array(F.element_at(acc, -1) + step))
+    def add(acc: Column, x: Column) -> Column:
+        return F.array_append(acc, F.element_at(acc, -1) + x)
 
-    def inside(b: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.ceil(F.size(b.a) / b.n).cast("int") - 1),
-            lambda k: F.aggregate(F.slice(b.a, k * b.n + 1, b.n), zero, append_sum),
+    def sums(a: Column, n: Column) -> Column:
+        """Per block: 0, then its running sums."""
+        return F.transform(
+            F.sequence(F.lit(0), F.ceil(F.size(a) / n).cast("int") - 1),
+            lambda k: F.aggregate(F.slice(a, k * n + 1, n), zero, add),
         )
+
+    def shifted(blocks: Column) -> Column:
+        bases = F.aggregate(blocks, zero, lambda acc, x: add(acc, F.element_at(x, -1)))
         return let(
-            blocks,
-            lambda blk: let(
-                F.aggregate(
-                    blk, zero, lambda acc, x: append_sum(acc, F.element_at(x, -1))
-                ),
-                lambda base: F.flatten(
-                    F.transform(
-                        blk,
-                        lambda x, k: F.transform(
-                            F.slice(x, F.lit(1), F.size(x) - 1),
-                            lambda v: v + F.get(base, k),
-                        ),
-                    )
-                ),
+            bases,
+            lambda base: F.flatten(
+                F.transform(
+                    blocks,
+                    lambda x, k: F.transform(
+                        F.slice(x, F.lit(1), F.size(x) - 1), lambda v: v + F.get(base, k)
+                    ),
+                )
             ),
         )
 
     def body(a: Column) -> Column:
-        n = F.greatest(F.lit(_MIN_BLOCK), F.ceil(F.sqrt(F.size(a))).cast("int"))
+        block = F.greatest(F.lit(_BLOCK), F.ceil(F.sqrt(F.size(a))).cast("int"))
         return F.when(
-            F.size(a) > 0, let(F.struct(a.alias("a"), n.alias("n")), inside)
+            F.size(a) > 0, let(block, lambda n: let(sums(a, n), shifted))
         ).otherwise(F.array().cast("array<int>"))
 
     return let(lengths, body)

@@ -16,6 +16,10 @@ PLAIN_PART = _LETTER + _LETTER_NOT_UPPER + "*+"
 MARKDOWN_WORD = r"[\p{IsAlphabetic}'\-]++"
 CODE_WORD = r"\p{IsAlphabetic}++"
 
+# A stretch of a long line that does not end inside a word.
+SEGMENT = r"(?s).{1,2000}+[\p{IsAlphabetic}\p{M}'\-\x{200C}\x{200D}]*+"
+SHORT_LINE_BYTES = 4000
+
 # --- source code -----------------------------------------------------------------------
 
 # String literals of C-like languages run to the closing quote or the end of the line.

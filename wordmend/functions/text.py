@@ -11,7 +11,7 @@ from wordmend.functions.arrays import let, matches_and_gaps
 
 CONTEXT_CHARS = 20
 # A slice of this many bytes holds at least CONTEXT_CHARS + 1 whole characters.
-_CONTEXT_BYTES = 4 * (CONTEXT_CHARS + 1)
+CONTEXT_BYTES = 4 * (CONTEXT_CHARS + 1)
 
 
 def blank(text: Column) -> Column:
@@ -77,14 +77,14 @@ def _without_cr(line: Column) -> Column:
 def _around(line: Column, at: Column, size: Column) -> tuple[Column, Column, Column]:
     """The bytes before, in and after a word, cut close to the context width."""
     raw = line.cast("binary")
-    first = F.greatest(at - _CONTEXT_BYTES, F.lit(0))
+    first = F.greatest(at - CONTEXT_BYTES, F.lit(0))
     left = F.substring(raw, first + 1, at - first).cast("string")
     word = F.substring(raw, at + 1, size).cast("string")
-    right = F.substring(raw, at + size + 1, F.lit(_CONTEXT_BYTES)).cast("string")
+    right = F.substring(raw, at + size + 1, F.lit(CONTEXT_BYTES)).cast("string")
     return left, word, _without_cr(right)
 
 
-def context(line: Column, at: Column, size: Column, both_ends: Column) -> Column:
+def short_context(line: Column, at: Column, size: Column, both_ends: Column) -> Column:
     """Up to 20 characters on both sides of a word, with ``...`` where text was cut.
 
     Plain text marks both cut ends; Markdown marks the left one, or else the right one.

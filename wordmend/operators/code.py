@@ -1,7 +1,8 @@
 """Source code: the comments and string literals of one line as checkable fragments.
 
-A fragment is a struct ``(at, text, base)``: the byte offset of ``text`` in its line, the text
-to take words from and the context shown with them.
+A fragment is a struct ``(at, text, base, base_at)``: the byte offset of ``text`` in its line,
+the text to take words from, the text their context is taken from, and the byte offset of
+``text`` in that.
 """
 
 from __future__ import annotations
@@ -19,11 +20,20 @@ from wordmend.functions.patterns import (
 )
 from wordmend.functions.text import blank, keep_only, mask
 
-NO_FRAGMENTS = "array<struct<at:int,text:string,base:string>>"
+NO_FRAGMENTS = "array<struct<at:int,text:string,base:string,base_at:int>>"
 
 
-def fragment(at: Column, text: Column, base: Column) -> Column:
-    return F.struct(at.cast("int").alias("at"), text.alias("text"), base.alias("base"))
+def fragment(at: Column, text: Column, base: Column, base_at: Column | None = None) -> Column:
+    return F.named_struct(
+        F.lit("at"),
+        at.cast("int"),
+        F.lit("text"),
+        text,
+        F.lit("base"),
+        base,
+        F.lit("base_at"),
+        F.lit(0) if base_at is None else base_at.cast("int"),
+    )
 
 
 def _none() -> Column:

@@ -11,15 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordmend.functions.arrays import matches_and_gaps, piece_lengths, running_starts
+from wordmend.functions.arrays import let, matches_and_gaps, piece_lengths, running_starts
 from wordmend.functions.patterns import (
     CODE_WORD,
     EMAIL,
     MARKDOWN_WORD,
     PLAIN_PART,
+    SEGMENT,
+    SHORT_LINE_BYTES,
     URL,
 )
-from wordmend.functions.text import context, mask
+from wordmend.functions.text import CONTEXT_BYTES, mask, short_context
 from wordmend.operators.code import code_fragments, fragment, only_blocks, without_blocks
 from wordmend.operators.markdown import mask_markdown
 from wordmend.sources.documents import (
@@ -32,7 +34,7 @@ from wordmend.sources.documents import (
 
 # Text a match of a default rule must contain; lets most documents skip the regex.
 _REGION_HINTS = {URL: "://", EMAIL: "@"}
-_INTERNAL = ["_style", "_base", "_at"]
+_INTERNAL = ["_style", "_base", "_at", "_part"]
 
 
 def mask_regions(text: Column, patterns: Sequence[str]) -> Column:
@@ -61,14 +63,44 @@ def lines(documents: DataFrame, keys: Sequence[str], *texts: str) -> DataFrame:
     )
 
 
+def _segments(scanned: Column, line: Column) -> Column:
+    """A line as fragments: one, or several if it is long.
+
+    A fragment travels with each of its words until their context is made, so its size must
+    not depend on the length of the line. A segment of a long line brings just enough of its
+    surroundings for the context of its first and last word.
+    """
+
+    def one(raw: Column, text: Column, at: Column) -> Column:
+        before = F.least(at, F.lit(CONTEXT_BYTES))
+        around = F.substring(
+            raw, at - before + 1, before + F.octet_length(text) + CONTEXT_BYTES
+        )
+        return fragment(at, text, around.cast("string"), before)
+
+    def cut(s: Column) -> Column:
+        starts = running_starts(F.transform(s.found, F.octet_length))
+        return F.zip_with(s.found, starts, lambda text, at: one(s.raw, text, at))
+
+    long_line = F.named_struct(
+        F.lit("found"),
+        F.regexp_extract_all(scanned, F.lit(SEGMENT), F.lit(0)),
+        F.lit("raw"),
+        line.cast("binary"),
+    )
+    whole = F.array(fragment(F.lit(0), scanned, line))
+    return F.when(F.octet_length(scanned) <= SHORT_LINE_BYTES, whole).otherwise(
+        let(long_line, cut)
+    )
+
+
 def _fragments(style: Column, is_python: Column, blocks: bool) -> Column:
-    whole = F.array(fragment(F.lit(0), F.col("_scan"), F.col("_text")))
     code = code_fragments(F.col("_scan"), is_python)
     if blocks:
-        code = F.concat(
-            code, F.array(fragment(F.lit(0), F.col("_blocks"), F.col("_text")))
-        )
-    return F.when(style == SOURCE_CODE, code).otherwise(whole)
+        code = F.concat(code, F.array(fragment(F.lit(0), F.col("_blocks"), F.col("_text"))))
+    return F.when(style == SOURCE_CODE, code).otherwise(
+        _segments(F.col("_scan"), F.col("_text"))
+    )
 
 
 def _word_arrays(style: Column, text: Column) -> tuple[Column, Column]:
@@ -92,8 +124,10 @@ def scan(
     path: str | None = None,
     skip_regions: Sequence[str] = (),
     block_comments: bool = False,
+    positions: bool = True,
 ) -> DataFrame:
-    """Words with positions, and what ``with_context`` needs to add their context.
+    """``(keys…, word)``, and with ``positions`` also ``line``, ``column``, ``start``, ``end``
+    and the helper columns from which ``with_context`` makes the context.
 
     With ``path`` the rules follow the file type; without it everything is plain text.
     """
@@ -132,51 +166,40 @@ def scan(
 
     found = lines(source, carried, *versions)
     if path:
-        found = found.select(
-            *carried,
-            "line",
-            "line_start",
-            F.explode(_fragments(F.col("_style"), F.col("_python"), block_comments)).alias("_f"),
-        ).select(
-            *keys,
-            "_style",
-            "line",
-            "line_start",
-            F.col("_f.at").alias("_offset"),
-            F.col("_f.text").alias("_scan"),
-            F.col("_f.base").alias("_base"),
-        )
+        fragments = _fragments(F.col("_style"), F.col("_python"), block_comments)
+    else:
+        found = found.withColumn("_style", F.lit(PLAIN_TEXT))
+        fragments = _segments(F.col(versions[-1]), F.col("_text"))
+    found = found.select(
+        *keys, "_style", "line", "line_start", F.explode(fragments).alias("_f")
+    ).select(
+        *keys,
+        "_style",
+        "line",
+        "line_start",
+        F.col("_f.at").alias("_offset"),
+        F.col("_f.text").alias("_scan"),
+        F.col("_f.base").alias("_base"),
+        F.col("_f.base_at").alias("_base_at"),
+    )
+    if path:
         matches, gaps = _word_arrays(F.col("_style"), F.col("_scan"))
     else:
-        scanned = "_scan" if skip_regions else "_text"
-        found = found.select(
-            *keys,
-            F.lit(PLAIN_TEXT).alias("_style"),
-            "line",
-            "line_start",
-            F.lit(0).alias("_offset"),
-            F.col(scanned).alias("_scan"),
-            F.col("_text").alias("_base"),
-        )
         matches, gaps = matches_and_gaps(F.col("_scan"), PLAIN_PART)
 
-    place = [*keys, "_style", "line", "line_start", "_offset", "_base"]
-    pieces = (
-        found.select(*place, matches.alias("_match"), gaps.alias("_gap"))
-        .select(
-            *place,
-            F.posexplode(
-                F.arrays_zip(
-                    "_match",
-                    "_gap",
-                    running_starts(piece_lengths(F.col("_gap"), F.col("_match"))).alias("_sum"),
-                )
-            ).alias("_i", "_piece"),
-        )
-        .where(F.col("_piece._match").isNotNull())
-    )
-    part = F.col("_piece._match")
-    gap = F.col("_piece._gap")
+    place = [*keys, "_style", "line", "line_start", "_offset", "_base", "_base_at"]
+    arrays = found.select(*place, matches.alias("_matches"), gaps.alias("_gaps"))
+    zipped = ["_matches", "_gaps"]
+    if positions:
+        lengths = piece_lengths(F.col("_gaps"), F.col("_matches"))
+        arrays = arrays.withColumn("_starts", running_starts(lengths))
+        zipped.append("_starts")
+    pieces = arrays.select(
+        *place, F.posexplode(F.arrays_zip(*zipped)).alias("_i", "_piece")
+    ).where(F.col("_piece._matches").isNotNull())
+
+    part = F.col("_piece._matches")
+    gap = F.col("_piece._gaps")
     first = F.left(part, F.lit(1))
     # A later part of a camelCase word is reported with a small first letter.
     continued = (F.col("_style") == PLAIN_TEXT) & (F.col("_i") > 0) & (gap == "")
@@ -184,35 +207,33 @@ def scan(
         continued,
         F.concat(F.left(F.lower(first), F.lit(1)), F.substring(part, F.lit(2), F.char_length(part))),
     ).otherwise(part)
-    at = F.col("_piece._sum") + F.octet_length(gap)
-    start = F.col("line_start") + F.col("_offset") + at
-    words = pieces.select(
-        *keys,
-        word.alias("word"),
-        "line",
-        (F.col("_offset") + at + 1).alias("column"),
-        start.alias("start"),
-        (start + F.octet_length(part)).alias("end"),
-        "_style",
-        "_base",
-        at.alias("_at"),
-    )
+    columns = [*keys, word.alias("word")]
+    if positions:
+        at = F.col("_piece._starts") + F.octet_length(gap)
+        start = F.col("line_start") + F.col("_offset") + at
+        columns += [
+            "line",
+            (F.col("_offset") + at + 1).alias("column"),
+            start.alias("start"),
+            (start + F.octet_length(part)).alias("end"),
+            "_base",
+            (F.col("_base_at") + at).alias("_at"),
+            part.alias("_part"),
+        ]
+    result = pieces.select(*columns, "_style")
     long_enough = (F.col("_style") == MARKDOWN) | (F.octet_length("word") > 1)
     has_letter = F.translate("word", "'-", "") != ""
-    return words.where(long_enough & has_letter)
+    result = result.where(long_enough & has_letter)
+    return result if positions else result.drop("_style")
 
 
 def with_context(words: DataFrame) -> DataFrame:
-    """Add ``context`` and drop the helper columns."""
-    short = context(
-        F.col("_base"),
-        F.col("_at"),
-        F.col("end") - F.col("start"),
-        F.col("_style") != MARKDOWN,
+    """Add ``context`` to scanned words. Best done after filters: it costs time per word."""
+    short = short_context(
+        F.col("_base"), F.col("_at"), F.octet_length("_part"), F.col("_style") != MARKDOWN
     )
-    return words.withColumn(
-        "context", F.when(F.col("_style") == SOURCE_CODE, F.col("_base")).otherwise(short)
-    ).drop(*_INTERNAL)
+    context = F.when(F.col("_style") == SOURCE_CODE, F.col("_base")).otherwise(short)
+    return words.withColumn("context", context).drop(*_INTERNAL)
 
 
 def without_context(words: DataFrame) -> DataFrame:
@@ -226,3 +247,8 @@ def tokens(documents: DataFrame, keys: Sequence[str], **options: object) -> Data
     from 1. Options are those of ``scan``.
     """
     return with_context(scan(documents, keys, **options))
+
+
+def words(documents: DataFrame, keys: Sequence[str], **options: object) -> DataFrame:
+    """``(keys…, word)``, one row per word, for counts."""
+    return scan(documents, keys, positions=False, **options)

@@ -17,6 +17,9 @@ def valid_patterns(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
     """The patterns Java can compile; the others are skipped with a warning."""
     good = []
     for pattern in patterns:
+        if pattern in DEFAULT_IGNORE:
+            good.append(pattern)
+            continue
         try:
             spark.range(1).select(F.lit("x").rlike(_unicode(pattern))).collect()
         except PySparkException as problem:
@@ -54,11 +57,8 @@ def drop_known(tokens: DataFrame, known: DataFrame) -> DataFrame:
 
     ``known`` is broadcast, so no token is shuffled.
     """
-    return (
-        tokens.withColumn("w", F.lower("word"))
-        .join(F.broadcast(known), "w", "left_anti")
-        .drop("w")
-    )
+    same = F.lower(tokens["word"]) == known["w"]
+    return tokens.join(F.broadcast(known), same, "left_anti")
 
 
 def vocabulary(

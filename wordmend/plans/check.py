@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from wordmend.functions.patterns import DEFAULT_IGNORE, MAX_SUGGESTIONS
 from wordmend.operators.suggest import suggest
-from wordmend.operators.tokens import scan, with_context, without_context
-from wordmend.operators.words import drop_known, known_words, valid_patterns, vocabulary
-from wordmend.runtime import is_small, join_by_key, shuffle_tasks, stage
+from wordmend.operators.tokens import scan, with_context, without_context, words
+from wordmend.operators.words import (
+    drop_known,
+    is_ignored,
+    known_words,
+    valid_patterns,
+    vocabulary,
+)
+from wordmend.runtime import is_small, join_by_key, stage
 
 
 def corrections(
@@ -44,21 +50,46 @@ def misspelled_tokens(
     to broadcast, they are compared with the counted vocabulary instead of with every token.
     """
     rules = valid_patterns(documents.sparkSession, ignore)
+    entries = stage(dictionary.select("word").distinct(), "dictionary")
+    known = known_words(entries, personal)
     finish = with_context if context else without_context
-    words = scan(documents, keys, **options)
-    known = known_words(dictionary, personal)
+    found = scan(documents, keys, **options)
     if is_small(known):
-        found = stage(finish(drop_known(words, known)), "unknown")
+        found = stage(finish(drop_known(found, known)), "unknown")
         unknown = vocabulary(found, rules)
     else:
-        found = finish(words)
-        unknown = vocabulary(found, rules).join(known, "w", "left_anti")
+        found = finish(found)
+        unknown = vocabulary(words(documents, keys, **options), rules).join(known, "w", "left_anti")
     unknown = stage(unknown, "vocabulary")
-    wanted = stage(corrections(unknown, dictionary, max_suggestions), "corrections")
+    wanted = stage(corrections(unknown, entries, max_suggestions), "corrections")
     joined = join_by_key(found, wanted, "word", "n", [*map(F.col, keys), F.col("start")])
     return joined.select(*found.columns, "suggestions")
 
 
+def find(
+    documents: DataFrame,
+    keys: Sequence[str],
+    dictionary: DataFrame,
+    personal: DataFrame | None = None,
+    ignore: Sequence[str] = DEFAULT_IGNORE,
+    context: bool = False,
+    **options: object,
+) -> DataFrame:
+    """Misspelled tokens without suggestions, for counts: nothing is staged or shuffled
+    unless the dictionaries are too big to broadcast.
+    """
+    rules = valid_patterns(documents.sparkSession, ignore)
+    known = known_words(dictionary, personal)
+    finish = with_context if context else without_context
+    found = scan(documents, keys, **options)
+    if is_small(known):
+        return finish(drop_known(found, known).where(~is_ignored(F.col("word"), rules)))
+    counted = vocabulary(words(documents, keys, **options), rules)
+    unknown = stage(counted.join(known, "w", "left_anti").select("word", "n"), "vocabulary")
+    spread = [*map(F.col, keys), F.col("start")]
+    return join_by_key(finish(found), unknown, "word", "n", spread).drop("n")
+
+
 def check(
     documents: DataFrame,
     keys: Sequence[str],

@@ -23,6 +23,7 @@ from wordmend.operators.tokens import lines, tokens
 from wordmend.operators.words import is_ignored, known_words, unknown_words
 from wordmend.plans.check import (
     check,
+    find,
     misspelled_tokens,
     misspellings_per_document,
     summarize,
@@ -35,8 +36,8 @@ from wordmend.plans.fix import (
     apply_decisions,
     fix,
     new_personal_words,
-    reviewed_edits,
     summarize_fixes,
+    with_decisions,
 )
 from wordmend.plans.report import changed_documents, flat_report, json_report
 from wordmend.queries.tables import (
@@ -47,6 +48,7 @@ from wordmend.queries.tables import (
     dictionary,
     documents,
     personal,
+    positions_of,
     read,
     unknown,
     with_path,
@@ -160,7 +162,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words_of(documents(spark, sf_dir), DOC).select("doc_id", "word", *POSITION)
+    return positions_of(documents(spark, sf_dir), DOC).select("doc_id", "word", *POSITION)
 
 
 @query
@@ -239,7 +241,7 @@ def markdown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_file_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all file types in one pass, each by its own rules."""
     made = with_path(documents(spark, sf_dir))
-    return words_of(made, DOC, path="path").groupBy("doc_id", "word").agg(
+    return positions_of(made, DOC, path="path").groupBy("doc_id", "word").agg(
         F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("line").alias("last_line")
     )
 
@@ -357,9 +359,7 @@ def suggestion_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return misspelled_tokens(
-        documents(spark, sf_dir), DOC, dictionary(spark, sf_dir), context=False
-    )
+    return find(documents(spark, sf_dir), DOC, dictionary(spark, sf_dir))
 
 
 @query
@@ -391,7 +391,7 @@ def misspellings_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def misspellings_by_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a key of two columns."""
     turns = conversations(spark, sf_dir)
-    found = misspelled_tokens(turns, TURN, dictionary(spark, sf_dir), context=False)
+    found = find(turns, TURN, dictionary(spark, sf_dir))
     return misspellings_per_document(turns, found, TURN)
 
 
@@ -456,7 +456,7 @@ def reviewed_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def added_personal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir)
-    decided = reviewed_edits(found, _decisions(found), DOC)
+    decided = with_decisions(found, _decisions(found), DOC)
     return new_personal_words(accepted_words(decided), personal(spark, sf_dir))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmend.operators.tokens import scan, without_context
+from wordmend.operators.tokens import words as words_of
 from wordmend.operators.words import known_words, unknown_words
 from wordmend.runtime import stage
 from wordmend.sources.documents import spread
@@ -29,7 +30,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read(spark, sf_dir, "conversations"), TURN)
 
 
-def words_of(table: DataFrame, keys: list[str], **options: object) -> DataFrame:
+def positions_of(table: DataFrame, keys: list[str], **options: object) -> DataFrame:
     """Words with positions, without context."""
     return without_context(scan(table, keys, **options))
 
