@@ -25,6 +25,23 @@ def _drop_char(word: Column, i: Column) -> Column:
     )
 
 
+def _swap_chars(word: Column, i: Column) -> Column:
+    return F.concat(
+        F.substring(word, F.lit(1), i - 1),
+        F.substring(word, i + 1, F.lit(1)),
+        F.substring(word, i, F.lit(1)),
+        F.substring(word, i + 2, F.char_length(word)),
+    )
+
+
+def _replace_char(word: Column, i: Column) -> Column:
+    """Null if the letter is not in the list."""
+    char = F.substring(word, i, F.lit(1))
+    other = F.translate(char, _FROM, _TO)
+    rest = F.substring(word, i + 1, F.char_length(word))
+    return F.when(other != char, F.concat(F.substring(word, F.lit(1), i - 1), other, rest))
+
+
 def deletions(word: Column) -> Column:
     """The word without its 1st, 2nd, … character."""
     return let(
@@ -34,36 +51,19 @@ def deletions(word: Column) -> Column:
 
 
 def adjacent_swaps(word: Column) -> Column:
-    def swap(w: Column, i: Column) -> Column:
-        return F.concat(
-            F.substring(w, F.lit(1), i - 1),
-            F.substring(w, i + 1, F.lit(1)),
-            F.substring(w, i, F.lit(1)),
-            F.substring(w, i + 2, F.char_length(w)),
-        )
-
+    """The word with its 1st and 2nd, 2nd and 3rd, … character swapped."""
     return let(
-        word, lambda w: F.transform(_up_to(F.char_length(w) - 1), lambda i: swap(w, i))
+        word,
+        lambda w: F.transform(_up_to(F.char_length(w) - 1), lambda i: _swap_chars(w, i)),
     )
 
 
 def typo_replacements(word: Column) -> Column:
     """One letter replaced by the letter it is commonly typed for, by position."""
-
-    def replace(w: Column, i: Column) -> Column:
-        char = F.substring(w, i, F.lit(1))
-        other = F.translate(char, _FROM, _TO)
-        return F.when(
-            other != char,
-            F.concat(
-                F.substring(w, F.lit(1), i - 1), other, F.substring(w, i + 1, F.char_length(w))
-            ),
-        )
-
     return let(
         word,
         lambda w: F.array_compact(
-            F.transform(_up_to(F.char_length(w)), lambda i: replace(w, i))
+            F.transform(_up_to(F.char_length(w)), lambda i: _replace_char(w, i))
         ),
     )
 
@@ -73,6 +73,19 @@ def variants(word: Column) -> Column:
     return F.concat(deletions(word), adjacent_swaps(word), typo_replacements(word))
 
 
+def leading_variants(word: Column, limit: int) -> list[Column]:
+    """The variants made at the first ``limit`` characters, in order; null where the word is
+    too short or the letter is not in the list.
+    """
+    size = F.char_length(word)
+    places = [F.lit(i) for i in range(1, limit + 1)]
+    return (
+        [F.when(size >= i, _drop_char(word, i)) for i in places]
+        + [F.when(size > i, _swap_chars(word, i)) for i in places]
+        + [_replace_char(word, i) for i in places]
+    )
+
+
 def letter_mask(word: Column) -> Column:
     """The set of letters of a word as 64 bits."""
     return F.aggregate(

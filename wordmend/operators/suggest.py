@@ -12,16 +12,22 @@ Ties go to byte order, a candidate counts once, and the first k are kept. Stoppi
 early gives the same result as ranking the union of all four, which is what is done here.
 
 Each word is turned into probes and each dictionary word into index entries, so that all
-sources are one equi-join. Sources 1 and 3 share their probe.
+sources are one equi-join. Sources 1 and 3 share their probe. A variant made behind the third
+character keeps the first three and is at most 2 edits away, so source 1 has it already; only
+variants made at the first three characters are looked up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmend.functions.edits import (
     deletion_neighbours,
+    leading_variants,
     letter_mask,
     may_be_within,
     variants,
@@ -33,16 +39,20 @@ from wordmend.functions.patterns import (
 )
 from wordmend.runtime import is_small, shuffle_tasks
 
-# Kinds of probes. PREFIX serves sources 1 and 3.
-PREFIX, VARIANT, SHORT, ALWAYS = "p", "v", "s", "a"
+# Kinds of probes. PREFIX serves sources 1 and 3; LEADING is VARIANT without those that
+# source 1 finds.
+PREFIX, SHORT, VARIANT, LEADING, ALWAYS = range(5)
+_RANKED = (PREFIX, SHORT, LEADING, ALWAYS)
+_SIGNS = {PREFIX: "p", SHORT: "s", VARIANT: "v", LEADING: "v", ALWAYS: "a"}
 NEAR, FAR = 2, 3
 _LAST = 9
 # Source and rank within it as one sortable number.
-_STAGE = 1 << 32
+_SOURCE = 1 << 32
+_LEADING_CHARS = 3
 
 
-def _key(kind: str, value: Column) -> Column:
-    return F.concat(F.lit(kind), value)
+def _key(kind: int, value: Column) -> Column:
+    return F.concat(F.lit(_SIGNS[kind]), value)
 
 
 def with_features(words: DataFrame) -> DataFrame:
@@ -90,7 +100,7 @@ def _fixed_entries(dictionary: DataFrame) -> DataFrame:
         short_word_candidates(dictionary), _key(SHORT, F.col("for_size").cast("string"))
     )
     always = spark.range(1).select(
-        F.lit(ALWAYS).alias("key"),
+        _key(ALWAYS, F.lit("")).alias("key"),
         F.lit(None).cast("string").alias("candidate"),
         F.lit(0).alias("c_size"),
         F.lit(0).cast("bigint").alias("c_letters"),
@@ -98,79 +108,68 @@ def _fixed_entries(dictionary: DataFrame) -> DataFrame:
     return short.unionByName(always)
 
 
-def _probe(key: Column, kind: str, rank: Column) -> Column:
-    return F.struct(key.alias("key"), F.lit(kind).alias("kind"), rank.alias("rank"))
+_PROBES = "array<struct<key:string,kind:int,rank:int>>"
+
 
+def _probe(kind: int, value: Column, rank: Column | int = 0) -> Column:
+    rank = F.lit(rank) if isinstance(rank, int) else rank
+    return F.named_struct(
+        F.lit("key"), _key(kind, value), F.lit("kind"), F.lit(kind), F.lit("rank"), rank
+    )
 
-def _probes(kinds: str) -> Column:
+
+def _probes(kinds: Sequence[int]) -> Column:
+    """The probes of a word; those with a null key are dropped later."""
     word, size = F.col("word"), F.col("size")
-    parts = []
+    single = []
     if ALWAYS in kinds:
-        parts.append(F.array(_probe(F.lit(ALWAYS), ALWAYS, F.lit(0))))
+        single.append(_probe(ALWAYS, F.lit("")))
     if SHORT in kinds:
-        short = F.array(_probe(_key(SHORT, size.cast("string")), SHORT, F.lit(0)))
-        parts.append(F.when(size <= SHORT_WORD, short).otherwise(F.array().cast(_PROBES)))
+        single.append(_probe(SHORT, F.when(size <= SHORT_WORD, size.cast("string"))))
     if PREFIX in kinds:
-        prefix = F.array(_probe(_key(PREFIX, F.left(word, F.lit(2))), PREFIX, F.lit(0)))
-        parts.append(F.when(size >= 2, prefix).otherwise(F.array().cast(_PROBES)))
+        single.append(_probe(PREFIX, F.when(size >= 2, F.left(word, F.lit(2)))))
+    if LEADING in kinds:
+        made = enumerate(leading_variants(word, _LEADING_CHARS))
+        single += [_probe(LEADING, value, i) for i, value in made]
+    probes = F.array(*single)
     if VARIANT in kinds:
-        parts.append(
-            F.transform(variants(word), lambda v, i: _probe(_key(VARIANT, v), VARIANT, i))
-        )
-    return F.concat(*parts)
-
-
-_PROBES = "array<struct<key:string,kind:string,rank:int>>"
+        every = F.transform(variants(word), lambda v, i: _probe(VARIANT, v, i))
+        probes = F.concat(probes.cast(_PROBES), every)
+    return probes
 
 
 def _close_enough() -> Column:
     """The test a probe and an entry with the same key must pass."""
-
-    def within(distance: int) -> Column:
-        return (
-            (F.abs(F.col("size") - F.col("c_size")) <= distance)
-            & may_be_within(F.col("letters"), F.col("c_letters"), distance)
-            & (F.levenshtein("word", "candidate", distance) >= 0)
-        )
-
-    kind = F.col("kind")
-    return (
-        F.when(kind == PREFIX, within(FAR))
-        .when(kind == SHORT, within(NEAR))
-        .otherwise(F.lit(True))
+    exact = F.col("kind") >= VARIANT
+    near = (
+        (F.abs(F.col("size") - F.col("c_size")) <= FAR)
+        & may_be_within(F.col("letters"), F.col("c_letters"), FAR)
+        & (F.levenshtein("word", "candidate", FAR) >= 0)
     )
+    return exact | near
 
 
 def _staged_rank(hits: DataFrame) -> DataFrame:
     """``(word, candidate, at)`` for joined probes and entries; smaller ``at`` is better."""
     word, candidate, kind = F.col("word"), F.col("candidate"), F.col("kind")
-    distance = F.levenshtein(word, candidate)
+    compared = kind < VARIANT
+    measured = hits.withColumn(
+        "distance", F.when(compared, F.levenshtein(word, candidate)).otherwise(F.col("rank"))
+    ).where((kind != SHORT) | (F.col("distance") <= NEAR))
     near = (
         (F.col("size") >= 3)
         & (F.left(word, F.lit(3)) == F.left(candidate, F.lit(3)))
-        & (distance <= NEAR)
+        & (F.col("distance") <= NEAR)
     )
-    stage = (
-        F.when(kind == VARIANT, 2)
+    source = (
+        F.when(kind == LEADING, 2)
         .when(kind == SHORT, 4)
         .when(kind == ALWAYS, _LAST)
         .when(near, 1)
         .otherwise(3)
     )
-    rank = F.when(kind.isin(PREFIX, SHORT), distance).otherwise(F.col("rank"))
-    at = stage.cast("bigint") * _STAGE + rank
-    return hits.select("word", "candidate", at.alias("at"))
-
-
-def _hits_by_broadcast(words: DataFrame, dictionary: DataFrame, kinds: str) -> DataFrame:
-    """All sources against a broadcast index: the words stay where they are."""
-    index = _fixed_entries(dictionary)
-    if PREFIX in kinds:
-        two = dictionary.where(F.char_length("word") >= 2)
-        index = index.unionByName(_entries(two, _key(PREFIX, F.left("word", F.lit(2)))))
-    if VARIANT in kinds:
-        index = index.unionByName(_entries(dictionary, _key(VARIANT, F.col("word"))))
-    return _match(words, _probes(kinds), F.broadcast(index))
+    at = source.cast("bigint") * _SOURCE + F.col("distance")
+    return measured.select("word", "candidate", at.alias("at"))
 
 
 def _match(words: DataFrame, probes: Column, index: DataFrame) -> DataFrame:
@@ -180,39 +179,63 @@ def _match(words: DataFrame, probes: Column, index: DataFrame) -> DataFrame:
     return exploded.join(index, "key").where(_close_enough())
 
 
-def _hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kinds: str) -> DataFrame:
+def _prefix_entries(dictionary: DataFrame) -> DataFrame:
+    two = dictionary.where(F.char_length("word") >= 2)
+    return _entries(two, _key(PREFIX, F.left("word", F.lit(2))))
+
+
+def _word_entries(dictionary: DataFrame) -> DataFrame:
+    return _entries(dictionary, _key(VARIANT, F.col("word")))
+
+
+def _hits_by_broadcast(
+    words: DataFrame, dictionary: DataFrame, kinds: Sequence[int]
+) -> DataFrame:
+    """All sources against a broadcast index: the words stay where they are."""
+    parts = []
+    if PREFIX in kinds:
+        parts.append(_prefix_entries(dictionary))
+    if VARIANT in kinds or LEADING in kinds:
+        parts.append(_word_entries(dictionary))
+    if SHORT in kinds or ALWAYS in kinds:
+        parts.append(_fixed_entries(dictionary))
+    index = reduce(DataFrame.unionByName, parts)
+    return _match(words, _probes(kinds), F.broadcast(index))
+
+
+def _hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kinds: Sequence[int]) -> DataFrame:
     """The same hits for a dictionary that is too big to broadcast.
 
     Equal prefixes would bring a large part of the dictionary together with a large part of
     the words. Words within edit distance 3 share a string that is left after at most 3
     deletions, so sources 1 and 3 join on the first 2 characters plus such a string.
     """
-    fixed = "".join(k for k in kinds if k in (ALWAYS, SHORT))
-    hits = _match(words, _probes(fixed or ALWAYS), F.broadcast(_fixed_entries(dictionary)))
-    if VARIANT in kinds:
-        index = _entries(dictionary, _key(VARIANT, F.col("word")))
-        hits = hits.unionByName(_match(words, _probes(VARIANT), index))
+    parts = []
     if PREFIX in kinds:
-        hits = hits.unionByName(_prefix_hits_by_shuffle(words, dictionary))
-    return hits
+        parts.append(_prefix_hits_by_shuffle(words, dictionary))
+    looked_up = [k for k in kinds if k in (VARIANT, LEADING)]
+    if looked_up:
+        parts.append(_match(words, _probes(looked_up), _word_entries(dictionary)))
+    fixed = [k for k in kinds if k in (SHORT, ALWAYS)]
+    if fixed:
+        parts.append(_match(words, _probes(fixed), F.broadcast(_fixed_entries(dictionary))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _prefix_hits_by_shuffle(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     head = F.left("word", F.lit(2))
     rest = F.substring("word", F.lit(3), F.char_length("word"))
-    keys = F.transform(
-        deletion_neighbours(rest, FAR), lambda d: F.concat(F.lit(PREFIX), head, F.lit(" "), d)
-    )
+    keys = F.transform(deletion_neighbours(rest, FAR), lambda d: F.concat(head, F.lit(" "), d))
     two = F.char_length("word") >= 2
-    index = with_features(dictionary.where(two)).select(
-        F.explode(keys).alias("key"),
-        F.col("word").alias("candidate"),
-        F.col("size").alias("c_size"),
-        F.col("letters").alias("c_letters"),
-    )
+    index = _entries(dictionary.where(two), F.explode(keys))
     longest = dictionary.agg(F.max(F.char_length("word"))).first()[0] or 0
     reachable = words.where(two & (F.col("size") <= longest + FAR))
-    probes = F.transform(keys, lambda k: _probe(k, PREFIX, F.lit(0)))
+    probes = F.transform(
+        keys,
+        lambda k: F.named_struct(
+            F.lit("key"), k, F.lit("kind"), F.lit(PREFIX), F.lit("rank"), F.lit(0)
+        ),
+    )
     return _match(reachable, probes, index).dropDuplicates(["word", "candidate"])
 
 
@@ -242,7 +265,7 @@ def near_words(words: DataFrame, dictionary: DataFrame, prefix: int, distance: i
     """``(word, candidate, distance)`` for dictionary words that share the first 2 or 3
     characters (``prefix``) and are at most ``distance`` edits away.
     """
-    hits = _all_hits(words, dictionary, PREFIX)
+    hits = _all_hits(words, dictionary, [PREFIX])
     head = F.lit(prefix)
     return (
         hits.where(F.char_length("word") >= prefix)
@@ -256,24 +279,24 @@ def variant_matches(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``(word, candidate, position)``: one-step variants that are dictionary words, with
     the place at which they are first made.
     """
-    hits = _all_hits(words, dictionary, VARIANT)
+    hits = _all_hits(words, dictionary, [VARIANT])
     return hits.groupBy("word", "candidate").agg(F.min("rank").alias("position"))
 
 
-def _all_hits(words: DataFrame, dictionary: DataFrame, kinds: str) -> DataFrame:
+def _all_hits(words: DataFrame, dictionary: DataFrame, kinds: Sequence[int]) -> DataFrame:
     entries = dictionary.select("word").distinct()
     # The work per word is far larger than its bytes, so the number of tasks is set here.
     tasks = shuffle_tasks(words.sparkSession)
     asked = with_features(words.select("word").distinct().repartition(tasks, "word"))
     by = _hits_by_broadcast if is_small(entries) else _hits_by_shuffle
-    return by(asked, entries, kinds).where(F.col("kind").isin(*kinds))
+    return by(asked, entries, kinds)
 
 
 def ranked_candidates(words: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
     """``(word, candidate, position)``: the first k candidates of each word, plus one row
     without a candidate for words that have fewer.
     """
-    hits = _all_hits(words, dictionary, ALWAYS + SHORT + PREFIX + VARIANT)
+    hits = _all_hits(words, dictionary, _RANKED)
     best = (
         _staged_rank(hits)
         .groupBy("word", "candidate")
