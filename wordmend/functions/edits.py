@@ -87,21 +87,23 @@ def leading_variants(word: Column, limit: int) -> list[Column]:
 
 
 def letter_mask(word: Column) -> Column:
-    """The set of letters of a word as 64 bits."""
-    return F.aggregate(
-        F.split(word, "", -1),
-        F.lit(0).cast("bigint"),
-        lambda acc, c: acc.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(64)))
-        ),
-    )
+    """The letters of a word as 64 bits: 32 classes of letters, each with one bit for
+    "occurs" and one for "occurs twice"."""
+
+    def add(acc: Column, char: Column) -> Column:
+        place = F.pmod(F.ascii(char), F.lit(32))
+        once = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+        twice = F.call_function("shiftleft", F.lit(1).cast("bigint"), place + 32)
+        return acc.bitwiseOR(F.when(acc.bitwiseAND(once) == 0, once).otherwise(twice))
+
+    return F.aggregate(F.split(word, "", -1), F.lit(0).cast("bigint"), add)
 
 
 def may_be_within(mask_a: Column, mask_b: Column, distance: int) -> Column:
     """Cheap necessary test for edit distance <= ``distance``.
 
-    Every letter that only one of the words has costs at least one edit, and one edit can
-    settle at most one such letter of each word.
+    Every letter that one word has more of costs at least one edit, and one edit can settle
+    at most one such letter of each word.
     """
     only_a = F.bit_count(mask_a.bitwiseAND(F.bitwise_not(mask_b)))
     only_b = F.bit_count(mask_b.bitwiseAND(F.bitwise_not(mask_a)))

@@ -11,15 +11,16 @@ Four sources of candidates, earlier ones first:
 Ties go to byte order, a candidate counts once, and the first k are kept. Stopping a source
 early gives the same result as ranking the union of all four, which is what is done here.
 
-Each word is turned into probes and each dictionary word into index entries, so that all
-sources are one equi-join. Sources 1 and 3 share their probe. A variant made behind the third
-character keeps the first three and is at most 2 edits away, so source 1 has it already; only
-variants made at the first three characters are looked up.
+Each word is turned into probes and each dictionary word into index entries, so that the
+sources are equi-joins. With a big dictionary sources 1 and 2 come first, and only words they
+leave with fewer than k candidates are sent on to sources 3 and 4, which compare many more
+pairs. A variant made behind the third character keeps the first three and is at most 2 edits
+away, so source 1 has it already; only variants made at the first three are looked up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,14 +38,21 @@ from wordmend.functions.patterns import (
     SHORT_WORD,
     SHORT_WORD_CANDIDATES,
 )
-from wordmend.runtime import is_small, shuffle_tasks
-
-# Kinds of probes. PREFIX serves sources 1 and 3; LEADING is VARIANT without those that
-# source 1 finds.
-PREFIX, SHORT, VARIANT, LEADING, ALWAYS = range(5)
-_RANKED = (PREFIX, SHORT, LEADING, ALWAYS)
-_SIGNS = {PREFIX: "p", SHORT: "s", VARIANT: "v", LEADING: "v", ALWAYS: "a"}
-NEAR, FAR = 2, 3
+from wordmend.runtime import fits, is_small, measure, shuffle_tasks
+
+# Kinds of probes: words near by with the same 3 characters, words further away with the same
+# 2, short words, all variants, variants made at the first characters, and one that every word
+# finds, which keeps words without candidates in the result.
+CLOSE, WIDE, SHORT, VARIANT, LEADING, ALWAYS = range(6)
+_SIGNS = {CLOSE: "c", WIDE: "w", SHORT: "s", VARIANT: "v", LEADING: "v", ALWAYS: "a"}
+# Characters that must be the same, and the greatest distance.
+_REACH = {CLOSE: (3, 2), WIDE: (2, 3)}
+_SHORT_DISTANCE = 2
+
+_ALL_AT_ONCE = ((WIDE, LEADING, SHORT, ALWAYS),)
+_IN_TURN = ((CLOSE, LEADING, ALWAYS), (WIDE, SHORT, ALWAYS))
+# Dictionaries up to this size are cheap enough to ask all sources at once.
+ONE_ROUND_ROWS = 50_000
 _LAST = 9
 # Source and rank within it as one sortable number.
 _SOURCE = 1 << 32
@@ -120,68 +128,80 @@ def _probe(kind: int, value: Column, rank: Column | int = 0) -> Column:
 
 def _probes(kinds: Sequence[int]) -> Column:
     """The probes of a word; those with a null key are dropped later."""
-    word, size = F.col("word"), F.col("size")
+    word, size, is_open = F.col("word"), F.col("size"), F.col("open")
     single = []
-    if ALWAYS in kinds:
-        single.append(_probe(ALWAYS, F.lit("")))
-    if SHORT in kinds:
-        single.append(_probe(SHORT, F.when(size <= SHORT_WORD, size.cast("string"))))
-    if PREFIX in kinds:
-        single.append(_probe(PREFIX, F.when(size >= 2, F.left(word, F.lit(2)))))
-    if LEADING in kinds:
-        made = enumerate(leading_variants(word, _LEADING_CHARS))
-        single += [_probe(LEADING, value, i) for i, value in made]
-    probes = F.array(*single)
+    for kind in kinds:
+        if kind == ALWAYS:
+            single.append(_probe(kind, F.lit("")))
+        elif kind == SHORT:
+            short = is_open & (size <= SHORT_WORD)
+            single.append(_probe(kind, F.when(short, size.cast("string"))))
+        elif kind in _REACH:
+            same = _REACH[kind][0]
+            asks = is_open & (size >= same)
+            single.append(_probe(kind, F.when(asks, F.left(word, F.lit(same)))))
+        elif kind == LEADING:
+            made = enumerate(leading_variants(word, _LEADING_CHARS))
+            single += [_probe(kind, value, i) for i, value in made]
+    probes = F.array(*single).cast(_PROBES)
     if VARIANT in kinds:
         every = F.transform(variants(word), lambda v, i: _probe(VARIANT, v, i))
-        probes = F.concat(probes.cast(_PROBES), every)
+        probes = F.concat(probes, every)
     return probes
 
 
-def _close_enough() -> Column:
+def _close_enough(distance: int) -> Column:
     """The test a probe and an entry with the same key must pass."""
-    exact = F.col("kind") >= VARIANT
+    kind = F.col("kind")
     near = (
-        (F.abs(F.col("size") - F.col("c_size")) <= FAR)
-        & may_be_within(F.col("letters"), F.col("c_letters"), FAR)
-        & (F.levenshtein("word", "candidate", FAR) >= 0)
+        (F.abs(F.col("size") - F.col("c_size")) <= distance)
+        & may_be_within(F.col("letters"), F.col("c_letters"), distance)
+        & (F.levenshtein("word", "candidate", distance) >= 0)
+        & ((kind != SHORT) | (F.levenshtein("word", "candidate", _SHORT_DISTANCE) >= 0))
     )
-    return exact | near
+    return (kind >= VARIANT) | near
 
 
-def _staged_rank(hits: DataFrame) -> DataFrame:
-    """``(word, candidate, at)`` for joined probes and entries; smaller ``at`` is better."""
+def _ranked(hits: DataFrame) -> DataFrame:
+    """``(word, candidate, at)``; ``at`` is the source and the place within it as one number.
+
+    What an earlier round found comes before everything else.
+    """
     word, candidate, kind = F.col("word"), F.col("candidate"), F.col("kind")
-    compared = kind < VARIANT
-    measured = hits.withColumn(
-        "distance", F.when(compared, F.levenshtein(word, candidate)).otherwise(F.col("rank"))
-    ).where((kind != SHORT) | (F.col("distance") <= NEAR))
-    near = (
-        (F.col("size") >= 3)
-        & (F.left(word, F.lit(3)) == F.left(candidate, F.lit(3)))
-        & (F.col("distance") <= NEAR)
+    distance = F.levenshtein(word, candidate)
+    same, reach = _REACH[CLOSE]
+    close = (
+        (F.col("size") >= same)
+        & (F.left(word, F.lit(same)) == F.left(candidate, F.lit(same)))
+        & (distance <= reach)
     )
     source = (
         F.when(kind == LEADING, 2)
         .when(kind == SHORT, 4)
         .when(kind == ALWAYS, _LAST)
-        .when(near, 1)
+        .when(close, 1)
         .otherwise(3)
     )
-    at = source.cast("bigint") * _SOURCE + F.col("distance")
-    return measured.select("word", "candidate", at.alias("at"))
-
-
-def _match(words: DataFrame, probes: Column, index: DataFrame) -> DataFrame:
-    exploded = words.select("word", "size", "letters", F.explode(probes).alias("_p")).select(
-        "word", "size", "letters", "_p.key", "_p.kind", "_p.rank"
+    rank = F.when(kind < VARIANT, distance).otherwise(F.col("rank"))
+    at = source.cast("bigint") * _SOURCE + rank
+    if "found" not in hits.columns:
+        return hits.select("word", "candidate", at.alias("at"))
+    this = F.array(F.struct(at.alias("at"), "candidate"))
+    rows = F.when(kind == ALWAYS, F.concat("found", this)).otherwise(this)
+    return hits.select("word", F.explode(rows).alias("_r")).select("word", "_r.candidate", "_r.at")
+
+
+def _match(words: DataFrame, probes: Column, index: DataFrame, distance: int) -> DataFrame:
+    asked = words.select("*", F.explode(probes).alias("_p")).select(
+        *words.columns, "_p.key", "_p.kind", "_p.rank"
     )
-    return exploded.join(index, "key").where(_close_enough())
+    return asked.join(index, "key").where(_close_enough(distance))
 
 
-def _prefix_entries(dictionary: DataFrame) -> DataFrame:
-    two = dictionary.where(F.char_length("word") >= 2)
-    return _entries(two, _key(PREFIX, F.left("word", F.lit(2))))
+def _prefix_entries(dictionary: DataFrame, kind: int) -> DataFrame:
+    same = _REACH[kind][0]
+    long_enough = dictionary.where(F.char_length("word") >= same)
+    return _entries(long_enough, _key(kind, F.left("word", F.lit(same))))
 
 
 def _word_entries(dictionary: DataFrame) -> DataFrame:
@@ -192,51 +212,56 @@ def _hits_by_broadcast(
     words: DataFrame, dictionary: DataFrame, kinds: Sequence[int]
 ) -> DataFrame:
     """All sources against a broadcast index: the words stay where they are."""
-    parts = []
-    if PREFIX in kinds:
-        parts.append(_prefix_entries(dictionary))
+    parts = [_prefix_entries(dictionary, k) for k in kinds if k in _REACH]
     if VARIANT in kinds or LEADING in kinds:
         parts.append(_word_entries(dictionary))
     if SHORT in kinds or ALWAYS in kinds:
         parts.append(_fixed_entries(dictionary))
     index = reduce(DataFrame.unionByName, parts)
-    return _match(words, _probes(kinds), F.broadcast(index))
+    return _match(words, _probes(kinds), F.broadcast(index), _distance_of(kinds))
+
+
+def _distance_of(kinds: Sequence[int]) -> int:
+    return max([_REACH[k][1] for k in kinds if k in _REACH] or [_SHORT_DISTANCE])
 
 
 def _hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kinds: Sequence[int]) -> DataFrame:
     """The same hits for a dictionary that is too big to broadcast.
 
     Equal prefixes would bring a large part of the dictionary together with a large part of
-    the words. Words within edit distance 3 share a string that is left after at most 3
-    deletions, so sources 1 and 3 join on the first 2 characters plus such a string.
+    the words. Words within edit distance t share a string that is left after at most t
+    deletions, so words with the same prefix are joined on such a string of the rest. A pair
+    can be found more than once.
     """
-    parts = []
-    if PREFIX in kinds:
-        parts.append(_prefix_hits_by_shuffle(words, dictionary))
+    parts = [_prefix_hits_by_shuffle(words, dictionary, k) for k in kinds if k in _REACH]
     looked_up = [k for k in kinds if k in (VARIANT, LEADING)]
     if looked_up:
-        parts.append(_match(words, _probes(looked_up), _word_entries(dictionary)))
+        parts.append(_match(words, _probes(looked_up), _word_entries(dictionary), 0))
     fixed = [k for k in kinds if k in (SHORT, ALWAYS)]
     if fixed:
-        parts.append(_match(words, _probes(fixed), F.broadcast(_fixed_entries(dictionary))))
+        index = F.broadcast(_fixed_entries(dictionary))
+        parts.append(_match(words, _probes(fixed), index, _SHORT_DISTANCE))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _prefix_hits_by_shuffle(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    head = F.left("word", F.lit(2))
-    rest = F.substring("word", F.lit(3), F.char_length("word"))
-    keys = F.transform(deletion_neighbours(rest, FAR), lambda d: F.concat(head, F.lit(" "), d))
-    two = F.char_length("word") >= 2
-    index = _entries(dictionary.where(two), F.explode(keys))
+def _prefix_hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFrame:
+    same, distance = _REACH[kind]
+    head = F.left("word", F.lit(same))
+    rest = F.substring("word", F.lit(same + 1), F.char_length("word"))
+    keys = F.transform(deletion_neighbours(rest, distance), lambda d: F.concat(head, F.lit(" "), d))
+    long_enough = F.char_length("word") >= same
+    index = _entries(dictionary.where(long_enough), F.explode(keys))
     longest = dictionary.agg(F.max(F.char_length("word"))).first()[0] or 0
-    reachable = words.where(two & (F.col("size") <= longest + FAR))
+    reachable = words.where(
+        F.col("open") & long_enough & (F.col("size") <= longest + distance)
+    )
     probes = F.transform(
         keys,
         lambda k: F.named_struct(
-            F.lit("key"), k, F.lit("kind"), F.lit(PREFIX), F.lit("rank"), F.lit(0)
+            F.lit("key"), k, F.lit("kind"), F.lit(kind), F.lit("rank"), F.lit(0)
         ),
     )
-    return _match(reachable, probes, index).dropDuplicates(["word", "candidate"])
+    return _match(reachable, probes, index, distance)
 
 
 def prefix_matches(words: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
@@ -261,17 +286,13 @@ def prefix_matches(words: DataFrame, dictionary: DataFrame, size: int) -> DataFr
     return asked.withColumn("prefix", prefix).join(groups, "prefix").drop("prefix")
 
 
-def near_words(words: DataFrame, dictionary: DataFrame, prefix: int, distance: int) -> DataFrame:
-    """``(word, candidate, distance)`` for dictionary words that share the first 2 or 3
-    characters (``prefix``) and are at most ``distance`` edits away.
+def near_words(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFrame:
+    """``(word, candidate, distance)``: dictionary words with the same first 3 characters and
+    distance <= 2 (``CLOSE``), or the same first 2 and distance <= 3 (``WIDE``).
     """
-    hits = _all_hits(words, dictionary, [PREFIX])
-    head = F.lit(prefix)
-    return (
-        hits.where(F.char_length("word") >= prefix)
-        .where(F.left("word", head) == F.left("candidate", head))
-        .select("word", "candidate", F.levenshtein("word", "candidate").alias("distance"))
-        .where(F.col("distance") <= distance)
+    hits = _hits(words, dictionary, [kind]).dropDuplicates(["word", "candidate"])
+    return hits.select(
+        "word", "candidate", F.levenshtein("word", "candidate").alias("distance")
     )
 
 
@@ -279,50 +300,45 @@ def variant_matches(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``(word, candidate, position)``: one-step variants that are dictionary words, with
     the place at which they are first made.
     """
-    hits = _all_hits(words, dictionary, [VARIANT])
+    hits = _hits(words, dictionary, [VARIANT])
     return hits.groupBy("word", "candidate").agg(F.min("rank").alias("position"))
 
 
-def _all_hits(words: DataFrame, dictionary: DataFrame, kinds: Sequence[int]) -> DataFrame:
-    entries = dictionary.select("word").distinct()
+def _asked(words: DataFrame) -> DataFrame:
     # The work per word is far larger than its bytes, so the number of tasks is set here.
     tasks = shuffle_tasks(words.sparkSession)
-    asked = with_features(words.select("word").distinct().repartition(tasks, "word"))
-    by = _hits_by_broadcast if is_small(entries) else _hits_by_shuffle
-    return by(asked, entries, kinds)
+    distinct = words.select("word").distinct().repartition(tasks, "word")
+    return with_features(distinct).withColumn("open", F.lit(True))
+
+
+def _hits(words: DataFrame, dictionary: DataFrame, kinds: Sequence[int]) -> DataFrame:
+    entries = dictionary.select("word").distinct()
+    find = _hits_by_broadcast if is_small(entries) else _hits_by_shuffle
+    return find(_asked(words), entries, kinds)
+
 
+def _first_k(hits: DataFrame, k: int) -> DataFrame:
+    """``(word, found)``: the k best candidates of each word as ``(at, candidate)``, in order.
 
-def ranked_candidates(words: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
-    """``(word, candidate, position)``: the first k candidates of each word, plus one row
-    without a candidate for words that have fewer.
+    Words arrive partitioned by ``word``, and ranking keeps them so: nothing is shuffled, and
+    at most k rows per word are gathered.
     """
-    hits = _all_hits(words, dictionary, _RANKED)
-    best = (
-        _staged_rank(hits)
-        .groupBy("word", "candidate")
-        .agg(F.min("at").alias("at"))
-    )
+    best = _ranked(hits).groupBy("word", "candidate").agg(F.min("at").alias("at"))
     order = Window.partitionBy("word").orderBy("at", "candidate")
-    return (
-        best.withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= k)
-        .select("word", "candidate", "position")
-    )
+    first = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    one = F.struct(F.col("_n").cast("bigint").alias("at"), "candidate")
+    found = F.array_sort(F.collect_list(F.when(F.col("candidate").isNotNull(), one)))
+    return first.groupBy("word").agg(found.alias("found"))
 
 
 def suggest(words: DataFrame, dictionary: DataFrame, k: int = MAX_SUGGESTIONS) -> DataFrame:
-    """``(word, suggestions)`` for every distinct lower-case ``word``; the array may be empty.
-
-    At most k rows per word reach the final aggregate.
-    """
-    ranked = ranked_candidates(words, dictionary, k)
-    found = F.array_sort(
-        F.collect_list(
-            F.when(F.col("candidate").isNotNull(), F.struct("position", "candidate"))
-        )
-    )
-    return (
-        ranked.groupBy("word")
-        .agg(found.alias("_found"))
-        .select("word", F.col("_found.candidate").alias("suggestions"))
-    )
+    """``(word, suggestions)`` for every distinct lower-case ``word``; the array may be empty."""
+    entries = dictionary.select("word").distinct()
+    size = measure(entries)
+    find = _hits_by_broadcast if fits(size) else _hits_by_shuffle
+    rounds = _ALL_AT_ONCE if size[0] <= ONE_ROUND_ROWS else _IN_TURN
+    asked = _asked(words)
+    for kinds in rounds:
+        found = _first_k(find(asked, entries, kinds), k)
+        asked = with_features(found).withColumn("open", F.size("found") < k)
+    return found.select("word", F.col("found.candidate").alias("suggestions"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from wordmend.functions.edits import variants
 from wordmend.functions.patterns import DEFAULT_REGIONS
 from wordmend.operators.suggest import (
-    FAR,
-    NEAR,
+    CLOSE,
+    WIDE,
     near_words,
     prefix_matches,
     short_word_candidates,
@@ -316,13 +316,13 @@ def prefix_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def near_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = dictionary(spark, sf_dir)
-    return near_words(unknown(spark, sf_dir, words), words, 3, NEAR)
+    return near_words(unknown(spark, sf_dir, words), words, CLOSE)
 
 
 @query
 def far_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = dictionary(spark, sf_dir)
-    return near_words(unknown(spark, sf_dir, words), words, 2, FAR)
+    return near_words(unknown(spark, sf_dir, words), words, WIDE)
 
 
 @query

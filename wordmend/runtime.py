@@ -49,16 +49,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame) -> bool:
-    """Measure a table: may it be broadcast?"""
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of text of a table."""
     text = F.lit(0).cast("bigint")
     for name, kind in df.dtypes:
         if kind == "string":
             text = text + F.coalesce(F.octet_length(name), F.lit(0))
         elif kind == "array<string>":
             text = text + F.coalesce(F.octet_length(F.array_join(name, "")), F.lit(0))
-    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
-    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    return tuple(df.agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first())
+
+
+def fits(size: tuple[int, int]) -> bool:
+    """May a table of this size be broadcast?"""
+    return size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES
+
+
+def is_small(df: DataFrame) -> bool:
+    """Measure a table: may it be broadcast?"""
+    return fits(measure(df))
 
 
 def shuffle_tasks(spark: SparkSession) -> int:
