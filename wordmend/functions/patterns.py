@@ -11,7 +11,8 @@ _LETTER_NOT_UPPER = (
     r"(?:[a-z'](?=[\x00-\x7F]|\z)|(?=[\p{IsAlphabetic}'&&[^\p{M}\p{IsUppercase}]])\X)"
 )
 # A part of a plain-text word: words end at anything but a letter, apostrophe or hyphen,
-# and compounds split at hyphens and in front of capitals.
+# and compounds split at hyphens and in front of capitals. (A combining mark on a hyphen is
+# treated as part of the hyphen.)
 PLAIN_PART = _LETTER + _LETTER_NOT_UPPER + "*+"
 MARKDOWN_WORD = r"[\p{IsAlphabetic}'\-]++"
 CODE_WORD = r"\p{IsAlphabetic}++"
