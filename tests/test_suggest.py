@@ -67,7 +67,8 @@ def random_words(rng, n, letters, longest):
 @pytest.fixture(scope="module")
 def vocabulary():
     rng = random.Random(11)
-    dictionary = random_words(rng, 900, "abesté", 7) | random_words(rng, 300, "abes", 4)
+    dictionary = random_words(rng, 900, "abesté", 6) | random_words(rng, 300, "abes", 4)
+    dictionary |= random_words(rng, 200, "abest", 9)
     asked = random_words(rng, 500, "abesté", 9) | {"a", "é", "zz", "zzzzzzzz", "ab" * 30}
     return sorted(dictionary), sorted(asked - dictionary)
 
@@ -77,13 +78,14 @@ def frame(spark, values):
 
 
 @pytest.mark.parametrize("k", [1, 5])
-@pytest.mark.parametrize("way", ["one round", "two rounds", "shuffled"])
+@pytest.mark.parametrize("way", ["one round", "two rounds", "shuffled", "shuffled, few long"])
 def test_against_the_cascade(spark, vocabulary, monkeypatch, way, k):
     dictionary, asked = vocabulary
     if way != "one round":
         monkeypatch.setattr(module, "ONE_ROUND_ROWS", 0)
-    if way == "shuffled":
-        monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    if way.startswith("shuffled"):
+        monkeypatch.setattr(runtime, "BROADCAST_ROWS", 200 if "long" in way else 0)
+        monkeypatch.setattr(module, "LONG_WORD", 6 if "long" in way else 16)
     got = suggest(frame(spark, asked), frame(spark, dictionary), k).collect()
     assert len(got) == len(asked)
     known = set(dictionary)

@@ -1 +1,43 @@
 """Spell checking of large text collections as Spark DataFrame jobs."""
+
+from wordmend.functions.patterns import DEFAULT_IGNORE, DEFAULT_REGIONS, MAX_SUGGESTIONS
+from wordmend.operators.suggest import suggest
+from wordmend.operators.tokens import tokens
+from wordmend.plans.check import check, find, misspellings_per_document, summarize
+from wordmend.plans.fix import apply_decisions, fix, new_personal_words, summarize_fixes
+from wordmend.plans.report import flat_report, json_report, review_list
+from wordmend.sources.dictionaries import (
+    build_dictionary,
+    dictionary_catalog,
+    install_dictionary,
+    load_dictionary,
+)
+from wordmend.sources.documents import read_documents
+from wordmend.sources.wordlists import builtin_words, read_personal_words, read_word_list
+
+__all__ = [
+    "DEFAULT_IGNORE",
+    "DEFAULT_REGIONS",
+    "MAX_SUGGESTIONS",
+    "apply_decisions",
+    "build_dictionary",
+    "builtin_words",
+    "check",
+    "dictionary_catalog",
+    "find",
+    "fix",
+    "flat_report",
+    "install_dictionary",
+    "json_report",
+    "load_dictionary",
+    "misspellings_per_document",
+    "new_personal_words",
+    "read_documents",
+    "read_personal_words",
+    "read_word_list",
+    "review_list",
+    "suggest",
+    "summarize",
+    "summarize_fixes",
+    "tokens",
+]

@@ -53,6 +53,8 @@ _ALL_AT_ONCE = ((WIDE, LEADING, SHORT, ALWAYS),)
 _IN_TURN = ((CLOSE, LEADING, ALWAYS), (WIDE, SHORT, ALWAYS))
 # Dictionaries up to this size are cheap enough to ask all sources at once.
 ONE_ROUND_ROWS = 50_000
+# Dictionary words longer than this are joined by prefix even if the others are shuffled.
+LONG_WORD = 16
 _LAST = 9
 # Source and rank within it as one sortable number.
 _SOURCE = 1 << 32
@@ -245,6 +247,24 @@ def _hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kinds: Sequence[in
 
 
 def _prefix_hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFrame:
+    """Long words have very many such strings, but there are few long dictionary words: those
+    are broadcast if they fit.
+    """
+    is_long = F.char_length("word") > LONG_WORD
+    long_words = dictionary.where(is_long)
+    if not is_small(long_words):
+        return _deletion_hits(words, dictionary, kind)
+    reach = _REACH[kind][1]
+    probes = _match(
+        words.where(F.col("size") > LONG_WORD - reach),
+        _probes([kind]),
+        F.broadcast(_prefix_entries(long_words, kind)),
+        reach,
+    )
+    return _deletion_hits(words, dictionary.where(~is_long), kind).unionByName(probes)
+
+
+def _deletion_hits(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFrame:
     same, distance = _REACH[kind]
     head = F.left("word", F.lit(same))
     rest = F.substring("word", F.lit(same + 1), F.char_length("word"))

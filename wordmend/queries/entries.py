@@ -39,7 +39,7 @@ from wordmend.plans.fix import (
     summarize_fixes,
     with_decisions,
 )
-from wordmend.plans.report import changed_documents, flat_report, json_report
+from wordmend.plans.report import changed_documents, flat_report, json_report, review_list
 from wordmend.queries.tables import (
     DOC,
     TURN,
@@ -414,6 +414,14 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("files_checked", "total_errors", F.to_json("errors").alias("errors"))
 
 
+@query
+def review_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations(spark, sf_dir)
+    found = check(turns, TURN, dictionary(spark, sf_dir), max_suggestions=12)
+    listed = review_list(found, TURN)
+    return listed.select(*TURN, "start", "word", F.array_join("options", " ").alias("options"))
+
+
 # --- fix -------------------------------------------------------------------------------
 
 

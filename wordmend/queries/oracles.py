@@ -402,6 +402,13 @@ SELECT 1 AS files_checked, coalesce(n, 0)::INT AS total_errors,
        coalesce(to_json(errors)::VARCHAR, '[]') AS errors
 FROM documents d LEFT JOIN lists l ON l.doc_id = d.doc_id"""
 
+    out["review_options"] = f"""
+WITH {_DICTIONARY},{turns},{_unknown('bad', 'turns', 'dictionary')},
+asked AS (SELECT DISTINCT lower(word) AS word FROM bad),{_suggested(12)}
+SELECT conv_id, turn, "start", b.word, array_to_string(
+         list_transform(list[1:9], lambda s, i: '[' || i || '] ' || s), ' ') AS options
+FROM bad b JOIN suggested s ON s.word = lower(b.word)"""
+
     first = 'edits AS (SELECT {keys}, "start", "end", list[1] AS new FROM bad b JOIN suggested s ON s.word = lower(b.word))'
     out["autofix_text"] = f"""
 WITH {_ASKED},{_suggested(1)},
