@@ -136,6 +136,12 @@ def test_against_brute_force(spark):
     assert counted == {i: len(v) for i, v in got.items()}
 
 
+def test_very_long_texts_are_counted_whole(spark):
+    frame = spark.range(1).select("id", F.expr("repeat('someWord éé-x\\n', 120000) || 'tail'").alias("text"))
+    got = {r.word: r.n for r in words(frame, ["id"]).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    assert got == {"some": 120000, "word": 120000, "éé": 120000, "tail": 1}
+
+
 def test_skipped_regions_keep_positions(docs):
     text = "seé https://ex.com/pagé?q=one two me@host.example end"
     got = found(docs, text, skip_regions=[URL, EMAIL])

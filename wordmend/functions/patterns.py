@@ -17,9 +17,12 @@ PLAIN_PART = _LETTER + _LETTER_NOT_UPPER + "*+"
 MARKDOWN_WORD = r"[\p{IsAlphabetic}'\-]++"
 CODE_WORD = r"\p{IsAlphabetic}++"
 
-# A stretch of a long line that does not end inside a word.
-SEGMENT = r"(?s).{1,2000}+[\p{IsAlphabetic}\p{M}'\-\x{200C}\x{200D}]*+"
+_REST_OF_WORD = r"[\p{IsAlphabetic}\p{M}'\-\x{200C}\x{200D}]*+"
+# A stretch of a long line, or of a very long text, that does not end inside a word.
+SEGMENT = r"(?s).{1,2000}+" + _REST_OF_WORD
 SHORT_LINE_BYTES = 4000
+BIG_SEGMENT = r"(?s).{1,500000}+" + _REST_OF_WORD
+SHORT_TEXT_BYTES = 1_000_000
 
 # --- source code -----------------------------------------------------------------------
 

@@ -67,40 +67,39 @@ def keep_only(text: Column, pattern: str, keep: Callable[[Column], Column]) -> C
     return let(text, apply)
 
 
-def _without_cr(line: Column) -> Column:
-    """A line without the carriage return of a CRLF line end."""
-    return F.when(
-        F.endswith(line, F.lit("\r")), F.substring(line, F.lit(1), F.char_length(line) - 1)
-    ).otherwise(line)
+def before(raw: Column, at: Column) -> Column:
+    """Up to 21 characters in front of byte ``at`` of a line.
 
-
-def _around(line: Column, at: Column, size: Column) -> tuple[Column, Column, Column]:
-    """The bytes before, in and after a word, cut close to the context width."""
-    raw = line.cast("binary")
+    Cutting by bytes first keeps the cost independent of the line's length.
+    """
     first = F.greatest(at - CONTEXT_BYTES, F.lit(0))
-    left = F.substring(raw, first + 1, at - first).cast("string")
-    word = F.substring(raw, at + 1, size).cast("string")
-    right = F.substring(raw, at + size + 1, F.lit(CONTEXT_BYTES)).cast("string")
-    return left, word, _without_cr(right)
+    near = F.substring(raw, first + 1, at - first).cast("string")
+    return F.substring(near, -CONTEXT_CHARS - 1, CONTEXT_CHARS + 1)
+
 
+def after(raw: Column, at: Column) -> Column:
+    """Up to 21 characters from byte ``at`` of a line on, without a final carriage return."""
+    near = F.substring(raw, at + 1, F.lit(CONTEXT_BYTES)).cast("string")
+    whole = F.when(
+        F.endswith(near, F.lit("\r")), F.substring(near, F.lit(1), F.char_length(near) - 1)
+    ).otherwise(near)
+    return F.substring(whole, 1, CONTEXT_CHARS + 1)
 
-def short_context(line: Column, at: Column, size: Column, both_ends: Column) -> Column:
-    """Up to 20 characters on both sides of a word, with ``...`` where text was cut.
+
+def short_context(left: Column, word: Column, right: Column, both_ends: Column) -> Column:
+    """A word with up to 20 characters on both sides, and ``...`` where text was cut.
 
     Plain text marks both cut ends; Markdown marks the left one, or else the right one.
-    Cutting by bytes first keeps the cost independent of the line's length.
+    ``left`` and ``right`` are those of ``before`` and ``after``.
     """
-    left, word, right = _around(line, at, size)
+    dots = F.lit("...")
     cut_left = F.char_length(left) > CONTEXT_CHARS
     cut_right = F.char_length(right) > CONTEXT_CHARS
-    dots = F.lit("...")
-    none = F.lit("")
+    short = F.substring(right, 1, CONTEXT_CHARS)
     return F.concat(
-        F.when(cut_left, dots).otherwise(none),
-        F.right(left, F.lit(CONTEXT_CHARS)),
+        F.when(cut_left, F.concat(dots, F.substring(left, 2, CONTEXT_CHARS))).otherwise(left),
         word,
-        F.left(right, F.lit(CONTEXT_CHARS)),
-        F.when(cut_right & (both_ends | ~cut_left), dots).otherwise(none),
+        F.when(cut_right & (both_ends | ~cut_left), F.concat(short, dots)).otherwise(short),
     )
 
 

@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from wordmend.functions.arrays import let, matches_and_gaps, piece_lengths, running_starts
 from wordmend.functions.patterns import (
+    BIG_SEGMENT,
     CODE_WORD,
     EMAIL,
     MARKDOWN_WORD,
     PLAIN_PART,
     SEGMENT,
     SHORT_LINE_BYTES,
+    SHORT_TEXT_BYTES,
     URL,
 )
-from wordmend.functions.text import CONTEXT_BYTES, mask, short_context
+from wordmend.functions.text import CONTEXT_BYTES, after, before, mask, short_context
 from wordmend.operators.code import code_fragments, fragment, only_blocks, without_blocks
 from wordmend.operators.markdown import mask_markdown
 from wordmend.sources.documents import (
@@ -164,30 +166,41 @@ def scan(
             versions.append("_scan")
         carried = list(keys)
 
-    found = lines(source, carried, *versions)
-    if path:
-        fragments = _fragments(F.col("_style"), F.col("_python"), block_comments)
+    place = [*keys, "_style"]
+    if path or positions:
+        place += ["line", "line_start", "_offset", "_base", "_base_at"]
+        found = lines(source, carried, *versions)
+        if path:
+            fragments = _fragments(F.col("_style"), F.col("_python"), block_comments)
+        else:
+            found = found.withColumn("_style", F.lit(PLAIN_TEXT))
+            fragments = _segments(F.col(versions[-1]), F.col("_text"))
+        found = found.select(
+            *keys, "_style", "line", "line_start", F.explode(fragments).alias("_f")
+        ).select(
+            *keys,
+            "_style",
+            "line",
+            "line_start",
+            F.col("_f.at").alias("_offset"),
+            F.col("_f.text").alias("_scan"),
+            F.col("_f.base").alias("_base"),
+            F.col("_f.base_at").alias("_base_at"),
+        )
     else:
-        found = found.withColumn("_style", F.lit(PLAIN_TEXT))
-        fragments = _segments(F.col(versions[-1]), F.col("_text"))
-    found = found.select(
-        *keys, "_style", "line", "line_start", F.explode(fragments).alias("_f")
-    ).select(
-        *keys,
-        "_style",
-        "line",
-        "line_start",
-        F.col("_f.at").alias("_offset"),
-        F.col("_f.text").alias("_scan"),
-        F.col("_f.base").alias("_base"),
-        F.col("_f.base_at").alias("_base_at"),
-    )
+        # No word of plain text spans lines, so without positions they need not be split.
+        whole = F.col(versions[-1])
+        stretches = F.when(F.octet_length(whole) <= SHORT_TEXT_BYTES, F.array(whole)).otherwise(
+            F.regexp_extract_all(whole, F.lit(BIG_SEGMENT), F.lit(0))
+        )
+        found = source.select(
+            *keys, F.lit(PLAIN_TEXT).alias("_style"), F.explode(stretches).alias("_scan")
+        )
     if path:
         matches, gaps = _word_arrays(F.col("_style"), F.col("_scan"))
     else:
         matches, gaps = matches_and_gaps(F.col("_scan"), PLAIN_PART)
 
-    place = [*keys, "_style", "line", "line_start", "_offset", "_base", "_base_at"]
     arrays = found.select(*place, matches.alias("_matches"), gaps.alias("_gaps"))
     zipped = ["_matches", "_gaps"]
     if positions:
@@ -222,18 +235,24 @@ def scan(
         ]
     result = pieces.select(*columns, "_style")
     long_enough = (F.col("_style") == MARKDOWN) | (F.octet_length("word") > 1)
-    has_letter = F.translate("word", "'-", "") != ""
+    starts_with_letter = ~F.left("word", F.lit(1)).isin("'", "-")
+    has_letter = starts_with_letter | (F.translate("word", "'-", "") != "")
     result = result.where(long_enough & has_letter)
     return result if positions else result.drop("_style")
 
 
 def with_context(words: DataFrame) -> DataFrame:
     """Add ``context`` to scanned words. Best done after filters: it costs time per word."""
-    short = short_context(
-        F.col("_base"), F.col("_at"), F.octet_length("_part"), F.col("_style") != MARKDOWN
+    sides = words.withColumn("_raw", F.col("_base").cast("binary")).withColumns(
+        {
+            "_left": before(F.col("_raw"), F.col("_at")),
+            "_right": after(F.col("_raw"), F.col("_at") + F.octet_length("_part")),
+        }
     )
+    both_ends = F.col("_style") != MARKDOWN
+    short = short_context(F.col("_left"), F.col("_part"), F.col("_right"), both_ends)
     context = F.when(F.col("_style") == SOURCE_CODE, F.col("_base")).otherwise(short)
-    return words.withColumn("context", context).drop(*_INTERNAL)
+    return sides.withColumn("context", context).drop(*_INTERNAL, "_raw", "_left", "_right")
 
 
 def without_context(words: DataFrame) -> DataFrame:
