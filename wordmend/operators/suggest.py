@@ -76,15 +76,17 @@ def short_word_candidates(dictionary: DataFrame) -> DataFrame:
     """``(for_size, word)``: the first 100 words in byte order that are at most one
     character longer or shorter than ``for_size``, for sizes 1 to 3.
     """
+    short = dictionary.select("word").where(F.char_length("word") <= SHORT_WORD + 1)
+    return _first_short(short.distinct())
+
+
+def _first_short(entries: DataFrame) -> DataFrame:
     size = F.char_length("word")
+    sizes = [F.when(F.abs(size - n) <= 1, n) for n in range(1, SHORT_WORD + 1)]
     sized = (
-        dictionary.select("word")
-        .where(size <= SHORT_WORD + 1)
-        .distinct()
-        .withColumn(
-            "for_size",
-            F.explode(F.filter(F.array(*map(F.lit, range(1, SHORT_WORD + 1))), lambda s: F.abs(s - size) <= 1)),
-        )
+        entries.where(size <= SHORT_WORD + 1)
+        .withColumn("for_size", F.explode(F.array(*sizes)))
+        .where(F.col("for_size").isNotNull())
     )
     order = Window.partitionBy("for_size").orderBy("word")
     return (
@@ -107,7 +109,7 @@ def _fixed_entries(dictionary: DataFrame) -> DataFrame:
     """At most 301 entries: source 4, and one entry every word finds."""
     spark = dictionary.sparkSession
     short = _entries(
-        short_word_candidates(dictionary), _key(SHORT, F.col("for_size").cast("string"))
+        _first_short(dictionary), _key(SHORT, F.col("for_size").cast("string"))
     )
     always = spark.range(1).select(
         _key(ALWAYS, F.lit("")).alias("key"),
@@ -200,26 +202,26 @@ def _match(words: DataFrame, probes: Column, index: DataFrame, distance: int) ->
     return asked.join(index, "key").where(_close_enough(distance))
 
 
-def _prefix_entries(dictionary: DataFrame, kind: int) -> DataFrame:
-    same = _REACH[kind][0]
-    long_enough = dictionary.where(F.char_length("word") >= same)
-    return _entries(long_enough, _key(kind, F.left("word", F.lit(same))))
-
-
-def _word_entries(dictionary: DataFrame) -> DataFrame:
-    return _entries(dictionary, _key(VARIANT, F.col("word")))
+def _index(dictionary: DataFrame, kinds: Sequence[int]) -> DataFrame:
+    """The entries of all words for prefix probes and look-ups."""
+    word = F.col("word")
+    keys = [
+        F.when(F.char_length(word) >= same, _key(kind, F.left(word, F.lit(same))))
+        for kind, (same, _) in _REACH.items()
+        if kind in kinds
+    ]
+    if VARIANT in kinds or LEADING in kinds:
+        keys.append(_key(VARIANT, word))
+    return _entries(dictionary, F.explode(F.array(*keys))).where(F.col("key").isNotNull())
 
 
 def _hits_by_broadcast(
     words: DataFrame, dictionary: DataFrame, kinds: Sequence[int]
 ) -> DataFrame:
     """All sources against a broadcast index: the words stay where they are."""
-    parts = [_prefix_entries(dictionary, k) for k in kinds if k in _REACH]
-    if VARIANT in kinds or LEADING in kinds:
-        parts.append(_word_entries(dictionary))
+    index = _index(dictionary, kinds)
     if SHORT in kinds or ALWAYS in kinds:
-        parts.append(_fixed_entries(dictionary))
-    index = reduce(DataFrame.unionByName, parts)
+        index = index.unionByName(_fixed_entries(dictionary))
     return _match(words, _probes(kinds), F.broadcast(index), _distance_of(kinds))
 
 
@@ -238,7 +240,7 @@ def _hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kinds: Sequence[in
     parts = [_prefix_hits_by_shuffle(words, dictionary, k) for k in kinds if k in _REACH]
     looked_up = [k for k in kinds if k in (VARIANT, LEADING)]
     if looked_up:
-        parts.append(_match(words, _probes(looked_up), _word_entries(dictionary), 0))
+        parts.append(_match(words, _probes(looked_up), _index(dictionary, looked_up), 0))
     fixed = [k for k in kinds if k in (SHORT, ALWAYS)]
     if fixed:
         index = F.broadcast(_fixed_entries(dictionary))
@@ -258,7 +260,7 @@ def _prefix_hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kind: int)
     probes = _match(
         words.where(F.col("size") > LONG_WORD - reach),
         _probes([kind]),
-        F.broadcast(_prefix_entries(long_words, kind)),
+        F.broadcast(_index(long_words, [kind])),
         reach,
     )
     return _deletion_hits(words, dictionary.where(~is_long), kind).unionByName(probes)

@@ -259,8 +259,7 @@ def url_masked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(
         read(spark, sf_dir, "pages").select(
             "page_id", F.concat("url", F.lit(" "), "html").alias("text")
-        ),
-        ["page_id"],
+        )
     )
     words = words_of(pages, ["page_id"], skip_regions=DEFAULT_REGIONS)
     return words.groupBy("page_id").agg(

@@ -23,11 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), DOC)
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read(spark, sf_dir, "conversations"), TURN)
+    return spread(read(spark, sf_dir, "conversations"))
 
 
 def positions_of(table: DataFrame, keys: list[str], **options: object) -> DataFrame:

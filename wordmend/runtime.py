@@ -71,11 +71,15 @@ def is_small(df: DataFrame) -> bool:
 
 
 def shuffle_tasks(spark: SparkSession) -> int:
-    """Partitions for steps whose work is not proportional to their bytes."""
-    return _TASKS_PER_SLOT * max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        spark.sparkContext.defaultParallelism,
-    )
+    """Partitions for steps whose work is not proportional to their bytes.
+
+    The number differs from that of ordinary shuffles: Spark would drop a repartitioning that
+    an aggregate seems to provide already, and adaptive execution would then merge its
+    partitions by size.
+    """
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(usual, _TASKS_PER_SLOT * spark.sparkContext.defaultParallelism)
+    return wanted + 1 if wanted == usual else wanted
 
 
 def join_by_key(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +47,7 @@ def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
-def spread(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
+def spread(documents: DataFrame) -> DataFrame:
     """Give every core work when a table has fewer files than there are cores.
 
     Tokenizing happens where a document was read, and a small table is often one row group.
@@ -56,7 +56,7 @@ def spread(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
     tasks = documents.sparkSession.sparkContext.defaultParallelism
     if len(documents.inputFiles()) >= tasks:
         return documents
-    return documents.repartition(4 * tasks, *keys)
+    return documents.repartition(4 * tasks)
 
 
 def extension(path: Column) -> Column:
