@@ -102,6 +102,15 @@ def test_fix(docs, words, way):
     assert tuple(summarize_fixes(got).first()) == (5, 7)
 
 
+def test_keys_may_repeat(spark, words):
+    rows = [("k", "teh a-teh"), ("k", "cat teh"), ("k", "cat teh"), ("k", "the"), ("l", "teh")]
+    frame = spark.createDataFrame(rows, "key string, text string")
+    got = fix(frame, ["key"], words("the cat"))
+    assert sorted((r.key, r.text, r.fixed_count) for r in got.collect()) == [
+        ("k", "cat the", 1), ("k", "cat the", 1), ("k", "the", 0), ("k", "the a-the", 2), ("l", "the", 1),
+    ]
+
+
 def test_fix_of_compounds_and_wide_text(docs, words):
     text = "tehCat é-teh\r\n中teh teh"
     (row,) = fix(docs({"a.txt": text}), ["path"], words("the cat")).collect()

@@ -16,44 +16,20 @@ def found(docs, text, **options):
 
 
 def plain_words(text):
-    """Brute force: graphemes to words, words to parts, with byte offsets."""
-    out = []
-    offset = 0
-    lines = text.split("\n")
-    for number, line in enumerate(lines, 1):
-        run, run_at, at = [], 0, 0
-        for cluster in regex.findall(r"\X", line) + [" "]:
-            if cluster[0].isalpha() or cluster[0] in "'-":
-                if not run:
-                    run_at = at
-                run.append(cluster)
-            elif run:
-                out += [(w, number, run_at + s, offset + run_at + s, offset + run_at + e)
-                        for w, s, e in parts("".join(run))]
-                run = []
-            at += len(cluster.encode())
-        offset += len(line.encode()) + 1
-    return [(w, n, c + 1, s, e) for w, n, c, s, e in out]
-
-
-def parts(word):
-    out, current, begin, at = [], "", 0, 0
-    for ch in word:
-        if ch in "-_":
-            if current:
-                out.append((current, begin, at))
-            current = ""
-        elif ch.isupper() and current:
-            out.append((current, begin, at))
-            current, begin = ch.lower()[0], at
-        else:
-            if not current:
-                begin = at
-            current += ch
-        at += len(ch.encode())
-    if current:
-        out.append((current, begin, at))
-    return [p for p in out if len(p[0].encode()) > 1 and any(c.isalpha() for c in p[0])]
+    """Brute force with Python's regex module: runs of word graphemes, then their parts."""
+    out, line_at = [], 0
+    for number, line in enumerate(text.split("\n"), 1):
+        for run in regex.finditer(r"(?:(?=[\p{Alphabetic}'-])\X)+", line):
+            for part in regex.finditer(r"[^-][^-\p{Uppercase}]*", run[0]):
+                word = part[0]
+                if part.start() and run[0][part.start() - 1] != "-":
+                    word = word[0].lower()[0] + word[1:]
+                if len(word.encode()) > 1 and regex.search(r"\p{Alphabetic}", word):
+                    at = len(line[: run.start() + part.start()].encode())
+                    size = len(part[0].encode())
+                    out.append((word, number, at + 1, line_at + at, line_at + at + size))
+        line_at += len(line.encode()) + 1
+    return out
 
 
 def test_sentence(docs):
