@@ -42,6 +42,13 @@ def test_html(docs):
     assert found(docs, "a < b and c > d") == ["a", "b", "and", "c", "d"]
 
 
+def test_openings_without_an_end(docs):
+    assert found(docs, "one <!-- two `code` <i>three</i>\n\nfour --> five") == ["one", "two", "three", "four", "five"]
+    assert found(docs, "one <!-- gone\ngone --> two <? gone ?> three <!X gone> four") == ["one", "two", "three", "four"]
+    assert found(docs, "`<!--` one `-->` <![CDATA[ gone > ]]> two") == ["one", "two"]
+    assert found(docs, "one `two\n\nthree` four") == ["one", "two", "three", "four"]
+
+
 def test_links(docs):
     text = '[link text](http://host/path "title") ![alt](img.png) end'
     assert found(docs, text) == ["link", "text", "alt", "end"]

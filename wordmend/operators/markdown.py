@@ -48,14 +48,25 @@ _HTML_BLOCK = (
     rf"|(?<=\A[ ]{{0,3}}|\n[ \t\r]{{0,80}}\n[ ]{{0,3}}){_TAG}[ \t\r]*+$(?:\n(?![ \t\r]*+(?:\n|\z))[^\n]*+)*+"
     r")"
 )
-# Escapes and autolinks are matched so that they cannot open something else; they stay.
-_INLINE = (
+# Escapes, autolinks and lone back-ticks are matched so that they cannot open something else.
+_CODE_OR_TAG = (
     r"(?s)\\[!-/:-@\[-`{-~]"
     r"|(?<!`)(`++)(?:[^`\n]++|\n(?![ \t\r]*+\n)|(?!\1(?!`))`++)*+\1(?!`)"
     r"|`++"
     r"|<[A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*+>"
     rf"|{_TAG}"
-    r"|<!--.*?-->|<\?.*?\?>|<![A-Za-z][^>]*+>|<!\[CDATA\[.*?\]\]>"
+)
+
+
+def _until(end: str) -> str:
+    """To ``end``, or if that is missing, to the end of the paragraph."""
+    return rf"(?:(?!{end})[^\n]|\n(?![ \t\r]*+\n))*+(?:{end})?"
+
+
+# Other HTML that begins inside a paragraph, and how it ends.
+_ENDS = {"<!--": "-->", "<?": "?>", "<![CDATA[": "]]>", "<!": ">"}
+_INLINE = _CODE_OR_TAG + "".join(
+    rf"|\Q{start}\E{_until(rf'\Q{end}\E')}" for start, end in _ENDS.items()
 )
 _TITLE = r"""(?:"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'|\((?:[^()\\]++|\\.)*+\))"""
 _DEFINITION = (
@@ -73,17 +84,26 @@ _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 def _is_inline_code_or_html(found: Column) -> Column:
     opening = F.left(found, F.lit(1))
     closed_code = (opening == "`") & ~found.rlike(r"^`+$")
-    return closed_code | ((opening == "<") & ~found.rlike(r"^<[A-Za-z][A-Za-z0-9+.\-]{1,31}:"))
+    closed_html = ~found.rlike(r"^<[A-Za-z][A-Za-z0-9+.\-]{1,31}:")
+    for start, end in reversed(_ENDS.items()):
+        closed_html = F.when(F.startswith(found, F.lit(start)), F.endswith(found, F.lit(end))).otherwise(
+            closed_html
+        )
+    return closed_code | ((opening == "<") & closed_html)
 
 
 def _when_found(pattern: str, change: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda t: F.when(t.rlike(pattern), change(t)).otherwise(t)
 
 
+def _blank_closed(found: Column) -> Column:
+    return F.when(_is_inline_code_or_html(found), blank(found)).otherwise(found)
+
+
 def _inline(text: Column) -> Column:
-    return mask(
-        text, _INLINE, lambda m: F.when(_is_inline_code_or_html(m), blank(m)).otherwise(m)
-    )
+    """What follows an opening without an end was passed over, so it is looked at again."""
+    once = mask(text, _INLINE, _blank_closed)
+    return let(once, _when_found("<[!?]", lambda t: mask(t, _CODE_OR_TAG, _blank_closed)))
 
 
 def _references(text: Column) -> Column:
