@@ -33,7 +33,7 @@ def way(request, monkeypatch):
     if request.param != "broadcast":
         monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
     if request.param == "salted":
-        monkeypatch.setattr(runtime, "ROWS_PER_KEY_TASK", 2)
+        monkeypatch.setattr(runtime, "shuffle_tasks", lambda spark: 100)
     return request.param
 
 
@@ -70,7 +70,6 @@ def test_personal_words_and_ignore_rules(docs, words):
 
 def test_a_frequent_word_is_spread_over_tasks(spark, words, monkeypatch):
     monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(runtime, "ROWS_PER_KEY_TASK", 50)
     frame = spark.range(40).select(F.col("id"), F.expr("repeat('teh ', 30) || 'rare' || id").alias("text"))
     got = check(frame, ["id"], words("the"))
     assert got.where("word = 'teh'").count() == 1200

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from wordmend.queries.entries import QUERIES
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
@@ -28,10 +29,10 @@ def rows(frame):
 
 
 def test_every_query_has_an_equivalent():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, database, name):
     got = entry.queries()[name](spark, TABLES).toPandas()
     want = database.sql(entry.oracle_sql()[name]).df()

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,28 +12,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 << 20
 
-# Keys with more rows than this are spread over several join tasks.
-ROWS_PER_KEY_TASK = 1_000_000
-# Only the heaviest keys can need that; every other key has less than 1/1000 of the rows.
-HEAVY_KEYS = 1000
-
 _TASKS_PER_SLOT = 3
 
 
-@functools.cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"wordmend-{application}-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder staged tables go to: ``spark.checkpoint.dir`` as the cluster set it."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
+    """The folder staged tables go to: ``spark.checkpoint.dir``, which all executors reach."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_folder(context.applicationId)
+    return folder
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -82,29 +68,39 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return wanted + 1 if wanted == usual else wanted
 
 
-def join_by_key(
-    facts: DataFrame, lookup: DataFrame, key: str, count: str, spread: list[Column]
+def salted_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    count: str,
+    spread: Sequence[Column],
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of many rows with a table that has ``key`` once.
+    """Join many rows with a table that has each key ``on`` once (keys are not null).
 
-    ``count`` is the column of ``lookup`` with the number of fact rows of the key. A small
-    lookup is broadcast. Otherwise both sides are shuffled, and the few keys that are too
-    heavy for one task are spread by a hash of ``spread``.
+    ``count`` is the column of ``lookup`` with the number of fact rows of the key. A key with
+    more rows than a task's even share is spread over several tasks by a hash of ``spread``.
+    No more keys than tasks can be that heavy, so their list is small at any size.
     """
-    if is_small(lookup):
-        return facts.join(F.broadcast(lookup), key)
-    heavy = (
-        lookup.where(F.col(count) > ROWS_PER_KEY_TASK)
-        .select(key, F.ceil(F.col(count) / ROWS_PER_KEY_TASK).cast("int").alias("_copies"), count)
-        .orderBy(F.desc(count), key)
-        .limit(HEAVY_KEYS)
-        .drop(count)
+    total = lookup.agg(F.sum(count)).first()[0] or 0
+    share = max(1, total // shuffle_tasks(facts.sparkSession))
+    heavy = lookup.where(F.col(count) > share).select(
+        *on, F.ceil(F.col(count) / share).cast("int").alias("_copies")
     )
     copies = F.coalesce("_copies", F.lit(1))
-    left = facts.join(F.broadcast(heavy), key, "left").withColumn(
+    left = facts.join(F.broadcast(heavy), [*on], "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), copies).cast("int")
     )
-    right = lookup.join(F.broadcast(heavy), key, "left").withColumn(
+    right = lookup.join(F.broadcast(heavy), [*on], "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), copies - 1))
     )
-    return left.drop("_copies").join(right.drop("_copies"), [key, "_salt"]).drop("_salt")
+    return left.drop("_copies").join(right.drop("_copies"), [*on, "_salt"], how).drop("_salt")
+
+
+def join_by_key(
+    facts: DataFrame, lookup: DataFrame, key: str, count: str, spread: list[Column]
+) -> DataFrame:
+    """Inner join of many rows with a table that has ``key`` once, broadcast if it is small."""
+    if is_small(lookup):
+        return facts.join(F.broadcast(lookup), key)
+    return salted_join(facts, lookup, [key], count, spread)
