@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmend.llm import mixing
+from wordmend.llm import chat, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +28,62 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document a mix with the target weights takes."""
     rows = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(rows).drop("text", "source")
+
+
+@query
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, then read back from the formatted text and its mask."""
+    odd = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", odd), (-7, 1, "assistant", odd)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    formatted = chat.format_conversations(rows.unionByName(extra))
+    line = F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return (
+        formatted.withColumns(
+            {
+                "_turns": chat.read_turns(F.col("formatted")),
+                "_loss": F.array_join(chat.masked_texts(F.col("formatted"), F.col("loss_mask")), ""),
+            }
+        )
+        .select(
+            "conv_id",
+            F.size("_turns").cast("bigint").alias("n_turns"),
+            F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+            F.char_length("_loss").cast("bigint").alias("loss_chars"),
+            F.sha2("_loss", 256).alias("loss_sha256"),
+            F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+        )
+    )
+
+
+ORACLES["op1_chat_format"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), escaped AS (
+    SELECT *,
+        replace(replace(replace(replace(replace(text, '\', '\\'),
+            '<turn>', '<\turn>'), '<says/>', '<\says/>'), '<next/>', '<\next/>'), '</turn>', '<\/turn>')
+            AS safe_text,
+        replace(replace(replace(replace(replace(role, '\', '\\'),
+            '<turn>', '<\turn>'), '<says/>', '<\says/>'), '<next/>', '<\next/>'), '</turn>', '<\/turn>')
+            AS safe_role,
+        role IS DISTINCT FROM lag(role) OVER (
+            PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS opens
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text))
+        AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+        FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(safe_text) + CASE WHEN opens
+        THEN length(safe_role) + length('<turn><says/></turn>') ELSE length('<next/>') END) AS BIGINT)
+        AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
