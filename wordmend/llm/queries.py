@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmend.llm import chat, mixing
+from wordmend.llm import chat, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,9 @@ SELECT conv_id, count(*) AS n_turns,
         AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 4096 tokens."""
+    return packing.pack(_read(spark, sf_dir, "documents"))
