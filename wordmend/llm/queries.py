@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmend.llm import chat, mixing, packing
+from wordmend.llm import chat, language, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,12 @@ FROM escaped GROUP BY conv_id
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 4096 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out quarter."""
+    held_out = language.fold(F.col("doc_id"), 4) == 2
+    rows = _read(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text", "lang")
+    model = language.fit(rows.where(~F.col("held_out")).select("text", "lang"))
+    return language.predict(rows.select("doc_id", "held_out", "text"), model)
