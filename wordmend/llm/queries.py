@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmend.llm import chat, language, mixing, packing
+from wordmend.llm import chat, language, mixing, neardup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text", "lang")
     model = language.fit(rows.where(~F.col("held_out")).select("text", "lang"))
     return language.predict(rows.select("doc_id", "held_out", "text"), model)
+
+
+@query
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents")).drop("node")
