@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmend.llm import chat, language, mixing, neardup, packing
+from wordmend.llm import chat, language, mixing, neardup, packing, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +108,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return neardup.near_duplicates(_read(spark, sf_dir, "documents")).drop("node")
+
+
+@query
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that stand in an earlier one."""
+    return repeats.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
