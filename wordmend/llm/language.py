@@ -12,8 +12,8 @@ longest text; a cut adds at most one piece, the same for every language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every
 text if there is no labelled text; equal results go to the first language by code point;
-repeated rows are predicted each; an empty table gives an empty table. Only the named columns are
-used.
+repeated rows are predicted each; an empty table gives an empty table. Input columns named like an
+output column are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -200,12 +200,15 @@ def costs(model: Model, tables: list[np.ndarray], column: pa.Array) -> np.ndarra
 _tables: dict[str, list[np.ndarray]] = {}
 
 
-def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def predict(
+    documents: DataFrame, model: Model, text: str = "text", keep_text: bool = True
+) -> DataFrame:
     """``documents`` with ``lang_pred`` and ``score``: how much cheaper the best language is than
     the next one, as a share; 1 if there is only one."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    kept = [c for c in documents.columns if c not in (text, "lang_pred", "score")]
+    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in kept if keep_text or c != text]
     name = uuid.uuid4().hex
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +236,7 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
     schema = documents.select(*kept).withColumns(
         {"lang_pred": F.lit(""), "score": F.lit(0.0)}
     ).schema
-    return documents.select(*kept, text).mapInArrow(label, schema)
+    return documents.select(*kept, F.col(text).alias("_text")).mapInArrow(label, schema)
 
 
 def _small(batch: pa.RecordBatch, letters: int = 1 << 21) -> Iterator[pa.RecordBatch]:

@@ -101,7 +101,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language.fold(F.col("doc_id"), 4) == 2
     rows = _read(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text", "lang")
     model = language.fit(rows.where(~F.col("held_out")).select("text", "lang"))
-    return language.predict(rows.select("doc_id", "held_out", "text"), model)
+    return language.predict(rows.select("doc_id", "held_out", "text"), model, keep_text=False)
 
 
 @query
