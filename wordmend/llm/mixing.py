@@ -13,6 +13,7 @@ replaced, others are kept. Every choice depends on the rows' content only, so re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,7 @@ _SOURCE = ["_name", "_null"]  # null and the empty name are different sources
 _WORD = r"[^\x20\x09-\x0D]+"
 _STEPS = 60
 _CORRECTIONS = 12
+_NEAR = 0.001
 _GROUP_ROWS = 1000
 _GROUP_SHARE = 10_000
 
@@ -103,13 +105,14 @@ def solve(cells: DataFrame, targets: DataFrame, max_repeat: int = MAX_REPEAT) ->
     for _ in range(_STEPS):
         rate = _rate(F.col("_x"), size, max_repeat)
         words = F.col("n") * size * rate
+        free = F.col("_x") * size < math.log(max_repeat)
         sums = (
             cells.where("size > 0")
             .join(state.where(~F.col("_done")).select(*_SOURCE, "_x"), _SOURCE)
             .groupBy(*_SOURCE)
             .agg(
                 F.sum(words).alias("_f"),
-                F.sum(F.when(rate < max_repeat, words * size).otherwise(0.0)).alias("_slope"),
+                F.sum(F.when(free, words * size).otherwise(0.0)).alias("_slope"),
             )
         )
         low, high = F.col("_f") < F.col("target"), F.col("_f") > F.col("target")
@@ -123,7 +126,7 @@ def solve(cells: DataFrame, targets: DataFrame, max_repeat: int = MAX_REPEAT) ->
             .otherwise(F.col("_hi") - reach)
         )
         inside = (F.col("_slope") > 0) & (newton > F.col("_lo")) & (newton < F.col("_hi"))
-        solved = F.col("_f").isNull() | (F.abs(F.col("_f") - F.col("target")) <= 1e-9 * F.col("target"))
+        solved = F.col("_f").isNull() | (F.abs(F.col("_f") - F.col("target")) <= 1e-8 * F.col("target"))
         state = stage(
             state.join(sums, _SOURCE, "left")
             .withColumns({"_lo": lo, "_hi": hi, "_done": F.col("_done") | solved})
@@ -143,7 +146,7 @@ def _rounded(cells: DataFrame, max_repeat: int) -> DataFrame:
 
     Along the sizes of a source, the running sum of the rates is rounded, so at most half a copy
     is ever owed. What is left is then given to, or taken from, the largest size that fits it,
-    again and again.
+    until it is within ``_NEAR`` of the target or no size fits.
     """
     by_size = Window.partitionBy(*_SOURCE).orderBy("size")
     owed = F.sum(F.col("n") * F.col("rate")).over(by_size)
@@ -158,8 +161,10 @@ def _rounded(cells: DataFrame, max_repeat: int) -> DataFrame:
     state = stage(rounded.drop("_owed"), "mixing-copies")
     for _ in range(_CORRECTIONS):
         missing = state.groupBy(*_SOURCE).agg(
-            (F.first("target") - F.sum(F.col("total") * F.col("size"))).alias("_missing")
+            F.first("target").alias("target"),
+            (F.first("target") - F.sum(F.col("total") * F.col("size"))).alias("_missing"),
         )
+        missing = missing.where(F.abs("_missing") > _NEAR * F.col("target")).drop("target")
         near = state.join(missing, _SOURCE).withColumn(
             "_times", F.floor(F.abs("_missing") / F.col("size")).cast("bigint")
         )
