@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmend.llm import chat, language, mixing, neardup, packing, repeats
+from wordmend.llm import chat, language, mixing, neardup, neighbours, packing, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +114,10 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that stand in an earlier one."""
     return repeats.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one, among all."""
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(rows, F.col("vec_id") % 50 == 0)
