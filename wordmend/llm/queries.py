@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmend.llm import chat, language, mixing, neardup, neighbours, packing, repeats
+from wordmend.llm import chat, language, licenses, mixing, neardup, neighbours, packing, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,3 +121,26 @@ def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth one, among all."""
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.search(rows, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+
+    def joined(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    base = F.transform("places", lambda p: p["label"])
+    own = F.transform("blocks", lambda b: b["label"])
+    best = F.array_max(F.transform("blocks", lambda b: b["containment"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p["word"])).alias("first_word"),
+        F.array_max(F.transform("places", lambda p: p["word"])).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, own)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
