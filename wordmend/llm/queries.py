@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmend.llm import chat, language, licenses, mixing, neardup, neighbours, packing, repeats
+from wordmend.llm import (
+    chat,
+    fingerprints,
+    language,
+    licenses,
+    mixing,
+    neardup,
+    neighbours,
+    packing,
+    repeats,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +154,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.concat(base, own)).alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
     )
+
+
+@query
+def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of an edit of it, and how alike they are."""
+    return fingerprints.compare_edits(_read(spark, sf_dir, "documents"))
