@@ -17,6 +17,7 @@ from wordmend.llm import (
     neighbours,
     packing,
     repeats,
+    scoring,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +161,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of an edit of it, and how alike they are."""
     return fingerprints.compare_edits(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is, learned from those outside the held-out seventh."""
+    held_out = language.fold(F.col("doc_id"), 7) == 2
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = scoring.score(rows, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
