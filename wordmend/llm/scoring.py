@@ -3,9 +3,9 @@
 A text is a sequence of words (A-Z as a-z) and an end. A word, with a blank before it, is spelled
 by pieces of an existing vocabulary; its probability is the sum over all segmentations, from a
 forward recursion over the lattice of pieces in log space. The vocabulary's scores (ranks, read as
-a Zipf law) are the weights to begin with; ``ROUNDS`` rounds of expectation and maximization over
-all training words, with these weights as a weak prior, make them probabilities of this corpus. Bytes
-are pieces too, so every word has a probability. Pieces do not cross words, so the likelihood of
+a Zipf law) are the weights to begin with; ``ROUNDS`` of expectation and maximization over all
+training words, with these weights as a weak prior, make them probabilities of this corpus. Bytes are
+pieces too, so every word has a probability. Pieces do not cross words, so the likelihood of
 a text is the product over its words, and the lattice is built once for each different word.
 
 Counts of words come from all training texts. Words with at least one in ``2 ** 21`` of all tokens
@@ -34,11 +34,11 @@ from wordmend.llm.words import _LOWER, BLANKS, mixed, slices, words
 from wordmend.runtime import stage
 
 VOCABULARY = "piece_bpe_32k.model"
-ROUNDS = 2
+ROUNDS = 1
 PRIOR = 1000.0  # occurrences that the vocabulary's own weights count for
 
 _BROADCAST = 1 << 21
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 _RANK_SHIFT = 10.0
 _BASE = 0x9E3779B97F4A7C15
 
@@ -101,82 +101,94 @@ class Lattice:
         keys = mixed(keys)
         # Two pieces may be spelled alike (a byte and its letter): one edge with both weights.
         self.keys, self.group = np.unique(keys, return_inverse=True)
-        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.keys & np.uint64(len(self.maybe) - 1)] = True
 
     def weights(self, pieces: Pieces) -> np.ndarray:
         total = np.bincount(self.group, np.exp(pieces.weights), len(self.keys))
         return np.log(total)
 
-    def edges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``(from node, to node, spelling)``. Word ``k`` has the nodes ``starts[k] + k`` to
-        ``ends[k] + k``; the words follow each other in ``data``."""
+    def edges(self, data: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place, length, spelling)`` of every piece in ``data``; one that begins at a place is
+        no longer than its ``room``. ``length`` is a number in ``lengths``."""
         powers, inverses = _scales(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE_CODES[data] * powers[:-1], out=sums[1:])
-        word = np.repeat(np.arange(len(starts)), ends - starts)
-        room = ends[word] - np.arange(len(data))
         mask = np.uint64(len(self.maybe) - 1)
-        begin, end, spelled = [], [], []
-        for length in self.lengths:
-            at = np.flatnonzero(room >= length)
+        places, lengths, spelled = [], [], []
+        at = np.arange(len(data))
+        for number, length in enumerate(self.lengths):
+            at = at[room[at] >= length]
             if not len(at):
                 break
             key = mixed((sums[at + length] - sums[at]) * inverses[at] ^ np.uint64(length))
-            near = self.maybe[key & mask]
-            at, key = at[near], key[near]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            same = self.keys[place] == key
-            at = at[same]
-            begin.append(at + word[at])
-            end.append(at + word[at] + length)
-            spelled.append(place[same])
-        return np.concatenate(begin), np.concatenate(end), np.concatenate(spelled)
-
-
-def _sweep(
-    value: np.ndarray, step: np.ndarray, into: np.ndarray, out_of: np.ndarray, weight: np.ndarray
-) -> None:
-    """Log-space recursion: ``value[into]`` is the log of the sum over edges of
-    ``exp(value[out_of] + weight)``; all edges of a step before those of the next."""
-    order = np.lexsort((into, step))
-    into, out_of, weight, step = into[order], out_of[order], weight[order], step[order]
-    cuts = np.append(np.flatnonzero(np.diff(step, prepend=-1)), len(step))
-    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-        target = into[first:last]
-        term = value[out_of[first:last]] + weight[first:last]
-        heads = np.flatnonzero(np.diff(target, prepend=-1))
-        top = np.maximum.reduceat(term, heads)
-        counts = np.diff(np.append(heads, len(term)))
-        total = np.add.reduceat(np.exp(term - np.repeat(top, counts)), heads)
-        value[target[heads]] = top + np.log(total)
+            near = np.flatnonzero(self.maybe[key & mask])
+            key = key[near]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            same = self.keys[found] == key
+            places.append(at[near][same])
+            lengths.append(np.full(int(same.sum()), number))
+            spelled.append(found[same])
+        return np.concatenate(places), np.concatenate(lengths), np.concatenate(spelled)
+
+
+def _log_sum(terms: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials over the first axis; some term of each is finite."""
+    top = terms.max(0)
+    return top + np.log(np.exp(terms - top).sum(0))
 
 
 def likelihoods(
-    lattice: Lattice, weights: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
-    counts: np.ndarray | None = None,
+    lattice: Lattice, weights: np.ndarray, spelled_words: list[bytes], counts: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of every word; with ``counts``, also how often each spelling is
-    expected in so many occurrences of the words."""
-    begin, end, spelled = lattice.edges(data, starts, ends)
-    number = np.arange(len(starts))
-    first, last = starts + number, ends + number
-    word = np.searchsorted(first, begin, "right") - 1
-    weight = weights[spelled]
-    forward = np.full(len(data) + len(starts), -np.inf)
-    forward[first] = 0.0
-    _sweep(forward, end - first[word], end, begin, weight)
-    total = forward[last]
-    if counts is None:
-        return total, None
-    backward = np.full(len(forward), -np.inf)
-    backward[last] = 0.0
-    _sweep(backward, last[word] - begin, begin, end, weight)
-    share = np.exp(forward[begin] + weight + backward[end] - total[word]) * counts[word]
-    return total, np.bincount(spelled, share, len(weights))
-
-
-def _with_blank(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    expected in so many occurrences of the words. Words of one length go together."""
+    sizes = np.array([len(w) for w in spelled_words])
+    by_size = np.argsort(sizes, kind="stable")
+    data = np.frombuffer(b"".join([spelled_words[i] for i in by_size]), np.uint8)
+    sizes = sizes[by_size]
+    ends = np.cumsum(sizes)
+    room = np.repeat(ends, sizes) - np.arange(len(data))
+    place, length, spelling = lattice.edges(data, room)
+    order = np.argsort(place, kind="stable")
+    place, length, spelling = place[order], length[order], spelling[order]
+    all_lengths = np.array(lattice.lengths)
+    total = np.empty(len(sizes))
+    expected = np.zeros(len(weights))
+    first = 0
+    while first < len(sizes):
+        size = int(sizes[first])
+        last = int(np.searchsorted(sizes, size, "right"))
+        begin = int(ends[first]) - size
+        own = slice(*np.searchsorted(place, [begin, int(ends[last - 1])]))
+        word, at = np.divmod(place[own] - begin, size)
+        steps = all_lengths[all_lengths <= size]
+        # By place in the word, length of the piece, and word.
+        weight = np.full((size, len(steps), last - first), -np.inf)
+        weight[at, length[own], word] = weights[spelling[own]]
+        forward = np.zeros((size + 1, last - first))
+        for j in range(1, size + 1):
+            k = np.flatnonzero(steps <= j)
+            forward[j] = _log_sum(forward[j - steps[k]] + weight[j - steps[k], k])
+        mine = by_size[first:last]
+        total[mine] = forward[size]
+        if counts is not None:
+            backward = np.zeros((size + 1, last - first))
+            for i in range(size - 1, -1, -1):
+                k = np.flatnonzero(steps <= size - i)
+                backward[i] = _log_sum(backward[i + steps[k]] + weight[i, k])
+            gain = (
+                forward[at, word]
+                + weights[spelling[own]]
+                + backward[at + all_lengths[length[own]], word]
+                - forward[size, word]
+            )
+            expected += np.bincount(spelling[own], np.exp(gain) * counts[mine][word], len(weights))
+        first = last
+    return total, None if counts is None else expected
+
+
+def _with_blank(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
     """Words with a blank before each, in pieces of about ``_CHUNK`` bytes."""
     texts = column.to_pylist()
     first = 0
@@ -185,10 +197,7 @@ def _with_blank(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         while last < len(texts) and (last == first or size < _CHUNK):
             size += len(texts[last]) + 1
             last += 1
-        spelled = [b" " + text.encode() for text in texts[first:last]]
-        ends = np.cumsum([len(s) for s in spelled])
-        data = np.frombuffer(b"".join(spelled), np.uint8)
-        yield first, last, data, np.concatenate([[0], ends[:-1]]), ends
+        yield first, last, [b" " + text.encode() for text in texts[first:last]]
         first = last
 
 
@@ -243,8 +252,8 @@ def train(counted: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> np.ndarra
             total = np.zeros(len(weights))
             for batch in batches:
                 n = batch.column("trained").to_numpy().astype(float)
-                for first, last, *chunk in _with_blank(batch.column("word")):
-                    total += likelihoods(lattice, weights, *chunk, n[first:last])[1]
+                for first, last, chunk in _with_blank(batch.column("word")):
+                    total += likelihoods(lattice, weights, chunk, n[first:last])[1]
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used), pa.array(total[used])], names=["piece", "n"]
@@ -268,8 +277,8 @@ def word_scores(counted: DataFrame, pieces: Pieces, weights: np.ndarray) -> Data
         for batch in batches:
             column = batch.column("word")
             total = np.empty(len(batch))
-            for first, last, *chunk in _with_blank(column):
-                total[first:last] = likelihoods(lattice, weights, *chunk)[0]
+            for first, last, chunk in _with_blank(column):
+                total[first:last] = likelihoods(lattice, weights, chunk)[0]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(words(column, BLANKS).hashes.view(np.int64)),
