@@ -105,20 +105,20 @@ class Model:
         return table[codes], np.concatenate([[0], np.cumsum(lengths)])
 
     def tables(self) -> list[np.ndarray]:
-        """Per language ``4 * next state * width + pieces ended``, by ``state * width + symbol``.
+        """Per language ``4 * next state * width + pieces begun``, by ``state * width + symbol``.
 
-        Without a transition the piece ends and the next one starts at the root with the same
-        symbol; a symbol that the language never has is a piece of its own.
+        Without a transition the next piece starts at the root with the same symbol; a symbol that
+        the language never has is a piece of its own.
         """
         width = len(self.letters) + 2
         found = []
         for edges, states in zip(self.edges, self.states, strict=True):
             to = edges[:, 2].astype(np.int64) * width * 4
             from_root = edges[:, 0] == 0
-            table = np.full((states, width), 2, np.int64)  # the piece that ends and the symbol
+            table = np.ones((states, width), np.int64)
             table[:, edges[from_root, 1]] = to[from_root] + 1
-            table[0] = 1
-            table[edges[:, 0], edges[:, 1]] = to
+            inner = edges[~from_root]
+            table[inner[:, 0], inner[:, 1]] = to[~from_root]
             found.append(table.astype(np.int32 if states * width * 4 < 1 << 31 else np.int64).ravel())
         return found
 
@@ -186,7 +186,7 @@ def costs(model: Model, tables: list[np.ndarray], column: pa.Array) -> np.ndarra
     seen = lengths > 0
     for k, table in enumerate(tables):
         state = np.zeros(len(owner), table.dtype)
-        pieces = np.ones(len(owner), np.int32)
+        pieces = np.zeros(len(owner), np.int32)
         for step in range(steps):
             n = alive[step]
             value = table[state[:n] + symbols[begin[:n] + step]]
