@@ -13,18 +13,18 @@ an empty table gives an empty table. Only the named columns are used, so others
 
 from __future__ import annotations
 
-import struct
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordmend.llm.ranks import ranked
+from wordmend.llm.words import BLANKS, cuts, hashed, mixed, slices, texts
 from wordmend.runtime import stage
 
 SEQUENCE = 4096
@@ -33,8 +33,9 @@ VOCABULARY = "word_bpe_49k.json"
 
 # --- token ids -------------------------------------------------------------------------
 
-# Words remembered by a Python worker; beyond that it starts anew.
-_REMEMBERED = 400_000
+# Items that a Python worker remembers; beyond that it starts anew.
+_REMEMBERED = 1_000_000
+_BLANK, _LETTER, _DIGIT, _MARK, _ODD = range(5)
 
 
 def vocabulary_path(name: str) -> str:
@@ -50,52 +51,126 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """Token ids, as little-endian 32-bit integers, of texts without blanks.
+def _byte_kinds() -> np.ndarray:
+    kinds = np.full(256, _ODD, np.uint8)
+    kinds[0x21:0x7F] = _MARK
+    kinds[[ord(c) for c in " \t\n\r\f\v"]] = _BLANK
+    for first, last, kind in (("A", "Z", _LETTER), ("a", "z", _LETTER), ("0", "9", _DIGIT)):
+        kinds[ord(first) : ord(last) + 1] = kind
+    kinds[ord("'")] = _ODD  # contractions
+    return kinds
 
-    The vocabulary drops white space, so the ids of a text are those of its blank-separated
-    chunks. Chunks of Latin letters without marks need no normalization but lower case; their
-    words are handed to the model directly. All others take the whole tokenizer.
+
+_KINDS = _byte_kinds()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_CODES = mixed(np.arange(1, 257, dtype=np.uint64))
+_WHOLE = np.uint64(0x5851F42D4C957F2D)
+
+
+def _items(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What the vocabulary's rule makes of a text: ``(starts, ends, hashes, whole, lowered)``.
+
+    Runs of letters, single digits and runs of marks are items; ``edges`` are places where texts
+    begin. Letters are A-Z and À-ÿ, in lower case. A chunk between blanks with anything else in it
+    is an item as it is (``whole``).
+    """
+    kind = _KINDS[data]
+    before = np.concatenate([[0], data[:-1]]).astype(np.uint8)
+    lowered = _LOWER[data]
+    second = (before == 0xC3) & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    kind[second] = _LETTER
+    kind[np.flatnonzero(second) - 1] = _LETTER
+    lowered[second & (data <= 0x9E)] += 0x20
+    kind[(before == ord("<")) & (data == ord("|"))] = _ODD  # might be a special token
+    first = np.zeros(len(data), bool)
+    first[edges] = True
+    inside = kind != _BLANK
+    opens = inside & (first | np.concatenate([[True], ~inside[:-1]]))
+    chunk = np.cumsum(opens) - 1
+    odd = np.zeros(chunk[-1] + 2, bool)
+    odd[chunk[kind == _ODD]] = True
+    kind[odd[chunk] & inside] = _ODD
+    new = opens | (kind != np.concatenate([[_BLANK], kind[:-1]])) | (kind == _DIGIT)
+    starts = np.flatnonzero(new & inside)
+    closes = np.append(new[1:] | ~inside[1:] | first[1:], True)
+    ends = np.flatnonzero(inside & closes) + 1
+    whole = kind[starts] == _ODD
+    shown = np.where(kind == _ODD, data, lowered)
+    hashes = hashed(_CODES[shown], starts, ends)
+    hashes[whole] ^= _WHOLE
+    return starts, ends, hashes, whole, shown
+
+
+class Encoder:
+    """Token ids of many texts at once.
+
+    The vocabulary drops white space and never joins what its rule for words separates, so the
+    ids of a text are those of its items one after the other. Each different item (by a 64-bit
+    hash) is encoded once: plain ones by the model itself, others by the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        # The vocabulary's own rule for words.
-        self._rule = regex.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        )
         self._letters = _byte_letters()
-        self._words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        found = self._words.get(word)
-        if found is None:
-            letters = word if word.isascii() else "".join(self._letters[b] for b in word.encode())
-            ids = [token.id for token in self._model.tokenize(letters)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self._words) >= _REMEMBERED:
-                self._words.clear()
-            self._words[word] = found
-        return found
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if text.isprintable() and max(text) < "ɐ" and "İ" not in text and "<|" not in text:
-            found = b"".join(map(self._word, self._rule.findall(text.lower())))
-        else:
-            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[chunk] = found
-        return found
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: dict[int, int] = {}
+        self._flat = np.zeros(0, np.uint32)
+        self._begin = np.zeros(1, np.int64)
+
+    def _encode(self, item: bytes, whole: bool) -> list[int]:
+        text = item.decode()
+        if whole:
+            return self._tokenizer.encode(text, add_special_tokens=False).ids
+        letters = text if text.isascii() else "".join([self._letters[b] for b in item])
+        return [token.id for token in self._model.tokenize(letters)]
+
+    def _known(self, hashes: np.ndarray, items: Callable[[int], list[int]]) -> np.ndarray:
+        """Numbers of the items, encoding those not seen before."""
+        if len(self._number) > _REMEMBERED:
+            self._forget()
+        values = hashes.tolist()
+        numbers = np.array([self._number.get(v, -1) for v in values], np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            encoded = [items(i) for i in new.tolist()]
+            count = len(self._begin) - 1
+            numbers[new] = np.arange(count, count + len(new))
+            self._number.update(zip([values[i] for i in new], numbers[new].tolist(), strict=True))
+            ends = self._begin[-1] + np.cumsum([len(ids) for ids in encoded])
+            self._begin = np.concatenate([self._begin, ends])
+            self._flat = np.concatenate(
+                [self._flat, np.fromiter(itertools.chain.from_iterable(encoded), np.uint32)]
+            )
+        return numbers
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the first id of each text."""
+        data, offsets = texts(column)
+        found = []
+        for begin, end in cuts(data, BLANKS):
+            low, high = np.searchsorted(offsets[:-1], [begin, end])
+            starts, ends, *others = _items(data[begin:end], offsets[low:high] - begin)
+            found.append((starts + begin, ends + begin, *others))
+        first = np.zeros(len(offsets), np.int64)
+        if not found:
+            return np.zeros(0, "<u4"), first
+        starts, ends, hashes, whole, shown = map(np.concatenate, zip(*found, strict=True))
+        _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = shown.tobytes()
+        numbers = self._known(
+            hashes[at], lambda i: self._encode(raw[starts[at[i]] : ends[at[i]]], bool(whole[at[i]]))
+        )[back]
+        length = self._begin[numbers + 1] - self._begin[numbers]
+        total = np.concatenate([[0], np.cumsum(length)])
+        place = np.arange(total[-1]) + np.repeat(self._begin[numbers] - total[:-1], length)
+        first = total[np.searchsorted(starts, offsets)]
+        return self._flat[place].astype("<u4"), first
 
 
 _encoders: dict[str, Encoder] = {}
@@ -123,11 +198,13 @@ def pieces(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary_path(vocabulary)
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-        last, width = struct.pack("<I", end), 4 * sequence
-        for batch in batches:
+        last, width = np.array([end], "<u4").tobytes(), 4 * sequence
+        for batch in slices(batches):
             rows, out = [], []
-            for row, value in enumerate(batch.column(1).cast(pa.binary())):
-                ids = encoder.ids(value.as_py() or b"") + last
+            flat, first = encoder.ids(batch.column("text"))
+            raw = flat.tobytes()
+            for row in range(len(batch)):
+                ids = raw[4 * first[row] : 4 * first[row + 1]] + last
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append(row)
@@ -143,7 +220,8 @@ def pieces(
                 names=[field.name for field in fields],
             )
 
-    return documents.select(key, text).mapInArrow(encode, T.StructType(fields))
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(encode, T.StructType(fields))
 
 
 # --- plan ------------------------------------------------------------------------------

@@ -62,6 +62,15 @@ def _scales(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _scale["powers"]
 
 
+def hashed(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches ``first`` to ``last`` of a sequence of 64-bit codes."""
+    powers, inverses = _scales(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers[: len(codes)], out=sums[1:])
+    value = (sums[last] - sums[first]) * inverses[first]
+    return mixed(value ^ (last - first).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """Words of a column: byte places in ``data``, hashes, and for text ``i`` its words
@@ -89,7 +98,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _cuts(data: np.ndarray, separators: np.ndarray) -> Iterator[tuple[int, int]]:
+def cuts(data: np.ndarray, separators: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pieces of about ``_PIECE`` bytes that end at separators."""
     begin, n = 0, len(data)
     while begin < n:
@@ -108,7 +117,7 @@ def words(column: pa.Array, separators: np.ndarray = NON_WORDS) -> Words:
     data, offsets = texts(column)
     inside_byte = ~separators
     starts, ends, hashes = [], [], []
-    for begin, end in _cuts(data, separators):
+    for begin, end in cuts(data, separators):
         piece = data[begin:end]
         inside = inside_byte[piece]
         edges = offsets[np.searchsorted(offsets, begin) : np.searchsorted(offsets, end)] - begin
@@ -120,13 +129,9 @@ def words(column: pa.Array, separators: np.ndarray = NON_WORDS) -> Words:
         after[edges[edges > 0] - 1] = False
         first = np.flatnonzero(inside & ~before)
         last = np.flatnonzero(inside & ~after) + 1
-        powers, inverses = _scales(len(piece))
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_CODES[piece] * powers[: len(piece)], out=sums[1:])
-        value = (sums[last] - sums[first]) * inverses[first]
         starts.append(first + begin)
         ends.append(last + begin)
-        hashes.append(mixed(value ^ (last - first).astype(np.uint64)))
+        hashes.append(hashed(_CODES[piece], first, last))
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     starts = join(starts, np.int64)
     return Words(
