@@ -27,8 +27,17 @@ def test_missing_files_are_skipped(spark, tmp_path):
     with pytest.warns(UserWarning, match="File not found"):
         got = read_documents(spark, [str(tmp_path / "a.txt"), str(tmp_path / "no.txt")])
     assert [r.text for r in got.collect()] == ["one"]
-    with pytest.raises(FileNotFoundError):
-        read_documents(spark, str(tmp_path / "no.txt"))
+    with pytest.warns(UserWarning, match="File not found"):
+        nothing = read_documents(spark, str(tmp_path / "no.txt"))
+    assert nothing.columns == ["path", "text"] and nothing.count() == 0
+
+
+def test_paths_are_as_given(spark, tmp_path):
+    names = ["my file é.txt", "a+b %20.txt"]
+    for name in names:
+        (tmp_path / name).write_text("x")
+    got = read_documents(spark, str(tmp_path)).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in got) == sorted(names)
 
 
 def test_dictionaries(spark, words, tmp_path):

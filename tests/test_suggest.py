@@ -78,14 +78,14 @@ def frame(spark, values):
 
 
 @pytest.mark.parametrize("k", [1, 5])
-@pytest.mark.parametrize("way", ["one round", "two rounds", "shuffled", "shuffled, few long"])
+@pytest.mark.parametrize("way", ["one round", "two rounds", "shuffled", "shuffled, pieces"])
 def test_against_the_cascade(spark, vocabulary, monkeypatch, way, k):
     dictionary, asked = vocabulary
     if way != "one round":
-        monkeypatch.setattr(module, "ONE_ROUND_ROWS", 0)
+        monkeypatch.setattr(module, "FEW_CANDIDATES", 0)
     if way.startswith("shuffled"):
-        monkeypatch.setattr(runtime, "BROADCAST_ROWS", 200 if "long" in way else 0)
-        monkeypatch.setattr(module, "LONG_WORD", 6 if "long" in way else 16)
+        monkeypatch.setattr(module, "MANY_CANDIDATES", 0)
+        monkeypatch.setattr(module, "LONG_WORD", 6 if "pieces" in way else 16)
     got = suggest(frame(spark, asked), frame(spark, dictionary), k).collect()
     assert len(got) == len(asked)
     known = set(dictionary)
@@ -110,6 +110,25 @@ def test_candidates(spark, vocabulary, monkeypatch, rows):
     assert {tuple(r) for r in got} == want
 
 
+def test_very_long_words(spark, monkeypatch):
+    """300 letters: found by a piece, without making all strings with letters left out."""
+    monkeypatch.setattr(module, "MANY_CANDIDATES", 0)
+    rng = random.Random(5)
+    long_words = ["".join(rng.choices("abcde", k=300)) for _ in range(5)]
+    asked = [w[:50] + w[51:120] + "zz" + w[120:] for w in long_words] + [w[:-3] for w in long_words]
+    got = near_words(frame(spark, asked), frame(spark, long_words), WIDE).collect()
+    assert {tuple(r) for r in got} == {(a, w, 3) for a, w in zip(asked, long_words * 2, strict=True)}
+
+
+def test_the_index_is_measured(spark, monkeypatch):
+    """What is sent has several entries for each word, so fewer words than rows fit."""
+    words = frame(spark, [f"word{i:03}" for i in range(100)])
+    for rows, sent in ((250, False), (1000, True)):
+        monkeypatch.setattr(runtime, "BROADCAST_ROWS", rows)
+        find = module._finder(words, [CLOSE, WIDE, module.LEADING], 1.0)
+        assert (find is module._hits_by_broadcast) == sent
+
+
 def test_prefix_matches(spark):
     got = prefix_matches(frame(spark, ["abcx", "ab", "zzz"]), frame(spark, ["abc", "abd", "abcd", "abca"]), 3)
     assert [tuple(r) for r in got.collect()] == [("abcx", 3, "abc", "abcd")]

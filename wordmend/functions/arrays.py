@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.
 
@@ -16,34 +17,47 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-_BLOCK = 32
+_BLOCK = 64
+_LEVELS = 4
 
 
 def running_starts(lengths: Column) -> Column:
     """The sum of the elements before each element of an int array.
 
-    Appending to an array copies it, so one long fold would be quadratic. The array is
-    folded in blocks of about sqrt(n), then the block totals are folded.
+    Appending to an array copies it, so one long fold would be quadratic. The array is folded in
+    blocks of a constant size, their totals in blocks again, and so on: the cost is linear up to
+    ``_BLOCK ** _LEVELS`` elements (16 million).
     """
     zero = F.array(F.lit(0))
 
     def add(acc: Column, x: Column) -> Column:
         return F.array_append(acc, F.element_at(acc, -1) + x)
 
-    def sums(a: Column, n: Column) -> Column:
-        """Per block: 0, then its running sums."""
+    def fold(a: Column) -> Column:
+        """0, then the running sums."""
+        return F.aggregate(a, zero, add)
+
+    def blocks(a: Column) -> Column:
+        last = F.ceil(F.size(a) / _BLOCK).cast("int") - 1
         return F.transform(
-            F.sequence(F.lit(0), F.ceil(F.size(a) / n).cast("int") - 1),
-            lambda k: F.aggregate(F.slice(a, k * n + 1, n), zero, add),
+            F.sequence(F.lit(0), last), lambda k: fold(F.slice(a, k * _BLOCK + 1, _BLOCK))
+        )
+
+    def sums(a: Column, levels: int) -> Column:
+        """At least the sum before each element, and some of what follows."""
+        if levels == 1:
+            return fold(a)
+        return F.when(F.size(a) <= _BLOCK, fold(a)).otherwise(
+            let(blocks(a), lambda parts: shifted(parts, levels))
         )
 
-    def shifted(blocks: Column) -> Column:
-        bases = F.aggregate(blocks, zero, lambda acc, x: add(acc, F.element_at(x, -1)))
+    def shifted(parts: Column, levels: int) -> Column:
+        totals = F.transform(parts, lambda x: F.element_at(x, -1))
         return let(
-            bases,
+            let(totals, lambda t: sums(t, levels - 1)),
             lambda base: F.flatten(
                 F.transform(
-                    blocks,
+                    parts,
                     lambda x, k: F.transform(
                         F.slice(x, F.lit(1), F.size(x) - 1), lambda v: v + F.get(base, k)
                     ),
@@ -52,10 +66,7 @@ def running_starts(lengths: Column) -> Column:
         )
 
     def body(a: Column) -> Column:
-        block = F.greatest(F.lit(_BLOCK), F.ceil(F.sqrt(F.size(a))).cast("int"))
-        return F.when(
-            F.size(a) > 0, let(block, lambda n: let(sums(a, n), shifted))
-        ).otherwise(F.array().cast("array<int>"))
+        return F.slice(sums(a, _LEVELS), F.lit(1), F.size(a))
 
     return let(lengths, body)
 

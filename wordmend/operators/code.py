@@ -1,8 +1,8 @@
 """Source code: the comments and string literals of one line as checkable fragments.
 
-A fragment is a struct ``(at, text, base, base_at)``: the byte offset of ``text`` in its line,
-the text to take words from, the text their context is taken from, and the byte offset of
-``text`` in that.
+A fragment is a struct ``(at, text, base, base_at, whole)``: the byte offset of ``text`` in its
+line, the text to take words from, the text their context is taken from, the byte offset of
+``text`` in that, and whether that is the context as a whole.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from wordmend.functions.patterns import (
 )
 from wordmend.functions.text import blank, keep_only, mask
 
-NO_FRAGMENTS = "array<struct<at:int,text:string,base:string,base_at:int>>"
+NO_FRAGMENTS = "array<struct<at:int,text:string,base:string,base_at:int,whole:boolean>>"
 
 
-def fragment(at: Column, text: Column, base: Column, base_at: Column | None = None) -> Column:
+def fragment(
+    at: Column, text: Column, base: Column, base_at: Column | None = None, whole: bool = True
+) -> Column:
     return F.named_struct(
         F.lit("at"),
         at.cast("int"),
@@ -33,6 +35,8 @@ def fragment(at: Column, text: Column, base: Column, base_at: Column | None = No
         base,
         F.lit("base_at"),
         F.lit(0) if base_at is None else base_at.cast("int"),
+        F.lit("whole"),
+        F.lit(whole),
     )
 
 
@@ -76,7 +80,8 @@ def _literals(line: Column, pattern: str) -> Column:
             F.startswith(literal, F.lit('"')),
             F.regexp_extract(literal, r'(?s)\A"((?:[^"\\]++|\\.)*+)', 1),
         ).otherwise(F.regexp_extract(literal, r"(?s)\A'((?:[^'\\]++|\\.)*+)", 1))
-        return fragment(start, mask(literal, ESCAPE_PAIR, hint="\\"), inner)
+        # The context is the literal without its quotes: its text begins one byte earlier.
+        return fragment(start, mask(literal, ESCAPE_PAIR, hint="\\"), inner, F.lit(-1))
 
     def body(s: Column) -> Column:
         return F.zip_with(
@@ -107,10 +112,17 @@ def python_strings(line: Column) -> Column:
 
 
 def code_fragments(line: Column, is_python: Column) -> Column:
-    """Comments, then literals: a quote inside a comment is looked at as a literal again."""
-    return F.when(
-        is_python, F.concat(python_comments(line), python_strings(line))
-    ).otherwise(F.concat(c_comments(line), c_strings(line)))
+    """Comments, then literals: a quote inside a comment is looked at as a literal again.
+
+    The carriage return before a line break belongs to neither.
+    """
+
+    def both(text: Column) -> Column:
+        return F.when(
+            is_python, F.concat(python_comments(text), python_strings(text))
+        ).otherwise(F.concat(c_comments(text), c_strings(text)))
+
+    return let(F.regexp_replace(line, r"\r\z", ""), both)
 
 
 def _is_block(found: Column) -> Column:

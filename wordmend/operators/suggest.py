@@ -12,7 +12,7 @@ Ties go to byte order, a candidate counts once, and the first k are kept. Stoppi
 early gives the same result as ranking the union of all four, which is what is done here.
 
 Each word is turned into probes and each dictionary word into index entries, so that the
-sources are equi-joins. With a big dictionary sources 1 and 2 come first, and only words they
+sources are equi-joins. With many candidates for a word sources 1 and 2 come first, and only words they
 leave with fewer than k candidates are sent on to sources 3 and 4, which compare many more
 pairs. A variant made behind the third character keeps the first three and is at most 2 edits
 away, so source 1 has it already; only variants made at the first three are looked up.
@@ -38,7 +38,7 @@ from wordmend.functions.patterns import (
     SHORT_WORD,
     SHORT_WORD_CANDIDATES,
 )
-from wordmend.runtime import fits, is_small, measure, shuffle_tasks
+from wordmend.runtime import is_small, shuffle_tasks
 
 # Kinds of probes: words near by with the same 3 characters, words further away with the same
 # 2, short words, all variants, variants made at the first characters, and one that every word
@@ -51,9 +51,10 @@ _SHORT_DISTANCE = 2
 
 _ALL_AT_ONCE = ((WIDE, LEADING, SHORT, ALWAYS),)
 _IN_TURN = ((CLOSE, LEADING, ALWAYS), (WIDE, SHORT, ALWAYS))
-# Dictionaries up to this size are cheap enough to ask all sources at once.
-ONE_ROUND_ROWS = 50_000
-# Dictionary words longer than this are joined by prefix even if the others are shuffled.
+# Candidates that the average word meets under its first two characters: up to the first number
+# all sources are asked at once, beyond the second one pairs are found by common strings.
+FEW_CANDIDATES, MANY_CANDIDATES = 300, 2000
+# Longer dictionary words are joined on pieces, shorter ones on strings with letters left out.
 LONG_WORD = 16
 _LAST = 9
 # Source and rank within it as one sortable number.
@@ -237,7 +238,12 @@ def _hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kinds: Sequence[in
     deletions, so words with the same prefix are joined on such a string of the rest. A pair
     can be found more than once.
     """
-    parts = [_prefix_hits_by_shuffle(words, dictionary, k) for k in kinds if k in _REACH]
+    is_long = F.char_length("word") > LONG_WORD
+    parts = []
+    for kind in kinds:
+        if kind in _REACH:
+            parts.append(_deletion_hits(words, dictionary.where(~is_long), kind))
+            parts.append(_piece_hits(words, dictionary.where(is_long), kind))
     looked_up = [k for k in kinds if k in (VARIANT, LEADING)]
     if looked_up:
         parts.append(_match(words, _probes(looked_up), _index(dictionary, looked_up), 0))
@@ -248,22 +254,50 @@ def _hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kinds: Sequence[in
     return reduce(DataFrame.unionByName, parts)
 
 
-def _prefix_hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFrame:
-    """Long words have very many such strings, but there are few long dictionary words: those
-    are broadcast if they fit.
+def _piece_hits(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFrame:
+    """Pairs of long words. Of ``distance + 1`` pieces of the dictionary word's rest, at least one
+    stands unchanged in the other word, at most ``distance`` characters away from its place.
     """
-    is_long = F.char_length("word") > LONG_WORD
-    long_words = dictionary.where(is_long)
-    if not is_small(long_words):
-        return _deletion_hits(words, dictionary, kind)
-    reach = _REACH[kind][1]
-    probes = _match(
-        words.where(F.col("size") > LONG_WORD - reach),
-        _probes([kind]),
-        F.broadcast(_index(long_words, [kind])),
-        reach,
+    same, distance = _REACH[kind]
+    head = F.left("word", F.lit(same))
+    rest = F.substring("word", F.lit(same + 1), F.char_length("word"))
+    around = F.array(*map(F.lit, range(-distance, distance + 1)))
+    numbers = F.array(*map(F.lit, range(distance + 1)))
+
+    def place(size: Column, i: Column) -> Column:
+        return F.floor(size * i / (distance + 1)).cast("int")
+
+    def key(size: Column, i: Column, piece: Column) -> Column:
+        return F.concat_ws(" ", head, size.cast("string"), i.cast("string"), piece)
+
+    def piece(size: Column, i: Column, shift: Column) -> Column:
+        """The part of the word's rest where a piece of a rest of ``size`` may stand."""
+        start, length = place(size, i) + shift, place(size, i + 1) - place(size, i)
+        fits = (start >= 0) & (start + length <= F.char_length(rest))
+        return F.when(fits, key(size, i, F.substring(rest, start + 1, length)))
+
+    size = F.char_length(rest)
+    own = F.transform(numbers, lambda i: piece(size, i, F.lit(0)))
+    index = _entries(dictionary, F.explode(own))
+    asked = F.flatten(
+        F.transform(
+            around,
+            lambda more: F.flatten(
+                F.transform(
+                    numbers,
+                    lambda i: F.transform(around, lambda shift: piece(size + more, i, shift)),
+                )
+            ),
+        )
+    )
+    probes = F.transform(
+        F.array_distinct(F.array_compact(asked)),
+        lambda k: F.named_struct(
+            F.lit("key"), k, F.lit("kind"), F.lit(kind), F.lit("rank"), F.lit(0)
+        ),
     )
-    return _deletion_hits(words, dictionary.where(~is_long), kind).unionByName(probes)
+    long_enough = F.col("open") & (F.col("size") > LONG_WORD - distance)
+    return _match(words.where(long_enough), probes, index, distance)
 
 
 def _deletion_hits(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFrame:
@@ -273,9 +307,8 @@ def _deletion_hits(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFr
     keys = F.transform(deletion_neighbours(rest, distance), lambda d: F.concat(head, F.lit(" "), d))
     long_enough = F.char_length("word") >= same
     index = _entries(dictionary.where(long_enough), F.explode(keys))
-    longest = dictionary.agg(F.max(F.char_length("word"))).first()[0] or 0
     reachable = words.where(
-        F.col("open") & long_enough & (F.col("size") <= longest + distance)
+        F.col("open") & long_enough & (F.col("size") <= LONG_WORD + distance)
     )
     probes = F.transform(
         keys,
@@ -329,13 +362,29 @@ def variant_matches(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 def _asked(words: DataFrame) -> DataFrame:
     # The work per word is far larger than its bytes, so the number of tasks is set here.
     tasks = shuffle_tasks(words.sparkSession)
-    distinct = words.select("word").distinct().repartition(tasks, "word")
+    distinct = words.select("word").repartition(tasks, "word").distinct()
     return with_features(distinct).withColumn("open", F.lit(True))
 
 
+def _candidates_per_word(entries: DataFrame) -> float:
+    """Dictionary words with the first two characters of an average dictionary word."""
+    buckets = entries.groupBy(F.left("word", F.lit(_REACH[WIDE][0])).alias("head")).count()
+    return buckets.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0.0
+
+
+def _finder(
+    entries: DataFrame, kinds: Sequence[int], candidates: float
+) -> Callable[[DataFrame, DataFrame, Sequence[int]], DataFrame]:
+    """Every word meets all of its bucket if the index is small enough to be sent to all tasks
+    and buckets are small; else words meet on common strings."""
+    if candidates <= MANY_CANDIDATES and is_small(_index(entries, kinds)):
+        return _hits_by_broadcast
+    return _hits_by_shuffle
+
+
 def _hits(words: DataFrame, dictionary: DataFrame, kinds: Sequence[int]) -> DataFrame:
     entries = dictionary.select("word").distinct()
-    find = _hits_by_broadcast if is_small(entries) else _hits_by_shuffle
+    find = _finder(entries, kinds, _candidates_per_word(entries))
     return find(_asked(words), entries, kinds)
 
 
@@ -356,9 +405,9 @@ def _first_k(hits: DataFrame, k: int) -> DataFrame:
 def suggest(words: DataFrame, dictionary: DataFrame, k: int = MAX_SUGGESTIONS) -> DataFrame:
     """``(word, suggestions)`` for every distinct lower-case ``word``; the array may be empty."""
     entries = dictionary.select("word").distinct()
-    size = measure(entries)
-    find = _hits_by_broadcast if fits(size) else _hits_by_shuffle
-    rounds = _ALL_AT_ONCE if size[0] <= ONE_ROUND_ROWS else _IN_TURN
+    candidates = _candidates_per_word(entries)
+    rounds = _ALL_AT_ONCE if candidates <= FEW_CANDIDATES else _IN_TURN
+    find = _finder(entries, sorted({kind for kinds in rounds for kind in kinds}), candidates)
     asked = _asked(words)
     for kinds in rounds:
         found = _first_k(find(asked, entries, kinds), k)

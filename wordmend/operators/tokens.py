@@ -36,7 +36,7 @@ from wordmend.sources.documents import (
 
 # Text a match of a default rule must contain; lets most documents skip the regex.
 _REGION_HINTS = {URL: "://", EMAIL: "@"}
-_INTERNAL = ["_style", "_base", "_at", "_part"]
+_INTERNAL = ["_style", "_base", "_at", "_part", "_whole"]
 
 
 def mask_regions(text: Column, patterns: Sequence[str]) -> Column:
@@ -65,34 +65,39 @@ def lines(documents: DataFrame, keys: Sequence[str], *texts: str) -> DataFrame:
     )
 
 
-def _segments(scanned: Column, line: Column) -> Column:
-    """A line as fragments: one, or several if it is long.
+def _cut(scanned: Column, base: Column, at: Column, base_at: Column) -> Column:
+    """A long fragment as several.
 
     A fragment travels with each of its words until their context is made, so its size must
-    not depend on the length of the line. A segment of a long line brings just enough of its
-    surroundings for the context of its first and last word.
+    not depend on the length of the line. A segment brings just enough of its surroundings for
+    the context of its first and last word.
     """
 
-    def one(raw: Column, text: Column, at: Column) -> Column:
-        before = F.least(at, F.lit(CONTEXT_BYTES))
+    def one(raw: Column, text: Column, start: Column) -> Column:
+        before = F.least(start, F.lit(CONTEXT_BYTES))
         around = F.substring(
-            raw, at - before + 1, before + F.octet_length(text) + CONTEXT_BYTES
+            raw, start - before + 1, before + F.octet_length(text) + CONTEXT_BYTES
         )
-        return fragment(at, text, around.cast("string"), before)
+        return fragment(at + start - base_at, text, around.cast("string"), before, whole=False)
 
     def cut(s: Column) -> Column:
         starts = running_starts(F.transform(s.found, F.octet_length))
-        return F.zip_with(s.found, starts, lambda text, at: one(s.raw, text, at))
+        return F.zip_with(s.found, starts, lambda text, x: one(s.raw, text, x + base_at))
 
-    long_line = F.named_struct(
+    found = F.named_struct(
         F.lit("found"),
         F.regexp_extract_all(scanned, F.lit(SEGMENT), F.lit(0)),
         F.lit("raw"),
-        line.cast("binary"),
+        base.cast("binary"),
     )
-    whole = F.array(fragment(F.lit(0), scanned, line))
+    return let(found, cut)
+
+
+def _segments(scanned: Column, line: Column) -> Column:
+    """A line as fragments: one, or several if it is long."""
+    whole = F.array(fragment(F.lit(0), scanned, line, whole=False))
     return F.when(F.octet_length(scanned) <= SHORT_LINE_BYTES, whole).otherwise(
-        let(long_line, cut)
+        _cut(scanned, line, F.lit(0), F.lit(0))
     )
 
 
@@ -100,7 +105,13 @@ def _fragments(style: Column, is_python: Column, blocks: bool) -> Column:
     code = code_fragments(F.col("_scan"), is_python)
     if blocks:
         code = F.concat(code, F.array(fragment(F.lit(0), F.col("_blocks"), F.col("_text"))))
-    return F.when(style == SOURCE_CODE, code).otherwise(
+    short = F.transform(
+        code,
+        lambda f: F.when(F.octet_length(f["text"]) <= SHORT_LINE_BYTES, F.array(f)).otherwise(
+            _cut(f["text"], f["base"], f["at"], f["base_at"])
+        ),
+    )
+    return F.when(style == SOURCE_CODE, F.flatten(short)).otherwise(
         _segments(F.col("_scan"), F.col("_text"))
     )
 
@@ -168,7 +179,7 @@ def scan(
 
     place = [*keys, "_style"]
     if path or positions:
-        place += ["line", "line_start", "_offset", "_base", "_base_at"]
+        place += ["line", "line_start", "_offset", "_base", "_base_at", "_whole"]
         found = lines(source, carried, *versions)
         if path:
             fragments = _fragments(F.col("_style"), F.col("_python"), block_comments)
@@ -186,6 +197,7 @@ def scan(
             F.col("_f.text").alias("_scan"),
             F.col("_f.base").alias("_base"),
             F.col("_f.base_at").alias("_base_at"),
+            F.col("_f.whole").alias("_whole"),
         )
     else:
         # No word of plain text spans lines, so without positions they need not be split.
@@ -231,6 +243,7 @@ def scan(
             (start + F.octet_length(part)).alias("end"),
             "_base",
             (F.col("_base_at") + at).alias("_at"),
+            "_whole",
             part.alias("_part"),
         ]
     result = pieces.select(*columns, "_style")
@@ -242,7 +255,12 @@ def scan(
 
 
 def with_context(words: DataFrame) -> DataFrame:
-    """Add ``context`` to scanned words. Best done after filters: it costs time per word."""
+    """Add ``context`` to scanned words. Best done after filters: it costs time per word.
+
+    The context of a word in source code is its whole comment or literal. In one of more than
+    ``SHORT_LINE_BYTES`` it is short like that of other text, or a long line would be copied for
+    each of its words.
+    """
     sides = words.withColumn("_raw", F.col("_base").cast("binary")).withColumns(
         {
             "_left": before(F.col("_raw"), F.col("_at")),
@@ -251,7 +269,7 @@ def with_context(words: DataFrame) -> DataFrame:
     )
     both_ends = F.col("_style") != MARKDOWN
     short = short_context(F.col("_left"), F.col("_part"), F.col("_right"), both_ends)
-    context = F.when(F.col("_style") == SOURCE_CODE, F.col("_base")).otherwise(short)
+    context = F.when(F.col("_whole"), F.col("_base")).otherwise(short)
     return sides.withColumn("context", context).drop(*_INTERNAL, "_raw", "_left", "_right")
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only after its rows and text were measured to be below these.
 BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
+# What a row takes in a broadcast table beside its text.
+_ROW_BYTES = 100
 
 _TASKS_PER_SLOT = 3
 
@@ -36,8 +38,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def measure(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of text of a table."""
-    text = F.lit(0).cast("bigint")
+    """Rows of a table and the bytes they take when broadcast."""
+    text = F.lit(_ROW_BYTES).cast("bigint")
     for name, kind in df.dtypes:
         if kind == "string":
             text = text + F.coalesce(F.octet_length(name), F.lit(0))

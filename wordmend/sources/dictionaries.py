@@ -24,7 +24,7 @@ def load_dictionary(spark: SparkSession, path: str, language: str) -> DataFrame:
 
 def load_word_table(spark: SparkSession, path: str) -> DataFrame:
     """A dictionary from any Parquet table with a ``word`` column."""
-    return spark.read.parquet(path).select("word")
+    return spark.read.parquet(path).select(F.lower("word").alias("word"))
 
 
 def words_in_order(dictionary: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def words_in_order(dictionary: DataFrame) -> DataFrame:
 
 
 def dictionary_rows(words: DataFrame, language: str) -> DataFrame:
-    """Distinct words labelled with their language."""
-    return words.select("word").distinct().withColumn("language", F.lit(language))
+    """Distinct lower-case words labelled with their language."""
+    return words.select(F.lower("word").alias("word")).distinct().withColumn("language", F.lit(language))
 
 
 def write_dictionaries(rows: DataFrame, path: str) -> None:

@@ -19,7 +19,7 @@ PLAIN_TEXT = "plain_text"
 def read_documents(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """Files, folders or globs as ``documents(path, text)``, one row per file.
 
-    Paths that do not exist are skipped with a warning.
+    Paths that do not exist are skipped with a warning; if none exists, the table is empty.
     """
     wanted = [paths] if isinstance(paths, str) else list(paths)
     try:
@@ -27,8 +27,13 @@ def read_documents(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        files = spark.read.text(_existing(spark, wanted), wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        found = _existing(spark, wanted)
+        if not found:
+            return spark.createDataFrame([], "path string, text string")
+        files = spark.read.text(found, wholetext=True)
+    # The path is given as a URI; a plus sign in it stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return files.select(path.alias("path"), F.col("value").alias("text"))
 
 
 def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -42,19 +47,18 @@ def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
             warnings.warn(f"File not found: {path}", stacklevel=3)
         else:
             found.append(path)
-    if not found:
-        raise FileNotFoundError(", ".join(paths))
     return found
 
 
 def spread(documents: DataFrame) -> DataFrame:
-    """Give every core work when a table has fewer files than there are cores.
+    """Give every core work when a table is read in fewer parts than there are cores.
 
     Tokenizing happens where a document was read, and a small table is often one row group.
-    Tables with more files than cores are returned as they are, without a shuffle.
+    Big files are read in many parts, so no table of more than about
+    ``spark.sql.files.maxPartitionBytes`` for each core is ever shuffled.
     """
     tasks = documents.sparkSession.sparkContext.defaultParallelism
-    if len(documents.inputFiles()) >= tasks:
+    if documents.rdd.getNumPartitions() >= tasks:
         return documents
     return documents.repartition(4 * tasks)
 
