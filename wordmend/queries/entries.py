@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmend.functions.edits import variants
-from wordmend.functions.patterns import DEFAULT_REGIONS
+from wordmend.functions.patterns import DEFAULT_IGNORE, DEFAULT_REGIONS
 from wordmend.operators.suggest import (
     CLOSE,
     WIDE,
@@ -20,7 +20,7 @@ from wordmend.operators.suggest import (
     variant_matches,
 )
 from wordmend.operators.tokens import lines, tokens
-from wordmend.operators.words import is_ignored, known_words, unknown_words
+from wordmend.operators.words import is_ignored, known_words, unknown_words, valid_patterns
 from wordmend.plans.check import (
     check,
     find,
@@ -39,7 +39,17 @@ from wordmend.plans.fix import (
     summarize_fixes,
     with_decisions,
 )
-from wordmend.plans.report import changed_documents, flat_report, json_report, review_list
+from wordmend.plans.report import (
+    FLAT_FORMAT,
+    append_personal_words,
+    changed_documents,
+    flat_report,
+    json_report,
+    review_list,
+    write_corrected,
+    write_flat_report,
+    write_json_report,
+)
 from wordmend.queries.tables import (
     DOC,
     TURN,
@@ -58,14 +68,21 @@ from wordmend.runtime import shared_folder
 from wordmend.sources.dictionaries import (
     describe_dictionary,
     dictionary_catalog,
+    install_dictionary,
     load_dictionary,
+    load_word_table,
     update_dictionaries,
     word_counts,
     words_in_order,
     write_dictionaries,
 )
 from wordmend.sources.documents import file_type, read_documents, source_lang, spread
-from wordmend.sources.wordlists import builtin_words, listed_words, personal_words
+from wordmend.sources.wordlists import (
+    builtin_words,
+    listed_words,
+    personal_words,
+    read_personal_words,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 POSITION = ["line", "column", "start", "end"]
@@ -212,20 +229,50 @@ def block_comment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = documents(spark, sf_dir).select(
         "doc_id",
         F.concat(
-            F.lit("int code;\n/* "), F.translate("text", "\"'/", "   "), F.lit("\n */ more(code);")
+            F.lit("int code;\n/* "), F.col("text"), F.lit("\n */ more(code);")
         ).alias("text"),
         F.lit("x.java").alias("path"),
     )
     return _per_word(words_of(made, DOC, path="path", block_comments=True))
 
 
+@query
+def docstring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Docstrings over several lines, by the same option."""
+    made = documents(spark, sf_dir).select(
+        "doc_id",
+        F.concat(
+            F.lit('def code():\n    """'), F.col("text"), F.lit('\n    """\n    more(code)')
+        ).alias("text"),
+        F.lit("x.py").alias("path"),
+    )
+    return _per_word(words_of(made, DOC, path="path", block_comments=True))
+
+
+@query
+def code_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of string literals with their places, and their contexts in literals of one piece."""
+    made = documents(spark, sf_dir).select(
+        "doc_id", decorate('s = "', '";').alias("text"), F.lit("x.go").alias("path")
+    )
+    found = tokens(made, DOC, path="path")
+    whole = ~F.startswith("context", F.lit("...")) & ~F.endswith("context", F.lit("..."))
+    return found.select("doc_id", "word", *POSITION, F.when(whole, F.col("context")).alias("context"))
+
+
+@query
+def markdown_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = documents(spark, sf_dir).withColumn("path", F.lit("x.md"))
+    return tokens(made, DOC, path="path").select("doc_id", "start", "word", "context")
+
+
 @query
 def markdown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as paragraphs with inline code and a link, each followed by a fenced copy."""
     paragraph = F.transform(
         F.split("text", "\n", -1),
         lambda x: F.concat(
-            F.ltrim(F.translate(x, "`~[]<>&\\", "        ")),
+            x,
             F.lit(" `some code` [shown](http://hidden.example/page 'title')\n\n```text\n"),
             x,
             F.lit("\n```\n"),
@@ -277,6 +324,17 @@ def ignored_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.where(is_ignored(F.col("word")))
 
 
+@query
+def ignored_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers too, a pattern of the user's own, and one that is no regular expression."""
+    words = documents(spark, sf_dir).select(
+        F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")
+    )
+    rules = valid_patterns(spark, [*DEFAULT_IGNORE, "[", "ing$"])
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    return counts.where(is_ignored(F.col("word"), rules))
+
+
 @query
 def unknown_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = known_words(dictionary(spark, sf_dir))
@@ -421,6 +479,40 @@ def review_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(*TURN, "start", "word", F.array_join("options", " ").alias("options"))
 
 
+@query
+def report_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as it was written and read again."""
+    docs = documents(spark, sf_dir)
+    found = check(docs, DOC, dictionary(spark, sf_dir))
+    report = json_report(docs, found, DOC, F.concat(F.lit("d"), F.col("doc_id")))
+    folder = _folder(spark, "report-json")
+    write_json_report(report, folder)
+    again = spark.read.schema(report.schema).json(folder)
+    return again.select("files_checked", "total_errors", F.to_json("errors").alias("errors"))
+
+
+def _flat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = check(documents(spark, sf_dir), DOC, dictionary(spark, sf_dir), max_suggestions=9)
+    report = flat_report(found, DOC)
+    folder = _folder(spark, "report-lines")
+    write_flat_report(report, folder)
+    return spark.read.options(**FLAT_FORMAT).schema(report.schema).csv(folder)
+
+
+@query
+def report_lines_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_file(spark, sf_dir).fillna("", ["suggestions"])
+
+
+@query
+def report_lines_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do the lines of a document stand in reading order in the file?"""
+    lines = _flat_file(spark, sf_dir).withColumn("_place", F.monotonically_increasing_id())
+    place = F.array_sort(F.collect_list(F.struct("_place", F.struct("line", "column").alias("at"))))
+    places = lines.groupBy("doc_id").agg(place.getField("at").alias("at"))
+    return places.select("doc_id", (F.col("at") == F.array_sort("at")).alias("in_order"))
+
+
 # --- fix -------------------------------------------------------------------------------
 
 
@@ -436,6 +528,27 @@ def changed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed_documents(fixed).select(*TURN, "text", "fixed_count")
 
 
+@query
+def corrected_texts_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected documents as they were written and read again."""
+    turns = conversations(spark, sf_dir).select(*TURN, "text")
+    folder = _folder(spark, "corrected")
+    write_corrected(fix(turns, TURN, dictionary(spark, sf_dir), personal(spark, sf_dir)), folder)
+    return spark.read.parquet(folder).select(*TURN, "text", "fixed_count")
+
+
+@query
+def personal_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A personal list after a review has added words to it."""
+    folder = _folder(spark, "personal")
+    append_personal_words(personal(spark, sf_dir), folder)
+    known = read_personal_words(spark, folder)
+    found = _found(spark, sf_dir)
+    decided = with_decisions(found, _decisions(found), DOC)
+    append_personal_words(new_personal_words(accepted_words(decided), known), folder)
+    return read_personal_words(spark, folder)
+
+
 @query
 def fix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize_fixes(fix(documents(spark, sf_dir), DOC, dictionary(spark, sf_dir)))
@@ -518,6 +631,25 @@ def dictionary_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary_catalog(spark, folder).select("language", "word_count")
 
 
+@query
+def dictionary_installed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language installed from a word-list file."""
+    source, folder = _folder(spark, "wordlist"), _folder(spark, "dictionaries")
+    words_of(read(spark, sf_dir, "benchmark"), ["item_id"]).select(
+        F.col("word").alias("value")
+    ).write.text(source)
+    install_dictionary(spark, source, folder, "new")
+    return load_dictionary(spark, folder, "new")
+
+
+@query
+def dictionary_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any table of words as a dictionary, in whatever case they are written."""
+    folder = _folder(spark, "words")
+    words_of(read(spark, sf_dir, "benchmark"), ["item_id"]).select("word").write.parquet(folder)
+    return load_word_table(spark, folder).groupBy("word").agg(F.count("*").alias("n"))
+
+
 @query
 def dictionary_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_counts(_language_words(spark, sf_dir))

@@ -200,12 +200,26 @@ def _list(where: str) -> str:
     )
 
 
-def _decorated(extra: str = "") -> str:
-    words = f"SELECT doc_id, unnest(regexp_extract_all(text, '{_LETTERS}')) AS word FROM documents"
-    return (
-        f"SELECT doc_id, word, count(*) AS n FROM ({words}{extra}) "
-        "WHERE strlen(word) > 1 GROUP BY ALL"
-    )
+# Every line as a string literal of source code.
+_DECORATED_TEXT = """array_to_string(
+  list_transform(string_split(text, chr(10)), lambda x: 's = "' || x || '";'), chr(10))"""
+
+
+def _decorated(line: str, comment: str, literal: str) -> str:
+    """Words of the comment and of the literals of every line ``d``, made from line ``t``. An escape
+    pair separates words."""
+    pattern = literal.replace("'", "''")
+    return rf"""
+WITH made AS (
+  SELECT doc_id, {line} AS d FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents)),
+literals AS (SELECT doc_id, unnest(regexp_extract_all(d, '{pattern}')) AS part FROM made),
+parts AS (
+  SELECT doc_id, {comment} AS part FROM made
+  UNION ALL
+  SELECT doc_id, regexp_replace(part, '\\.', '  ', 'g') FROM literals),
+words AS (SELECT doc_id, unnest(regexp_extract_all(part, '{_LETTERS}')) AS word FROM parts)
+SELECT doc_id, word, count(*) AS n FROM words WHERE strlen(word) > 1 GROUP BY ALL"""
 
 
 def _without_regions(text: str) -> str:
@@ -291,11 +305,42 @@ FROM docs_lines"""
     )
     out["compound_parts"] = f"WITH {_DOCS} SELECT word, count(*) AS n FROM docs GROUP BY ALL"
 
-    out["code_comment_words"] = _decorated()
-    out["code_string_words"] = _decorated()
-    out["python_comment_words"] = _decorated()
-    out["python_string_words"] = _decorated()
-    out["block_comment_words"] = _decorated()
+    # A quote inside a comment is looked at as a literal again. C literals may be open.
+    c_literal, python_literal = r'"[^"]*("|$)', r"""'[^']*'|"[^"]*\""""
+    out["code_comment_words"] = _decorated("'x = 1; // ' || t", "substr(d, 11)", c_literal)
+    out["code_string_words"] = _decorated(r"""'s = "\t' || t || '";'""", "''", c_literal)
+    out["python_comment_words"] = _decorated("'y = 2 # ' || t", "substr(d, 8)", python_literal)
+    before = "string_split(d, '#')[1]"
+    quotes = f"""(length({before}) - length(translate({before}, '"''', '')))"""
+    comment = (
+        f"CASE WHEN contains(d, '#') AND {quotes} % 2 = 0 "
+        "THEN substr(d, instr(d, '#') + 1) ELSE '' END"
+    )
+    out["python_string_words"] = _decorated(r"'s = ''' || t || '\n'''", comment, python_literal)
+    every = f"SELECT doc_id, unnest(regexp_extract_all(text, '{_LETTERS}')) AS word FROM documents"
+    out["block_comment_words"] = out["docstring_words"] = (
+        f"SELECT doc_id, word, count(*) AS n FROM ({every}) WHERE strlen(word) > 1 GROUP BY ALL"
+    )
+    coded = _lines("coded", "documents", "doc_id", _DECORATED_TEXT)
+    out["code_positions"] = f"""
+WITH {coded},{_pieces("literal", "coded", "doc_id, line", c_literal)},
+inside AS (
+  SELECT doc_id, line, i AS number, line_start + byte_pos AS base, line_start, tok AS f FROM literal),{
+    _pieces("found", "inside", "doc_id, line, number", _LETTERS, "f")}
+SELECT doc_id, tok AS word, line::INT AS line, (base - line_start + byte_pos + 1)::INT AS "column",
+       (base + byte_pos)::INT AS "start", (base + byte_pos + strlen(tok))::INT AS "end",
+       CASE WHEN strlen(f) <= 4000 THEN regexp_extract(f, '^"([^"]*)"', 1) END AS context
+FROM found WHERE strlen(tok) > 1"""
+    out["markdown_contexts"] = rf"""
+WITH {_lines("md_lines", "documents", "doc_id", "text")},{
+    _pieces("md", "md_lines", "doc_id, line", _MARKDOWN)}
+SELECT doc_id, (line_start + byte_pos)::INT AS "start", tok AS word,
+  CASE WHEN char_pos > 20 THEN '...' ELSE '' END
+    || substr(t, greatest(char_pos - 20, 0)::BIGINT + 1,
+              (least(char_pos, 20) + length(tok) + 20)::BIGINT)
+    || CASE WHEN char_pos <= 20 AND char_pos + length(tok) + 20 < length(t) THEN '...' ELSE '' END
+    AS context
+FROM md WHERE regexp_matches(tok, '\p{{L}}')"""
     out["markdown_words"] = rf"""
 WITH words AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '{_MARKDOWN}')) AS word FROM documents
@@ -449,4 +494,22 @@ WITH {language},{_tokens('bench', 'benchmark', 'item_id')}
 SELECT language, CASE WHEN language = 'de' THEN (SELECT count(DISTINCT lower(word)) FROM bench)
                       ELSE word_count END AS word_count FROM ({sizes})"""
     out["dictionary_word_counts"] = f"WITH {language} {sizes}"
+
+    # What was written is read again: the same rows.
+    out["report_json_file"] = out["report_json"]
+    out["report_lines_file"] = out["report_lines"]
+    out["report_lines_order"] = f"WITH {_CHECKED} SELECT DISTINCT doc_id, true AS in_order FROM bad"
+    out["corrected_texts_file"] = out["changed_texts"]
+    out["personal_list_file"] = f"""
+WITH {_CHECKED},{_PERSONAL}
+SELECT word FROM personal
+UNION SELECT lower(word) FROM bad WHERE "start" % 4 = 1"""
+    bench = _tokens("bench", "benchmark", "item_id")
+    out["dictionary_installed"] = f"WITH {bench} SELECT DISTINCT lower(word) AS word FROM bench"
+    out["dictionary_from_table"] = f"""
+WITH {bench} SELECT lower(word) AS word, count(*) AS n FROM bench GROUP BY ALL"""
+    out["ignored_by_pattern"] = rf"""
+SELECT word, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS word FROM documents)
+WHERE {_ignored('word')} OR regexp_matches(word, 'ing$') GROUP BY ALL"""
     return out

@@ -63,11 +63,11 @@ def with_path(table: DataFrame) -> DataFrame:
 
 
 def decorate(before: str, after: str) -> Column:
-    """Every line, without quotes, put between ``before`` and ``after``."""
+    """Every line put between ``before`` and ``after``."""
     return F.array_join(
         F.transform(
             F.split("text", "\n", -1),
-            lambda x: F.concat(F.lit(before), F.translate(x, "\"'", "  "), F.lit(after)),
+            lambda x: F.concat(F.lit(before), x, F.lit(after)),
         ),
         "\n",
     )
