@@ -137,9 +137,10 @@ def fit(
         F.col(lang).alias("lang"), F.col(text).alias("text")
     )
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # A share of twice the sample first, so that the ranking is over few rows of any language.
+    # A share of twice the sample first, so that the ranking is over few rows of any language. There
+    # is one count for each language: it is broadcast, and no text is shuffled by language.
     share = F.pmod(order, F.lit(1 << 20)) <= F.lit(2.0 * documents_per_language * (1 << 20)) / F.col("n")
-    few = known.join(counts, "lang").where(share | (F.col("n") <= 2 * documents_per_language))
+    few = known.join(F.broadcast(counts), "lang").where(share | (F.col("n") <= 2 * documents_per_language))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
     sample = (
         few.select("lang", F.substring("text", 1, 2 * letters_per_document).alias("text"))
