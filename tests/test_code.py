@@ -31,10 +31,8 @@ def test_file_types(spark):
 
 
 def test_line_comments(docs):
-    text = '\n// This is a comment with words\nfn main() {\n  println!("A string with text");\n}\n'
-    assert found(docs, "a.rs", text) == [
-        "This", "is", "comment", "with", "words", "string", "with", "text",
-    ]
+    text = '\n// owls fly by night\nlet a = 1;\nlog!("a grey owl sleeps");\n'
+    assert found(docs, "a.rs", text) == ["owls", "fly", "by", "night", "grey", "owl", "sleeps"]
 
 
 def test_literals(docs):
@@ -53,6 +51,23 @@ def test_literal_in_a_comment_is_found_twice(docs):
     assert found(docs, "a.js", '// say "hello"') == ["say", "hello", "hello"]
 
 
+def test_line_breaks_of_two_characters(docs):
+    for path, text in (("a.rs", 'x // Teh cat\r\ny = "abc def";\r\n'), ("a.py", "x # Teh cat\r\ny = 'abc def'\r\n")):
+        rows = tokens(docs({path: text}), ["path"], path="path").orderBy("start").collect()
+        assert [r.word for r in rows] == ["Teh", "cat", "abc", "def"]
+        assert [r.context for r in rows] == [" Teh cat"] * 2 + ["abc def"] * 2
+
+
+def test_contexts_of_a_long_line_are_short(docs):
+    """Whole contexts would take 20,000 times the line."""
+    for text in ("// " + "grey owls fly " * 20_000, 's = "' + "grey owls fly " * 20_000 + '";'):
+        rows = tokens(docs({"a.c": text}), ["path"], path="path").orderBy("start").collect()
+        assert len(rows) == 60_000
+        assert all(text[r.start : r.end] == r.word for r in rows[::997])
+        assert all(len(r.context) <= 50 and r.word in r.context for r in rows)
+        assert rows[30_000].context == "..." + text[rows[30_000].start - 20 : rows[30_000].end + 20] + "..."
+
+
 def test_context_is_the_whole_comment_or_literal(docs):
     frame = docs({"a.c": 'f("one two"); // the comment'})
     got = {r.word: r.context for r in tokens(frame, ["path"], path="path").collect()}

@@ -77,6 +77,25 @@ def test_a_frequent_word_is_spread_over_tasks(spark, words, monkeypatch):
     assert got.select("id", "start").distinct().count() == 1240
 
 
+def test_overlapping_edits(spark):
+    documents = spark.createDataFrame([(1, "abcdefghijklmn"), (2, "untouched")], "id int, text string")
+    edits = spark.createDataFrame(
+        [(1, 0, 10, "X"), (1, 2, 4, "Y"), (1, 5, 8, "Z"), (1, 12, 13, None), (1, 10, 11, "K"), (1, 10, 11, "K")],
+        "id int, start int, end int, new string",
+    )
+    rows = {r.id: tuple(r)[1:] for r in apply_edits(documents, edits, ["id"]).collect()}
+    assert rows == {1: ("XKlmn", 2, 1), 2: ("untouched", 0, 0)}
+
+
+def test_many_heavy_words_keep_all_rows(spark, monkeypatch):
+    """No list of the heaviest words is cut off: 1500 of them are spread."""
+    monkeypatch.setattr(runtime, "shuffle_tasks", lambda spark: 3000)
+    facts = spark.range(9000).selectExpr("concat('w', id % 1500) AS word", "id")
+    lookup = facts.groupBy("word").count().withColumnRenamed("count", "n")
+    joined = runtime.salted_join(facts, lookup, ["word"], "n", [F.col("id")])
+    assert joined.count() == 9000 and joined.where("n != 6").count() == 0
+
+
 def test_counts(docs, words):
     frame = docs(TEXTS)
     found = find(frame, ["path"], words(DICTIONARY), path="path")
