@@ -30,6 +30,13 @@ def test_fences(docs):
     assert found(docs, "- item\n  ```sh\n  code\n  ```\n- two") == ["item", "two"]
 
 
+def test_any_number_of_blanks_makes_a_blank_line(docs):
+    for n in (0, 10, 100, 1000):
+        assert found(docs, "text\n" + " " * n + "\n    code\n\nend") == ["text", "end"]
+        assert found(docs, "text\n" + " " * n + "\n<b>\nhidden\n</b>\n\nend") == ["text", "end"]
+    assert found(docs, "text\n\n<pre>\na\n\nb\n</pre>\nend") == ["text", "end"]
+
+
 def test_indented_code(docs):
     assert found(docs, "text\n\n    code\n\n    more\n\nend") == ["text", "end"]
     assert found(docs, "text\n    goes on") == ["text", "goes", "on"]

@@ -19,8 +19,10 @@ _FENCE = (
     r"(?dms)^[ \t>]*(?:(`{3,}+)[^`\n]*+|(~{3,}+)[^\n]*+)(?:\n|\z)"
     r".*?(?:^[ \t>]*(?:\1`*+|\2~*+)[ \t\r]*+$|\z)"
 )
+# The blank line before a block belongs to the match: blanking it changes nothing.
+_AFTER_BLANK = r"(?:\A|^[ \t\r]*+\n)"
 _INDENTED = (
-    r"(?dm)^(?<=\A|\n[ \t\r]{0,80}\n)"
+    rf"(?dm){_AFTER_BLANK}"
     r"(?:(?: {4}| {0,3}\t)[^\n]*+(?:\n[ \t\r]*+(?=\n|\z))*+(?:\n|\z))++"
 )
 _BLANK_LINE_END = r"[^\n]*+(?:\n(?![ \t\r]*+(?:\n|\z))[^\n]*+)*+"
@@ -38,14 +40,15 @@ _ATTRIBUTES = (
 )
 _TAG = rf"(?:<[A-Za-z][A-Za-z0-9\-]*+{_ATTRIBUTES}\s*+/?>|</[A-Za-z][A-Za-z0-9\-]*+\s*+>)"
 _HTML_BLOCK = (
-    r"(?dims)^ {0,3}(?:"
+    r"(?dims)(?:^ {0,3}(?:"
     r"<!--.*?(?:-->[^\n]*+|\z)"
     r"|<\?.*?(?:\?>[^\n]*+|\z)"
     r"|<!\[CDATA\[.*?(?:\]\]>[^\n]*+|\z)"
     r"|<![A-Z].*?(?:>[^\n]*+|\z)"
     r"|<(script|pre|style|textarea)(?=[\s>]).*?(?:</\1>[^\n]*+|\z)"
     rf"|</?(?:{'|'.join(_BLOCK_TAGS.split())})(?=[\s/>]){_BLANK_LINE_END}"
-    rf"|(?<=\A[ ]{{0,3}}|\n[ \t\r]{{0,80}}\n[ ]{{0,3}}){_TAG}[ \t\r]*+$(?:\n(?![ \t\r]*+(?:\n|\z))[^\n]*+)*+"
+    rf")|{_AFTER_BLANK} {{0,3}}(?!<(?:script|pre|style|textarea)[\s>]){_TAG}[ \t\r]*+$"
+    r"(?:\n(?![ \t\r]*+(?:\n|\z))[^\n]*+)*+"
     r")"
 )
 # Escapes, autolinks and lone back-ticks are matched so that they cannot open something else.
