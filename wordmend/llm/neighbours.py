@@ -211,7 +211,10 @@ def search(
         return empty
     rows = rows.where(F.size("vector") == common.n)
     total = common["count"]
-    sampled = rows.orderBy(F.xxhash64("id", "vector")).limit(SAMPLE)
+    order = F.xxhash64("id", "vector")
+    # About twice the sample first, so that no task sends more of it than its share.
+    share = F.pmod(order, F.lit(1 << 20)) <= 2.0 * SAMPLE * (1 << 20) / total
+    sampled = rows.where(share).orderBy(order).limit(SAMPLE)
     sample = sampled.select("id", "vector").toArrow().combine_chunks().to_batches()
     if not sample:
         return empty
