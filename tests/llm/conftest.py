@@ -43,6 +43,7 @@ ODD = [
 CLASHING = (
     "key node bands rank bucket size copies taken target source_size rate lang_pred score length piece "
     "sequence_id offset removed removed_words stretch ahead _order _part _name word n version hash "
+    "c0 c1 _null _rows _shown _node _nth _spans _key _version _text "
     "start end later n_words places blocks query_id vector list id asks"
 ).split()
 

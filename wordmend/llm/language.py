@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordmend.llm.columns import numbered, restored
+
 UNKNOWN = "und"
 DOCUMENTS_PER_LANGUAGE = 300
 LETTERS_PER_DOCUMENT = 1000
@@ -208,8 +210,9 @@ def predict(
     the next one, as a share; 1 if there is only one."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    kept = [c for c in kept if keep_text or c != text]
+    plain, names = numbered(documents)
+    left_out = ["lang_pred", "score", *([] if keep_text else [text])]
+    kept = [new for old, new in names.items() if old not in left_out]
     name = uuid.uuid4().hex
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +237,9 @@ def predict(
                     names=[*kept, "lang_pred", "score"],
                 )
 
-    schema = documents.select(*kept).withColumns(
-        {"lang_pred": F.lit(""), "score": F.lit(0.0)}
-    ).schema
-    return documents.select(*kept, F.col(text).alias("_text")).mapInArrow(label, schema)
+    schema = plain.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    labelled = plain.select(*kept, F.col(names[text]).alias("_text")).mapInArrow(label, schema)
+    return labelled.select(*restored(names, left_out), "lang_pred", "score")
 
 
 def _small(batch: pa.RecordBatch, letters: int = 1 << 21) -> Iterator[pa.RecordBatch]:

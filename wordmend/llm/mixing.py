@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordmend.llm.columns import numbered, restored
 from wordmend.runtime import stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -205,12 +206,14 @@ def mix(
     ``copies`` says how often a document is taken (0 to ``max_repeat``), ``taken`` how many words
     that gives. ``repeated`` turns the result into the mixed rows.
     """
-    rows = documents.drop(*(c for c in OUTPUT if c != source)).withColumns(
+    plain, names = numbered(documents)
+    origin = F.col(names[source])
+    rows = plain.withColumns(
         {
-            "size": text_size(F.col(text)),
-            "_name": F.coalesce(F.col(source), F.lit("")),
-            "_null": F.col(source).isNull(),
-            "_order": F.xxhash64(F.col(key).cast("string"), text),
+            "size": text_size(F.col(names[text])),
+            "_name": F.coalesce(origin, F.lit("")),
+            "_null": origin.isNull(),
+            "_order": F.xxhash64(F.col(names[key]).cast("string"), names[text]),
         }
     )
     slim = stage(rows.select("_name", "_null", "size", "_order"), "mixing-sizes")
@@ -270,7 +273,7 @@ def mix(
         .join(parts, [*cell, "_part"])
         .withColumn("copies", F.floor(F.col("_here") / F.col("_rows")) + extra)
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*(c for c in documents.columns if c == source or c not in OUTPUT), *OUTPUT)
+        .select(*restored(names, OUTPUT), *OUTPUT)
     )
 
 

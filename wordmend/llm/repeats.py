@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordmend.llm.columns import numbered, restored
 from wordmend.llm.words import Words, mixed, slices, words
 
 MIN_WORDS = 26
@@ -241,7 +242,8 @@ def without_repeats(
 ) -> DataFrame:
     """``documents`` without repeated spans, with ``removed`` (byte ranges of the original text)
     and ``removed_words``."""
-    rows = documents.drop(*OUTPUT)
+    rows, names = numbered(documents.drop(*OUTPUT))
+    key, text = names[key], names[text]
     found = repeated_spans(rows, key, text, min_words)
     by_row = found.groupBy("key", "version").agg(
         F.collect_list(F.struct("start", "end")).alias("_spans")
@@ -266,4 +268,4 @@ def without_repeats(
             T.StructField("removed_words", T.LongType()),
         ]
     )
-    return marked.mapInArrow(_cut(schema, text), schema)
+    return marked.mapInArrow(_cut(schema, text), schema).select(*restored(names), *OUTPUT)
