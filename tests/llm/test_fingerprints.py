@@ -2,7 +2,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
-from conftest import words_of
+from llm_cases import words_of
 from pyspark.sql import functions as F
 
 from wordmend.llm import fingerprints

@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import words_of
+from llm_cases import words_of
 
 from wordmend.llm import licenses
 

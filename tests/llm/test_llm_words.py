@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import WORD, low
+from llm_cases import WORD, low
 
 from wordmend.llm import words as W
 

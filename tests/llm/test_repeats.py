@@ -1,6 +1,6 @@
 import pyarrow as pa
 import pytest
-from conftest import low, sentences, words_of
+from llm_cases import low, sentences, words_of
 from pyspark.sql import functions as F
 
 from wordmend.llm import repeats

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import low
+from llm_cases import low
 from pyspark.sql import functions as F
 
 from wordmend.llm import scoring
