@@ -62,6 +62,27 @@ def test_passage_without_punctuation(make):
     assert max(r.removed_words for r in got) > 200
 
 
+def made_up(n, seed, comma=""):
+    return f"{comma} ".join(f"w{(i * 7919 + seed * 104729) % 1000003}" for i in range(n))
+
+
+@pytest.mark.parametrize("size", [51, 55, 60])
+def test_passage_of_one_sentence(make, size):
+    passages = [f"P{made_up(size, 1 + k, ',')}." for k in range(40)]
+    texts = [f"Begin {made_up(5, 500 + i)}. {passages[i // 2]} E{i} {made_up(5, 900 + i)}." for i in range(80)]
+    got = {r.doc_id: r for r in repeats.without_repeats(make(*texts)).collect()}
+    assert [got[i].removed_words for i in range(80)] == [0, size] * 40
+
+
+@pytest.mark.parametrize("size", [51, 55, 60])
+def test_passage_without_punctuation_in_other_text(make, size):
+    texts = [f"{made_up(30, 500 + i)} {made_up(size, 1 + i // 2)} {made_up(30, 900 + i)}" for i in range(80)]
+    got = {r.doc_id: r for r in repeats.without_repeats(make(*texts)).collect()}
+    for i in range(1, 80, 2):
+        assert got[i - 1].removed_words == 0
+        assert size - 2 * repeats._WINDOW <= got[i].removed_words <= size
+
+
 def test_short_repeats_stay(make):
     got = repeats.without_repeats(make("Just a short line. The end.", "Just a short line. The end."))
     assert [r.removed_words for r in got.collect()] == [0, 0]

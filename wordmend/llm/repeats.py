@@ -2,9 +2,12 @@
 
 A sentence ends at ``. ! ? ; :`` or a line end, before a word with a capital first letter, and, so
 that text without any of these has sentences too, after words that their hash chooses (one of
-``_CHOSEN``). All of this depends on the words nearby only, so a passage has the same sentences
-wherever it stands. Every sentence starts and ends a span: the shortest run of at least two
-sentences and ``MIN_WORDS`` words. Two such spans cover a passage of twice that length. Spans with
+``_CHOSEN``). Where ``_WINDOW`` neighbouring places have none of these ends, the place with the
+least hash of the two words around it is one, so no sentence is longer than ``_WINDOW`` words. All
+of this depends on the words nearby only, so a passage has the same sentences wherever it stands.
+Every sentence starts and ends a span: the shortest run of at least two sentences and ``MIN_WORDS``
+words. A passage of 50 words holds a whole span wherever it stands; up to ``_WINDOW`` words at an
+end that lies inside a sentence of the other text may stay. Spans with
 the same words (A-Z as a-z, without punctuation) are joined over all documents by a 64-bit hash,
 and sentences of any span but the first, by key and place, are removed.
 
@@ -35,6 +38,7 @@ MIN_WORDS = 26
 OUTPUT = ("removed", "removed_words")
 
 _CHOSEN = 32
+_WINDOW = 8
 _BASE = 0xD6E8FEB86659FD93
 _ENDERS = np.isin(np.arange(256), np.frombuffer(b".!?;:\n\r", np.uint8))
 _powers: list[np.ndarray] = []
@@ -66,6 +70,13 @@ def sentence_starts(found: Words) -> np.ndarray:
     begins |= (initial == 0xC3) & (second >= 0x80) & (second <= 0x9E)  # À to Þ in UTF-8
     begins[1:] |= found.hashes[:-1] % np.uint64(_CHOSEN) == 0
     begins[found.first[:-1][np.diff(found.first) > 0]] = True
+    if n > _WINDOW:
+        pair = mixed(found.hashes[:-1] * np.uint64(_BASE) + found.hashes[1:])
+        ended = np.concatenate([[0], np.cumsum(begins[1:])])
+        bare = np.flatnonzero(ended[_WINDOW:] == ended[:-_WINDOW])
+        windows = np.lib.stride_tricks.sliding_window_view(pair, _WINDOW)
+        for some in np.array_split(bare, len(bare) // (1 << 18) + 1):
+            begins[some + windows[some].argmin(1) + 1] = True
     return np.flatnonzero(begins)
 
 
@@ -123,16 +134,26 @@ def _spans_of(min_words: int):
             head[1:] = value[1:] != value[:-1]
             lead = np.maximum.accumulate(np.where(head, np.arange(len(value)), 0))
             later = (place != place[lead]).any(1)
-            # The same place again (a repeated row) says nothing new.
-            new = head | later
+            # The same place again (a repeated row) says nothing new. Rows go out by text, which
+            # compresses well, and repeats as the stretches they make together.
+            new = np.flatnonzero(head & ~later)
+            new = new[np.lexsort((start[new], owner[new]))]
+            again = np.flatnonzero(later)
+            again = again[np.lexsort((start[again], owner[again]))]
+            reach = np.maximum.accumulate((owner[again] << 32) + end[again])
+            begins = np.ones(len(again), bool)
+            begins[1:] = (owner[again][1:] << 32) + start[again][1:] > reach[:-1]
+            ends = np.append(begins[1:], True)[: len(again)]
+            again, reach = again[begins], reach[ends] & 0xFFFFFFFF
+            rows = np.concatenate([new, again])
             yield pa.RecordBatch.from_arrays(
                 [
-                    whole.column("key").take(pa.array(owner[new])),
-                    pa.array(version[new]),
-                    pa.array(value[new].view(np.int64)),
-                    pa.array(start[new], pa.int32()),
-                    pa.array(end[new], pa.int32()),
-                    pa.array(later[new]),
+                    whole.column("key").take(pa.array(owner[rows])),
+                    pa.array(version[rows]),
+                    pa.array(np.append(value[new].view(np.int64), np.zeros(len(again), np.int64))),
+                    pa.array(start[rows], pa.int32()),
+                    pa.array(np.append(end[new], reach), pa.int32()),
+                    pa.array(np.arange(len(rows)) >= len(new)),
                 ],
                 names=["key", "version", "hash", "start", "end", "later"],
             )
