@@ -39,6 +39,25 @@ def test_recall_and_scores(spark, monkeypatch):
     assert all(abs(scores[q][i] - s) < 1e-12 for q, v in got.items() for i, s in v)
 
 
+def test_every_query_has_k_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 100)
+    monkeypatch.setattr(neighbours, "RECALL", 0.5)  # many true neighbours are in no probed list
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(32).tolist()) for i in range(2000)]
+    rows += [(0, rng.standard_normal(32).tolist()) for _ in range(300)]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    ranks = neighbours.search(frame, F.col("vec_id") % 50 == 0).groupBy("query_id", "rank").count().collect()
+    want = {(q, r): 1 if q else 301 for q in range(0, 2000, 50) for r in range(1, 6)}
+    assert {(r.query_id, r["rank"]): r["count"] for r in ranks} == want
+
+
+def test_scan_keeps_k_beyond_the_radius():
+    rng = np.random.default_rng(5)
+    index = neighbours.Index(rng.standard_normal((500, 64)), 4)
+    for n in (0, 3, 500):
+        assert len(neighbours.adaptive_scan(index.sample[:n], index.sample[0], 1e-9, 5)) == min(n, 5)
+
+
 def test_one_vector_in_a_third_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PART", 100)
     rng = np.random.default_rng(1)

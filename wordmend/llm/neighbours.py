@@ -5,9 +5,10 @@ rotated dimensions are a random projection. They are divided into lists by the n
 centres, which are fitted on a sample of ``SAMPLE`` vectors; every vector is in a list. A query
 probes its nearest lists and scans each of them in blocks of ``COLUMNS`` dimensions. After a
 block, the partial distance, scaled up to all dimensions, is tested against the k-th smallest
-distance so far: a candidate whose partial distance is too large to be explained by chance
-(``CONFIDENCE``) is abandoned, and its other dimensions are not read. Survivors are ranked by the
-exact cosine of the original vectors in double precision.
+distance among the vectors of the sample in the probed lists: a candidate whose partial distance is
+too large to be explained by chance (``CONFIDENCE``) is abandoned, and its other dimensions are not
+read. The k nearest so far always stay, so a query has k results, or all other rows if these are
+fewer. Survivors are ranked by the exact cosine of the original vectors in double precision.
 
 How many lists are probed follows from the data: ``TRIALS`` vectors are searched among all rows,
 and the probes are as many as ``RECALL`` of their neighbours need.
@@ -66,7 +67,9 @@ def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 class Index:
     """Centres and rotation, fitted on a sample."""
 
-    def __init__(self, sample: np.ndarray, lists: int, seed: int = 7) -> None:
+    def __init__(
+        self, sample: np.ndarray, lists: int, seed: int = 7, ids: np.ndarray | None = None
+    ) -> None:
         rng = np.random.default_rng(seed)
         size = sample.shape[1]
         self.rotation = np.linalg.qr(rng.standard_normal((size, size)))[0].astype(np.float32)
@@ -80,6 +83,8 @@ class Index:
                     self.centres[k] = mine.mean(0)
             lengths = np.sqrt((self.centres**2).sum(1, keepdims=True))
             self.centres /= np.maximum(lengths, 1e-12)
+        self.ids = np.full(len(sample), np.iinfo(np.int64).min) if ids is None else ids
+        self.list = self.order(self.sample, 1)[:, 0]
 
     def rotated(self, rows: np.ndarray) -> np.ndarray:
         return _unit(rows).astype(np.float32) @ self.rotation
@@ -89,19 +94,25 @@ class Index:
         near = -(rotated @ self.centres.T)
         return near.argmin(1)[:, None] if n == 1 else np.argsort(near, 1, kind="stable")
 
-    def radius(self, rotated: np.ndarray, k: int) -> np.ndarray:
-        """A squared distance within which every vector has ``k`` others: the one to its
-        ``k + 1``-th nearest in the sample, as it may be in the sample itself."""
-        if len(self.sample) <= k:
+    def radius(self, rotated: np.ndarray, names: np.ndarray, wanted: np.ndarray, k: int) -> np.ndarray:
+        """A squared distance within which every vector has ``k`` rows with other ids than its own
+        in its wanted lists: the one to the ``k``-th nearest such row of the sample."""
+        if len(self.sample) < k:
             return np.full(len(rotated), np.inf)
-        near = rotated @ self.sample.T
-        return 2 - 2 * np.partition(near, -(k + 1), 1)[:, -(k + 1)] + 1e-5
+        found = np.empty(len(rotated), np.float32)
+        for at in range(0, len(rotated), 256):
+            some = slice(at, at + 256)
+            near = rotated[some] @ self.sample.T
+            near[~wanted[some][:, self.list] | (names[some, None] == self.ids[None, :])] = -np.inf
+            found[some] = 2 - 2 * np.partition(near, -k, 1)[:, -k] + 1e-5
+        return found
 
 
 def adaptive_scan(
     vectors: np.ndarray, query: np.ndarray, radius: float, k: int
 ) -> np.ndarray:
-    """Rows of ``vectors`` that may be among the ``k`` nearest to ``query``, all rotated."""
+    """Rows of ``vectors`` that may be among the ``k`` nearest to ``query``, all rotated; ``k`` of
+    them at least, if there are so many."""
     size = vectors.shape[1]
     alive = np.arange(len(vectors))
     partial = np.zeros(len(vectors), np.float32)
@@ -114,9 +125,9 @@ def adaptive_scan(
             limit = radius * last / size * (1 + CONFIDENCE / np.sqrt(last)) ** 2
             keep = partial <= limit
         else:
-            if len(partial) > k:
-                radius = min(radius, float(np.partition(partial, k)[k]) + 1e-5)
-            keep = partial <= radius
+            keep = partial <= min(radius, np.inf if len(partial) <= k else float(np.partition(partial, k)[k]) + 1e-5)
+        if np.count_nonzero(keep) < k and len(keep):
+            keep = partial <= np.partition(partial, min(k, len(partial)) - 1)[min(k, len(partial)) - 1]
         alive, partial = alive[keep], partial[keep]
         if not len(alive):
             break
@@ -137,8 +148,10 @@ def _scan_group(k: int):
             names = queries.column("query_id").to_numpy()
             keys = queries.column("query_key").to_numpy()
             for i in range(len(queries)):
-                near = adaptive_scan(turned, rotated[i].astype(np.float32), radius[i], k)
-                near = near[ids[near] != names[i]]
+                own = ids == names[i]
+                others = np.flatnonzero(~own) if own.any() else slice(None)
+                near = adaptive_scan(turned[others], rotated[i].astype(np.float32), radius[i], k)
+                near = near if isinstance(others, slice) else others[near]
                 if not len(near):
                     continue
                 score = cosines(exact[near], theirs[i])
@@ -222,7 +235,8 @@ def search(
     if not len(fit):
         return empty
     lists = int(min(MAX_LISTS, len(fit), max(1, total // LIST_SIZE)))
-    index = Index(fit, lists)
+    ids = sample[0].column("id").to_numpy()[places]
+    index = Index(fit, lists, ids=ids)
     sent = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +262,6 @@ def search(
         ),
         "vector-lists",
     )
-    ids = sample[0].column("id").to_numpy()[places]
     probes = _probes(stored, index, fit[:TRIALS], ids[:TRIALS], k)
     counts = {row.list: row["count"] for row in stored.groupBy("list").count().collect()}
     sizes_of = np.array([counts.get(i, 0) for i in range(lists)])
@@ -258,11 +271,15 @@ def search(
             turned, _ = _matrix(batch.column("rotated"))
             turned = turned.astype(np.float32)
             order = sent.value.order(turned)
-            # At least ``probes`` lists, and more until they hold enough vectors.
+            # At least ``probes`` lists, and more until they hold enough vectors of other rows.
             held = np.cumsum(sizes_of[order], 1) - sizes_of[order]
-            wanted = (np.arange(lists)[None, :] < probes) | (held < k + 1)
+            own = batch.column("own").to_numpy()
+            wanted = (np.arange(lists)[None, :] < probes) | (held < k + own[:, None])
             row, nth = np.nonzero(wanted)
-            radius = sent.value.radius(turned, k).astype(float)
+            probed = np.zeros(wanted.shape, bool)
+            probed[row, order[row, nth]] = True
+            names = batch.column("id").to_numpy()
+            radius = sent.value.radius(turned, names, probed, k).astype(float)
             taken = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -273,11 +290,14 @@ def search(
                 names=["query_id", "query_key", "vector", "rotated", "radius", "list"],
             )
 
+    # Rows with a query's id, which are no candidates for it.
+    own = stored.groupBy("id").agg(F.count("*").alias("own"))
     asked = (
         stored.where("asks")
         .withColumn("query_key", F.xxhash64("id", "vector"))
         .dropDuplicates(["id", "query_key"])
-        .select("id", "query_key", "vector", "rotated")
+        .join(own, "id")
+        .select("id", "query_key", "vector", "rotated", "own")
     )
     probing = stage(
         asked.mapInArrow(
