@@ -70,6 +70,13 @@ def test_odd_rows(clashing):
     assert {r["key"] for r in rows} == {"x"}
 
 
+def test_language_of_many_copies(spark):
+    rows = [(text_in("aa", i), "aa") for i in range(40)]
+    rows += [(text_in("bb", k), f"b{k}") for k in range(8) for _ in range(5000)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["aa", *(f"b{k}" for k in range(8))]
+
+
 def test_long_text_is_read_whole(spark, model):
     text = text_in("aa", 1, 400) + " " + text_in("bb", 2, 4000)
     assert language.predict(spark.createDataFrame([(text,)], "text string"), model).first().lang_pred == "bb"

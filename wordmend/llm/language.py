@@ -134,18 +134,19 @@ def fit(
 ) -> Model:
     """Automata from a sample of ``labelled``: per language, the documents that are first by a
     hash of their text."""
-    order = F.xxhash64(text)
     known = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text")
+        F.col(lang).alias("lang"), F.substring(text, 1, 2 * letters_per_document).alias("text")
     )
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # A share of twice the sample first, so that the ranking is over few rows of any language. There
-    # is one count for each language: it is broadcast, and no text is shuffled by language.
+    order = F.xxhash64("text")
+    # Copies have one hash and fall together, so different texts are counted, about. A share of twice
+    # the sample of them first, so that the ranking is over few rows of any language. There is one
+    # count for each language: it is broadcast, and no text is shuffled by language.
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(order, 0.02).alias("n"))
     share = F.pmod(order, F.lit(1 << 20)) <= F.lit(2.0 * documents_per_language * (1 << 20)) / F.col("n")
     few = known.join(F.broadcast(counts), "lang").where(share | (F.col("n") <= 2 * documents_per_language))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
     sample = (
-        few.select("lang", F.substring("text", 1, 2 * letters_per_document).alias("text"))
+        few.select("lang", "text")
         .distinct()
         .withColumn("rank", rank)
         .where(F.col("rank") <= documents_per_language)
