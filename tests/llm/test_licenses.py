@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from llm_cases import words_of
@@ -58,6 +59,42 @@ def test_phrases(make):
     assert [(p.label, p.word) for p in got[0].places] == [("mit", 1), ("mit", 3)]
 
 
+def notices_of(make, *texts):
+    rows = {r.doc_id: r for r in licenses.scan(make(*texts)).collect()}
+    return [sorted(n.label for n in rows[i].notices) for i in range(len(texts))]
+
+
+def test_wrapped_notices(make):
+    labels = sorted(licenses.TEMPLATES)
+    notices = [licenses.TEMPLATES[label][0].split() for label in labels]
+    around = [f"other{i}" for i in range(40)]
+    texts = ["\n * ".join(" ".join((around + w + around)[i : i + 6]) for i in range(0, 80 + len(w), 6)) for w in notices]
+    assert notices_of(make, *texts) == [[label] for label in labels]
+
+
+def test_windows_by_brute_force(make):
+    random.seed(1)
+    templates = {"t": ["a b c d e f g h"], "u": ["c d a"], "v": ["a a b"]}
+    texts = [" ".join(random.choices("abcdefghxyz", k=random.randint(1, 60))) for _ in range(200)]
+    rows = licenses.scan(make(*texts), templates=templates).collect()
+    for r in rows:
+        words, want = words_of(texts[r.doc_id]), {}
+        for label, (notice,) in templates.items():
+            needed, n = set(notice.split()), math.ceil(len(notice.split()) / licenses.THRESHOLD - 1e-9)
+            best = max(len(needed & set(words[i : i + n])) for i in range(len(words)))
+            if best >= math.ceil(licenses.THRESHOLD * len(needed) - 1e-9):
+                want[label] = best / len(needed)
+        got = {}
+        for n in r.notices:
+            got[n.label] = max(got.get(n.label, 0), n.containment)
+        assert got == want
+
+
+def test_scattered_words_are_no_notice(make):
+    filler = " ".join(f"word{i}" for i in range(7000))
+    assert notices_of(make, f"all {filler} rights {filler} reserved") == [[]]
+
+
 def test_odd_rows(clashing, empty):
     rows = licenses.scan(clashing).collect()
     assert sorted(map(str, rows_of(rows))) == sorted(str(brute(r.text)) for r in clashing.collect())

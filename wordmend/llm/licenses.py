@@ -6,6 +6,11 @@ all documents first. A match must then share one of the first ``size - needed +
 template (prefix filter), have at least ``needed`` words (length filter), and have enough template
 words left from the first shared one on (positional filter). What passes is counted exactly.
 
+A notice is found where it stands, over line ends: the same filters and containment on every window
+of ``words of the template / THRESHOLD`` words.
+Matching windows that overlap are one notice, the fullest and first of them. So the words of a
+notice that are scattered over a long line are a matching block, but not a notice.
+
 Beside that join, phrases are found where their words stand next to each other.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z as a-z. Templates and phrases are
@@ -54,6 +59,8 @@ TEMPLATES = {
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license"],
     "proprietary": ["all rights reserved"],
 }
+REQUIRED: dict[str, str] = {}
+EXCLUDED: dict[str, str] = {}
 _NEWLINE = ord("\n")
 
 
@@ -66,6 +73,9 @@ class Template:
     label: str
     tokens: np.ndarray  # ranks of the distinct words, rarest first
     needed: int
+    window: int
+    required: np.ndarray  # places in ``tokens``
+    excluded: np.ndarray  # hashes
 
     @property
     def prefix(self) -> np.ndarray:
@@ -73,19 +83,34 @@ class Template:
 
 
 def _ranked_templates(
-    templates: Mapping[str, Sequence[str]], threshold: float, counts: Mapping[int, int]
+    templates: Mapping[str, Sequence[str]],
+    threshold: float,
+    counts: Mapping[int, int],
+    required: Mapping[str, str] = {},
+    excluded: Mapping[str, str] = {},
 ) -> tuple[np.ndarray, np.ndarray, list[Template]]:
     """All template words as sorted hashes, the rank of each, and the templates."""
-    sets = [(label, np.unique(_hashes(text))) for label, texts in templates.items() for text in texts]
+    spelled = [(label, _hashes(text)) for label, texts in templates.items() for text in texts]
+    sets = [(label, np.unique(found)) for label, found in spelled]
     vocabulary = np.unique(np.concatenate([s for _, s in sets] or [np.zeros(0, np.uint64)]))
     frequency = np.array([counts.get(int(v.view(np.int64)), 0) for v in vocabulary], np.int64)
     rank = np.empty(len(vocabulary), np.int64)
     rank[np.lexsort((vocabulary, frequency))] = np.arange(len(vocabulary))
-    ready = [
-        Template(label, np.sort(rank[np.searchsorted(vocabulary, s)]), max(1, math.ceil(threshold * len(s) - 1e-9)))
-        for label, s in sets
-        if len(s)
-    ]
+    ready = []
+    for (label, own), (_, all_words) in zip(sets, spelled, strict=True):
+        if len(own):
+            tokens = np.sort(rank[np.searchsorted(vocabulary, own)])
+            must = np.intersect1d(_hashes(required.get(label, "")), own)
+            ready.append(
+                Template(
+                    label,
+                    tokens,
+                    max(1, math.ceil(threshold * len(own) - 1e-9)),
+                    math.ceil(len(all_words) / threshold - 1e-9),
+                    np.searchsorted(tokens, rank[np.searchsorted(vocabulary, must)]),
+                    np.setdiff1d(_hashes(excluded.get(label, "")), own),
+                )
+            )
     return vocabulary, rank, ready
 
 
@@ -151,6 +176,57 @@ def matching_blocks(
                 yield template.label, int(first[b]), int(length[b]), shared / len(template.tokens)
 
 
+def matching_windows(
+    found: Words, vocabulary: np.ndarray, rank: np.ndarray, templates: list[Template]
+) -> Iterator[tuple[str, int, int, float]]:
+    """``(label, first word, words, containment)`` of every notice."""
+    mine, at = _known(found, vocabulary)
+    token = rank[at]
+    for template in templates:
+        size = len(template.tokens)
+        place = np.full(len(vocabulary), -1)
+        place[template.tokens] = np.arange(size)
+        own = place[token] >= 0
+        word, which = mine[own], place[token[own]]
+        # Windows end at a word of the template: the number of the first such word in each.
+        text = found.first[np.searchsorted(found.first, word, "right") - 1]
+        low = np.searchsorted(word, np.maximum(word - template.window + 1, text))
+        nth = np.arange(len(word))
+        rare = np.concatenate([[0], np.cumsum(which < len(template.prefix))])
+        end = np.flatnonzero((nth - low + 1 >= template.needed) & (rare[1:] > rare[low]))
+        if not len(end):
+            continue
+        before = np.full(len(word), -1)
+        order = np.argsort(which, kind="stable")
+        same = which[order[1:]] == which[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        low = low[end]
+        shared = np.zeros(len(end), np.int64)
+        for back in range(template.window):
+            inside = end - back >= low
+            shared += inside & (before[np.maximum(end - back, 0)] < low)
+        fits = shared >= template.needed
+        if len(template.required):
+            last = np.stack(
+                [np.maximum.accumulate(np.where(which == t, nth, -1))[end] for t in template.required]
+            )
+            fits &= (last >= low).all(0)
+            if len(template.excluded) and fits.any():
+                other = np.concatenate([[0], np.cumsum(np.isin(found.hashes, template.excluded))])
+                from_, to = word[np.maximum(last.min(0), 0)], word[np.maximum(last.max(0), 0)]
+                fits &= other[to] == other[from_]
+        end, low, shared = end[fits], low[fits], shared[fits]
+        if not len(end):
+            continue
+        # Both ends of the windows ascend, so windows that overlap follow one another.
+        group = np.cumsum(np.concatenate([[0], low[1:] > end[:-1]]))
+        best = np.lexsort((end, -shared, group))
+        best = best[np.unique(group[best], return_index=True)[1]]
+        for i in best:
+            first = int(word[low[i]])
+            yield template.label, first, int(word[end[i]]) - first + 1, shared[i] / size
+
+
 def _places(found: Words, phrases: list[tuple[str, np.ndarray]]) -> Iterator[tuple[str, int]]:
     """``(label, word)`` for every phrase at every word it starts at, inside one text."""
     n = len(found.hashes)
@@ -187,13 +263,15 @@ def scan(
     phrases: Mapping[str, str] = PHRASES,
     templates: Mapping[str, Sequence[str]] = TEMPLATES,
     threshold: float = THRESHOLD,
+    required: Mapping[str, str] = REQUIRED,
+    excluded: Mapping[str, str] = EXCLUDED,
 ) -> DataFrame:
-    """``(key, n_words, places, blocks)``: all places of phrases, and all blocks that hold enough
-    of a template, with their first word (from 0) in the text."""
+    """``(key, n_words, places, blocks, notices)``: all places of phrases, all blocks that hold
+    enough of a template, and all notices, with their first word (from 0) in the text."""
     texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     vocabulary = _ranked_templates(templates, threshold, {})[0]
     counts = token_counts(texts.select("text"), vocabulary)
-    vocabulary, rank, ready = _ranked_templates(templates, threshold, counts)
+    vocabulary, rank, ready = _ranked_templates(templates, threshold, counts, required, excluded)
     spelled = [(label, _hashes(phrase)) for label, phrase in phrases.items()]
     schema = T.StructType(
         [
@@ -201,6 +279,7 @@ def scan(
             T.StructField("n_words", T.LongType()),
             T.StructField("places", _PLACES),
             T.StructField("blocks", _FOUND),
+            T.StructField("notices", _FOUND),
         ]
     )
     place_kind = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
@@ -220,6 +299,7 @@ def scan(
             found = words(batch.column("text"))
             places: list[list[dict]] = [[] for _ in range(len(batch))]
             blocks: list[list[dict]] = [[] for _ in range(len(batch))]
+            notices: list[list[dict]] = [[] for _ in range(len(batch))]
 
             def text_of(word: int, first: np.ndarray = found.first) -> int:
                 return int(np.searchsorted(first, word, "right")) - 1
@@ -227,17 +307,19 @@ def scan(
             for label, word in _places(found, spelled):
                 row = text_of(word)
                 places[row].append({"label": label, "word": word - int(found.first[row])})
-            for label, word, n, share in matching_blocks(found, vocabulary, rank, ready):
-                row = text_of(word)
-                blocks[row].append(
-                    {"label": label, "word": word - int(found.first[row]), "words": n, "containment": share}
-                )
+            for rows, matching in ((blocks, matching_blocks), (notices, matching_windows)):
+                for label, word, n, share in matching(found, vocabulary, rank, ready):
+                    row = text_of(word)
+                    rows[row].append(
+                        {"label": label, "word": word - int(found.first[row]), "words": n, "containment": share}
+                    )
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
                     pa.array(np.diff(found.first)),
                     pa.array(places, place_kind),
                     pa.array(blocks, block_kind),
+                    pa.array(notices, block_kind),
                 ],
                 names=schema.names,
             )

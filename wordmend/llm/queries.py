@@ -143,8 +143,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
     base = F.transform("places", lambda p: p["label"])
-    own = F.transform("blocks", lambda b: b["label"])
-    best = F.array_max(F.transform("blocks", lambda b: b["containment"]))
+    own = F.transform("notices", lambda b: b["label"])
+    best = F.array_max(F.transform("notices", lambda b: b["containment"]))
     return found.select(
         "doc_id",
         "n_words",
