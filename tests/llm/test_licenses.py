@@ -95,6 +95,23 @@ def test_scattered_words_are_no_notice(make):
     assert notices_of(make, f"all {filler} rights {filler} reserved") == [[]]
 
 
+def test_similar_notices(make):
+    assert notices_of(
+        make,
+        "Licensed under CC BY 4.0",
+        "Released under the license",
+        "Released under the BSD license",
+        "Licensed under CC BY-NC-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 license",
+        "This work is licensed under a Creative Commons Attribution 3.0 license",
+        "This work is licensed under the GNU General Public License version 2",
+        "This work is licensed under the GNU Lesser General Public License version 3",
+    ) == [[]] * 8
+    own = {label: texts[0] for label, texts in licenses.TEMPLATES.items()}
+    assert notices_of(make, *own.values()) == [[label] for label in own]
+    assert notices_of(make, "\n".join(own.values())) == [sorted(own)]
+
+
 def test_odd_rows(clashing, empty):
     rows = licenses.scan(clashing).collect()
     assert sorted(map(str, rows_of(rows))) == sorted(str(brute(r.text)) for r in clashing.collect())

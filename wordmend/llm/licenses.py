@@ -7,7 +7,8 @@ template (prefix filter), have at least ``needed`` words (length filter), and ha
 words left from the first shared one on (positional filter). What passes is counted exactly.
 
 A notice is found where it stands, over line ends: the same filters and containment on every window
-of ``words of the template / THRESHOLD`` words.
+of ``words of the template / THRESHOLD`` words, which must also hold the words that tell the template
+from similar ones (``REQUIRED``), without a word of another license among these (``EXCLUDED``).
 Matching windows that overlap are one notice, the fullest and first of them. So the words of a
 notice that are scattered over a long line are a matching block, but not a notice.
 
@@ -59,8 +60,20 @@ TEMPLATES = {
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license"],
     "proprietary": ["all rights reserved"],
 }
-REQUIRED: dict[str, str] = {}
-EXCLUDED: dict[str, str] = {}
+REQUIRED = {
+    "apache-2.0": "apache 2",
+    "cc-by-4.0": "creative commons attribution 4",
+    "cc-by-nc-4.0": "cc nc 4",
+    "gpl-3.0": "gnu general public 3",
+    "mit-grant": "associated",
+    "mit-notice": "mit",
+    "mpl-2.0": "mozilla",
+}
+EXCLUDED = {
+    "cc-by-4.0": "nc nd sa non no share noncommercial noderivatives noderivs sharealike",
+    "cc-by-nc-4.0": "nd sa",
+    "gpl-3.0": "affero lesser library",
+}
 _NEWLINE = ord("\n")
 
 
