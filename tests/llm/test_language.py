@@ -77,6 +77,36 @@ def test_language_of_many_copies(spark):
     assert model.languages == ["aa", *(f"b{k}" for k in range(8))]
 
 
+def test_languages_of_many_letters(spark):
+    def text(lang, seed):
+        random.seed(f"{lang}{seed}")
+        if lang == "latin":
+            return text_in("aa", seed, 200)
+        first = {"x": 0x4E00, "y": 0x5E00, "z": 0x0430, "w": 0x0561}[lang]
+        return " ".join("".join(chr(first + random.randrange(30 if lang in "zw" else 400)) for _ in range(5)) for _ in range(40))
+
+    rows = [(text(lang, i), lang) for lang in ("latin", "x", "y", "z", "w") for i in range(60)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    held = [(lang, text(lang, 1000 + i)) for lang in ("latin", "x", "y", "z", "w") for i in range(20)]
+    got = language.predict(spark.createDataFrame(held, "truth string, text string"), model).collect()
+    assert [r.lang_pred for r in got] == [r.truth for r in got]
+    # Letters that no sample has match nothing: every one is a piece.
+    bits = language.costs(model, model.tables(), pa.array(["\u10d0\u10d1\u10d2" * 9]))[0]
+    assert bits == pytest.approx(model.costs)
+
+
+def test_sparse_automaton_parses_like_substring_search():
+    random.seed(4)
+    letters = "".join(chr(0x4E00 + i) for i in range(150))
+    code = {c: i for i, c in enumerate(letters, 2)} | {" ": 0}
+    sample = letters + "".join(random.choices(letters[:20], k=800))
+    text = "".join(random.choices(letters[:30] + "\u9000", k=200))
+    automaton = language.SuffixAutomaton([code[c] for c in sample])
+    one = language.Model(letters, ["x"], [automaton.edges()], [len(automaton.next)], [1.0])
+    got = language.costs(one, one.tables(), pa.array([text]))[0, 0] * len(text)
+    assert got == pytest.approx(pieces(sample, text))
+
+
 def test_long_text_is_read_whole(spark, model):
     text = text_in("aa", 1, 400) + " " + text_in("bb", 2, 4000)
     assert language.predict(spark.createDataFrame([(text,)], "text string"), model).first().lang_pred == "bb"

@@ -6,7 +6,8 @@ pieces, each weighed by the logarithm of the length of its text, wins. The label
 sample of bounded size (``documents_per_language`` documents, ``letters_per_document`` letters of
 each); every whole text is parsed.
 
-The automata are flat transition tables, and many stretches of text step through them together in
+Every letter of the samples has a symbol. The automata are flat transition tables over the symbols of
+their own language, or sorted transitions if these are more than ``SYMBOLS``, and many stretches of text step through them together in
 numpy. Texts are cut into stretches of ``_STRETCH`` letters, so the time does not depend on the
 longest text; a cut adds at most one piece, the same for every language.
 
@@ -19,6 +20,7 @@ output column are replaced, others are kept.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,29 +102,54 @@ class Model:
         lengths = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
         joined = "".join(text.to_pylist())
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        table = np.full(0x110000 if len(codes) and codes.max() >= 0x10000 else 0x10000, _OTHER, np.uint8)
+        size = 0x110000 if any(ord(c) >= 0x10000 for c in self.letters) or (len(codes) and codes.max() >= 0x10000) else 0x10000
+        table = np.full(size, _OTHER, np.uint8 if len(self.letters) < 254 else np.int32)
         table[ord(" ")] = _GAP
         for symbol, letter in enumerate(self.letters, 2):
             table[ord(letter)] = symbol
         return table[codes], np.concatenate([[0], np.cumsum(lengths)])
 
-    def tables(self) -> list[np.ndarray]:
-        """Per language ``4 * next state * width + pieces begun``, by ``state * width + symbol``.
-
-        Without a transition the next piece starts at the root with the same symbol; a symbol that
-        the language never has is a piece of its own.
-        """
+    def tables(self) -> list[Table]:
         width = len(self.letters) + 2
-        found = []
-        for edges, states in zip(self.edges, self.states, strict=True):
-            to = edges[:, 2].astype(np.int64) * width * 4
-            from_root = edges[:, 0] == 0
-            table = np.ones((states, width), np.int64)
-            table[:, edges[from_root, 1]] = to[from_root] + 1
-            inner = edges[~from_root]
-            table[inner[:, 0], inner[:, 1]] = to[~from_root]
-            found.append(table.astype(np.int32 if states * width * 4 < 1 << 31 else np.int64).ravel())
-        return found
+        return [Table(*each, width) for each in zip(self.edges, self.states, strict=True)]
+
+
+class Table:
+    """``4 * next state * width + pieces begun``, by state (times width) and symbol of a language.
+
+    Without a transition the next piece starts at the root with the same symbol; a symbol that the
+    language never has (0 in ``own``) is a piece of its own.
+    """
+
+    def __init__(self, edges: np.ndarray, states: int, symbols: int) -> None:
+        used = np.unique(edges[:, 1])
+        width = len(used) + 1
+        dense = len(used) <= SYMBOLS + 1
+        self.own = np.zeros(symbols, np.uint8 if dense else np.int32)
+        self.own[used] = np.arange(1, width)
+        self.dtype = np.int32 if states * width * 4 < 1 << 31 else np.int64
+        symbol = self.own[edges[:, 1]].astype(np.int64)
+        to = edges[:, 2].astype(np.int64) * width * 4
+        from_root = edges[:, 0] == 0
+        self.root = np.ones(width, self.dtype)
+        self.root[symbol[from_root]] = to[from_root] + 1
+        at = edges[~from_root, 0].astype(np.int64) * width + symbol[~from_root]
+        to = to[~from_root].astype(self.dtype)
+        self.cells = self.keys = None
+        if dense:
+            self.cells = np.tile(self.root, states)
+            self.cells[at] = to
+        else:
+            order = np.argsort(at)
+            self.keys = np.append(at[order], -1)
+            self.to = np.append(to[order], 0)
+
+    def after(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.keys is None:
+            return self.cells[state + symbol]
+        key = state.astype(np.int64) + symbol
+        place = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[place] == key, self.to[place], self.root[symbol])
 
 
 def fit(
@@ -159,10 +186,11 @@ def fit(
         if joined:
             texts[str(language)] = joined
     used = "".join(texts.values())
-    common = sorted(set(used) - {" "}, key=lambda c: (-used.count(c), c))[:SYMBOLS]
+    counted = Counter(used)
+    common = sorted(set(used) - {" "}, key=lambda c: (-counted[c], c))
     code = {letter: symbol for symbol, letter in enumerate(common, 2)} | {" ": _GAP}
     languages = sorted(texts)
-    built = [SuffixAutomaton([code.get(c, _OTHER) for c in texts[name]]) for name in languages]
+    built = [SuffixAutomaton([code[c] for c in texts[name]]) for name in languages]
     return Model(
         "".join(common),
         languages,
@@ -172,7 +200,7 @@ def fit(
     )
 
 
-def costs(model: Model, tables: list[np.ndarray], column: pa.Array) -> np.ndarray:
+def costs(model: Model, tables: list[Table], column: pa.Array) -> np.ndarray:
     """Bits per letter of every text in every language; not a number if it has no letter."""
     symbols, offsets = model.symbols(column)
     lengths = np.diff(offsets)
@@ -189,11 +217,12 @@ def costs(model: Model, tables: list[np.ndarray], column: pa.Array) -> np.ndarra
     bits = np.full((len(lengths), len(model.languages)), np.nan)
     seen = lengths > 0
     for k, table in enumerate(tables):
+        own = table.own[symbols]
         state = np.zeros(len(owner), table.dtype)
         pieces = np.zeros(len(owner), np.int32)
         for step in range(steps):
             n = alive[step]
-            value = table[state[:n] + symbols[begin[:n] + step]]
+            value = table.after(state[:n], own[begin[:n] + step])
             pieces[:n] += value & 3
             state[:n] = value >> 2
         total = np.bincount(owner, pieces, len(lengths))
@@ -201,7 +230,7 @@ def costs(model: Model, tables: list[np.ndarray], column: pa.Array) -> np.ndarra
     return bits
 
 
-_tables: dict[str, list[np.ndarray]] = {}
+_tables: dict[str, list[Table]] = {}
 
 
 def predict(
