@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from wordmend.llm import (
     chat,
     fingerprints,
+    forest,
     language,
     licenses,
     mixing,
     neardup,
     neighbours,
     packing,
+    repair,
     repeats,
     scoring,
 )
@@ -170,3 +172,152 @@ def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = scoring.score(rows, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """The conversations with faults by the checksum of ``conv_id:turn``; a dropped row stays as one
+    that only names its conversation."""
+    words = [F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn")]
+    fault = F.crc32(F.concat_ws(":", *words)) % 20
+    text = F.coalesce("text", F.lit(" "))
+    role = F.coalesce("role", F.lit(" "))
+    return rows.withColumn("_fault", fault).select(
+        "conv_id",
+        "turn",
+        F.when(F.col("_fault") == 4, "user").otherwise(role).alias("role"),
+        F.when(F.col("_fault") == 1, "")
+        .when(F.col("_fault") == 2, F.regexp_replace(text, "[.!?]", ""))
+        .otherwise(text)
+        .alias("text"),
+        (F.col("_fault") == 0).alias("dropped"),
+        F.explode(F.when(F.col("_fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))),
+    )
+
+
+@query
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged, then repaired with the fewest edits."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair.repair(_damaged(rows), absent="dropped")
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    hashed = F.sha2(F.array_join(lines, "\n"), 256)
+    return done.withColumn("repaired_sha256", hashed).drop("turns")
+
+
+# A shortest path over four states (what the output ends with: nothing, s, u, a). A value is the cost
+# in eight digits, then the audit, so that the least value has the least audit.
+def _add(value: str, cost: str, edit: str) -> str:
+    return f"printf('%08d', CAST(substr({value}, 1, 8) AS INT) + {cost}) || substr({value}, 9) || '{edit}'"
+
+
+_STEP_SQL = f"""{{
+    'n': {_add("q.n", "3", "D")},
+    's': least({_add("q.s", "3", "D")},
+        CASE WHEN x.initial = 's' AND NOT x.lost THEN {_add("q.n", "x.cut", "K")} ELSE '50000000' END),
+    'u': least({_add("q.u", "3", "D")}, CASE WHEN x.lost THEN '50000000' WHEN x.initial = 'u'
+        THEN least({_add("q.n", "x.cut", "K")}, {_add("q.s", "x.cut", "K")}, {_add("q.a", "x.cut", "K")})
+        ELSE least({_add("q.n", "x.cut + 2", "R")}, {_add("q.s", "x.cut + 2", "R")},
+            {_add("q.a", "x.cut + 2", "R")}) END),
+    'a': least({_add("q.a", "3", "D")}, CASE WHEN x.lost THEN '50000000' WHEN x.initial = 'a'
+        THEN {_add("q.u", "x.cut", "K")} ELSE {_add("q.u", "x.cut + 2", "R")} END)
+}}"""
+
+
+def _insert_sql(q: str) -> str:
+    user = f"least({q}.u, {_add(q + '.n', '2', 'I')}, {_add(q + '.s', '2', 'I')}, {_add(q + '.a', '2', 'I')})"
+    assistant = f"least({q}.a, {_add('(' + user + ')', '2', 'I')})"
+    return f"{{'n': {q}.n, 's': {q}.s, 'u': {user}, 'a': {assistant}}}"
+
+
+ORACLES["op11_structure_repair"] = rf"""
+WITH keyed AS (
+    SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+    FROM conversations
+), checked AS (
+    SELECT *, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(range(1, length(name) + 1),
+            lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+            lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 20 AS fault
+    FROM keyed
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+        CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g')
+            ELSE coalesce(text, ' ') END AS text,
+        unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM checked WHERE fault <> 0
+), placed AS (
+    SELECT *, substr(role, 1, 1) AS initial, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place
+    FROM damaged
+), judged AS (
+    SELECT *, CASE WHEN bare = '' THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+        WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS wrong,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial NOT IN ('su', 'ua', 'au') AS bad
+    FROM placed
+), listed AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (wrong = 'blank') AS blank, count(*) FILTER (wrong = 'duplicate') AS duplicate,
+        count(*) FILTER (wrong = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal,
+        list({{'initial': initial, 'lost': wrong IN ('blank', 'duplicate'),
+            'cut': CASE WHEN wrong = 'truncated' THEN 1 ELSE 0 END}} ORDER BY place) AS steps,
+        list({{'role': role, 'text': text}} ORDER BY place) AS turns
+    FROM judged GROUP BY conv_id
+), every AS (
+    SELECT DISTINCT conv_id FROM conversations
+), solved AS (
+    SELECT e.conv_id, l.* EXCLUDE (conv_id, steps), list_reduce(list_prepend(
+            {{'q': {_insert_sql("{'n': '00000000', 's': '50000000', 'u': '50000000', 'a': '50000000'}")},
+              'x': {{'initial': '', 'lost': false, 'cut': 0}}}},
+            list_transform(coalesce(steps, []), lambda x: {{'q': {{'n': '', 's': '', 'u': '', 'a': ''}}, 'x': x}})),
+        lambda acc, e: {{'q': list_transform(list_transform([{{'q': acc.q, 'x': e.x}}],
+            lambda p: list_transform([p.q], lambda q: list_transform([p.x], lambda x: {_STEP_SQL})[1])[1]),
+            lambda q: {_insert_sql("q")})[1], 'x': e.x}}).q AS ends
+    FROM every e LEFT JOIN listed l ON e.conv_id IS NOT DISTINCT FROM l.conv_id
+), best AS (
+    SELECT *, least(ends.n, ends.a) AS value, substr(least(ends.n, ends.a), 9) AS audit FROM solved
+), written AS (
+    SELECT *, length(replace(audit, 'D', '')) % 2 AS odd,
+        list_filter(list_transform(range(1, length(audit) + 1), lambda i: {{
+            'edit': substr(audit, i, 1), 'nth': length(replace(substr(audit, 1, i), 'D', '')),
+            'row': length(replace(substr(audit, 1, i), 'I', ''))}}), lambda e: e.edit <> 'D') AS edits
+    FROM best
+)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+    coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    CAST(substr(value, 1, 8) AS BIGINT) AS cost, audit,
+    sha256(array_to_string(list_transform(edits, lambda e:
+        CASE WHEN e.edit = 'K' THEN turns[e.row].role WHEN (e.nth - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE WHEN e.edit = 'I' THEN '' ELSE turns[e.row].text END), chr(10))) AS repaired_sha256
+FROM written
+"""
+
+
+@query
+def op13_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
+    return forest.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_vector_neardup"] = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+    SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+    SELECT a, min(b) AS b FROM reach GROUP BY a
+), counted AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+    vec_id = least(vec_id, coalesce(least.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id = counted.a
+"""
