@@ -1,0 +1,151 @@
+"""The prefix trie against a plain one."""
+
+import hashlib
+import random
+
+import pytest
+
+from wordmend.llm import trie
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+
+
+def plain(conversations):
+    """Rows of the trie of ``{key: [(role, text)]}``."""
+    members = {}
+    for key, turns in conversations.items():
+        for depth in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:depth]), []).append(key)
+    children = {}
+    for prefix in members:
+        if prefix:
+            children.setdefault(prefix[:-1], []).append(prefix)
+    sums = {}
+    for prefix in sorted(members, key=len, reverse=True):
+        below = children.get(prefix, [])
+        leaves = sum(sums[c][0] for c in below) or 1
+        words = len(prefix[-1][1].split()) if prefix else 0
+        saved = (len(members[prefix]) - 1) * words + sum(sums[c][1] for c in below)
+        sums[prefix] = leaves, saved
+    rows = []
+    for prefix, keys in members.items():
+        ends = sorted(k for k in keys if len(conversations[k]) == len(prefix))
+        rows.append(
+            (
+                min(keys),
+                len(prefix),
+                min(members[prefix[:-1]]) if prefix else None,
+                len(keys),
+                len(children.get(prefix, [])),
+                *sums[prefix],
+                hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest(),
+            )
+        )
+    return sorted(rows, key=str)
+
+
+def rows_of(conversations):
+    return [(k, i, *turn) for k, turns in conversations.items() for i, turn in enumerate(turns)]
+
+
+def forest(seed, size=120):
+    """Conversations that go on from beginnings of earlier ones; a third are equal."""
+    draw = random.Random(seed)
+    made = {}
+    for key in draw.sample(range(-500, 500), size):
+        if draw.random() < 0.33:
+            made[key] = [("user", "the same"), ("assistant", "each time anew")]
+            continue
+        turns = list(draw.choice([*made.values(), []]))[: draw.randrange(6)]
+        turns += [(draw.choice(["user", "assistant"]), draw.choice(["a", "b c", "d  e\tf", ""])) for _ in range(draw.randrange(1, 5))]
+        made[key] = turns
+    return made
+
+
+def found(frame, **options):
+    keys = frame.select(frame.conv_id.alias("key")).distinct()
+    return sorted(map(tuple, trie.trie(trie.ordered(frame), keys, **options).collect()), key=str)
+
+
+@pytest.mark.parametrize("limit, queue", [(None, trie.QUEUE), (0, 1), (20, 3)])
+def test_against_a_plain_trie(spark, limit, queue):
+    """Limits cut the trie into shards at other places; short queues spill."""
+    made = forest(limit or 7)
+    frame = spark.createDataFrame(rows_of(made), SCHEMA).repartition(5)
+    assert found(frame, limit=limit, queue=queue) == plain(made)
+
+
+def test_long_conversations_are_placed_and_hashed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(trie, "_BLOCK", 16)
+    made = {i: [("user", f"{j % 7}") for j in range(300 - 10 * i)] for i in range(3)}
+    made[9] = made[0][:120] + [("user", "other")]
+    frame = spark.createDataFrame(rows_of(made), SCHEMA).repartition(4)
+    assert found(frame, limit=50) == plain(made)
+
+
+def test_many_members_end_in_one_node(spark, monkeypatch):
+    monkeypatch.setattr(trie, "_PIECE", 8)
+    made = {i: [("user", "x")] for i in range(-40, 60)} | {100: [("user", "y")]}
+    assert found(spark.createDataFrame(rows_of(made), SCHEMA)) == plain(made)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (1, None, "user", "first"),
+        (1, 0, None, None),
+        (2, 0, "user", "first"),
+        (2, 1, "", ""),  # null role and text are empty
+        (3, 5, "user", "b"),
+        (3, 5, "user", "b"),  # a repeated row is a turn
+        (None, 0, "user", "no key"),
+        (4, 0, "us", "er"),
+        (5, 0, "user", ""),  # not the same as the one above
+        (6, 0, "user", "long " * 100_000),
+    ]
+    made = {
+        1: [("user", "first"), ("", "")],
+        2: [("user", "first"), ("", "")],
+        3: [("user", "b"), ("user", "b")],
+        4: [("us", "er")],
+        5: [("user", "")],
+        6: [("user", "long " * 100_000)],
+    }
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS key", "1 AS depth", "2 AS x1", "3 AS _part")
+    got = sorted(map(tuple, trie.prefix_trie(frame).collect()), key=str)
+    assert got == plain(made)
+
+
+def test_turnless_keys_and_empty_tables(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "a")], SCHEMA)
+    keys = spark.createDataFrame([(1,), (2,)], "key bigint")
+    got = sorted(map(tuple, trie.trie(trie.ordered(frame), keys).collect()), key=str)
+    assert got == plain({1: [("user", "a")], 2: []})
+    nothing = spark.createDataFrame([], SCHEMA)
+    assert trie.prefix_trie(nothing).count() == 0
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(1, 0, "user", t) for t in "abcdef"]
+    ways = [spark.createDataFrame(order, SCHEMA) for order in (rows, rows[::-1])]
+    assert sorted(map(tuple, trie.prefix_trie(ways[0]).collect()), key=str) == sorted(
+        map(tuple, trie.prefix_trie(ways[1]).collect()), key=str
+    )
+
+
+def test_queue_spills_in_order():
+    draw = random.Random(1)
+    queue, out = trie.SpillingQueue(10), []
+    waiting = []
+    for _ in range(2000):
+        if draw.random() < 0.6 or not waiting:
+            message = (draw.randrange(100), draw.random())
+            queue.push(message)
+            waiting.append(message)
+        else:
+            assert queue.first() == min(waiting)
+            out.append(queue.pop())
+            waiting.remove(out[-1])
+    while queue.first() is not None:
+        waiting.remove(queue.pop())
+    assert not waiting and queue.file
+    queue.close()

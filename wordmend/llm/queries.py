@@ -20,7 +20,9 @@ from wordmend.llm import (
     repair,
     repeats,
     scoring,
+    trie,
 )
+from wordmend.runtime import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,6 +206,15 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("repaired_sha256", hashed).drop("turns")
 
 
+def _crc32_sql(name: str) -> str:
+    """The checksum of an ASCII string, bit by bit."""
+    return f"""xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(range(1, length({name}) + 1),
+            lambda i: CAST(ascii(substr({name}, i, 1)) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+            lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"""
+
+
 # A shortest path over four states (what the output ends with: nothing, s, u, a). A value is the cost
 # in eight digits, then the audit, so that the least value has the least audit.
 def _add(value: str, cost: str, edit: str) -> str:
@@ -234,11 +245,7 @@ WITH keyed AS (
     SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
     FROM conversations
 ), checked AS (
-    SELECT *, xor(4294967295, list_reduce(
-        list_prepend(4294967295, list_transform(range(1, length(name) + 1),
-            lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT))),
-        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
-            lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 20 AS fault
+    SELECT *, {_crc32_sql("name")} % 20 AS fault
     FROM keyed
 ), damaged AS (
     SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
@@ -321,3 +328,65 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id
     vec_id = least(vec_id, coalesce(least.b, vec_id)) AS kept
 FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id = counted.a
 """
+
+
+def _forked(steps: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every conversation c with the first h turns of conversation ``c - c % 20`` instead of its own."""
+    own = keys.select(
+        "key",
+        (F.col("key") - F.col("key") % 20).alias("_base"),
+        (F.crc32(F.col("key").cast("string")) % 4).alias("_h"),
+    )
+    heads = steps.where("place < 3").select(F.col("key").alias("_base"), "place", "digest", "words")
+    taken = own.where("_h > 0").join(heads, "_base").where("place < _h")
+    sizes = taken.groupBy("key").agg(F.count("*").alias("_taken"))
+    moves = own.join(sizes, "key", "left").select("key", "_h", F.coalesce("_taken", F.lit(0)).alias("_k"))
+    kept = steps.join(moves, "key").where("place >= _h")
+    return taken.select("key", "place", "digest", "words").unionByName(
+        kept.select("key", (F.col("place") - F.col("_h") + F.col("_k")).alias("place"), "digest", "words")
+    )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each begun with turns of an earlier one."""
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    steps = stage(trie.ordered(turns), "conversation-turns")
+    keys = stage(steps.select("key").distinct(), "conversation-keys")
+    return trie.trie(stage(_forked(steps, keys), "conversation-forks"), keys)
+
+
+ORACLES["op12_prefix_trie"] = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(text, '') AS text, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':'
+        || coalesce(role, '') || coalesce(text, '')) AS digest
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list({{'g': digest, 'w': len(regexp_extract_all(text, '[^ 	-]+'))}}
+        ORDER BY turn NULLS FIRST, digest) AS path,
+        {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h
+    FROM turns GROUP BY conv_id
+), rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.path[1:o.h], []), o.path[o.h + 1:]) AS path
+    FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+), steps AS (
+    SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM rebuilt
+), nodes AS (
+    SELECT list_transform(path[1:depth], lambda t: t.g) AS prefix, depth, min(conv_id) AS conv_id,
+        count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(path[depth].w), 0) AS saved,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+            FILTER (len(path) = depth), '')) AS ends_sha256
+    FROM steps GROUP BY ALL
+), families AS (
+    SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.prefix[1:n.depth] = n.prefix)
+        AS n_children
+    FROM nodes n
+)
+SELECT n.conv_id, n.depth, (SELECT p.conv_id FROM nodes p
+        WHERE p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]) AS parent_conv_id,
+    any_value(n.n_convs) AS n_convs, any_value(n.n_children) AS n_children,
+    count(*) FILTER (d.n_children = 0) AS n_leaves, CAST(sum(d.saved) AS BIGINT) AS saved_tokens,
+    any_value(n.ends_sha256) AS ends_sha256
+FROM families n JOIN families d ON d.depth >= n.depth AND d.prefix[1:n.depth] = n.prefix
+GROUP BY n.conv_id, n.depth, n.prefix
+"""
