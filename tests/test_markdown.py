@@ -1,5 +1,8 @@
 """Markdown: only running text is looked at."""
 
+from pyspark.sql import functions as F
+
+from wordmend.operators.markdown import mask_markdown
 from wordmend.operators.tokens import tokens
 
 
@@ -81,3 +84,110 @@ def test_context_marks_one_end(docs):
 def test_text_is_not_lost_around_masks(docs):
     text = "é `c` ü [x](y) é\n" * 400
     assert found(docs, text) == ["é", "ü", "x", "é"] * 400
+
+
+# Block structure: what is text in nested lists and quotes.
+BLOCKS = {
+    # list items
+    "- item one\n\n    Teh continuation": "item one Teh continuation",
+    "- alpha\n\n    - nested Teh": "alpha nested Teh",
+    "1.  item\n\n    second paragraph": "item second paragraph",
+    "- a\n\n      code\n\n  text": "a text",
+    "- a\n  - b\n    - c\n\n          code\n\n      text": "a b c text",
+    "1. one\n2. two\n\n   three\n\n       code": "one two three",
+    "10) ten\n\n    text\n\n        code": "ten text",
+    "-     code\n\n  text": "text",
+    "- \n  text": "text",
+    "-\n\n      code": "",
+    "-\n\n  not in the item": "not in the item",
+    "-\tfoo\n\n\tbar": "foo bar",
+    "-\tfoo\n\n\t\tcode": "foo",
+    "- foo\n\n\tbar\n\n\t    code": "foo bar",
+    "- a\n> quoted\n\n    code": "a quoted",
+    "text\n- item\n\nend": "text item end",
+    "text\n2. goes on\n\n    code": "text goes on",
+    "text\n1. item\n\n   more\n\n    still more": "text item more still more",
+    "* * *\n    code": "",
+    "- * * *\n- text": "text",
+    "* a\n\n  > quote\n  >\n  >     code\n\n      code\n\n  end": "a quote end",
+    # quotes
+    ">     codeword": "",
+    "> quote\nlazy\n\n    code": "quote lazy",
+    "> quote\n    lazy too": "quote lazy too",
+    "> a\n>\n> b\n>\n>     code\n\nend": "a b end",
+    "> > deep\n> back\n\nend": "deep back end",
+    ">text\n>\tmore\n>\n>\t\tcode": "text more",
+    "> ```\n> code\n\ntext": "text",
+    "> - item\n>\n>   text\n>\n>       code\n>\n> end": "item text end",
+    "> ```\ntext\n```\ncode": "text",
+    "   > three\n\n    > code": "three",
+    "- > lazy\ngoes on\n\nend": "lazy goes on end",
+    # fences in containers
+    "- a\n  ```\n  code\n  ```\n  text": "a text",
+    "- a\n\n      ```\n      code\n\n- b": "a b",
+    "1. a\n   ~~~\n   code\n\n   code\nend": "a end",
+    "- ```\n  code\n- text": "text",
+    "```\n- code\n    code\n```\ntext": "text",
+    "   ```\n   code\n  ```\ntext": "text",
+    "```\ncode\n    ```\ncode": "",
+    "``` a`b\ntext": "a b text",
+    # HTML in containers
+    "- <div>\n  hidden\n\n  shown": "shown",
+    "> <!-- gone\n> gone -->\n> shown": "shown",
+    "> <pre>\nshown": "shown",
+    "text\n<div>\nhidden\n\nshown": "text shown",
+    "text\n<b>\nshown": "text shown",
+    # headings, rules and what follows them
+    "# Head\n    code\ntext": "Head text",
+    "Head\n===\n    code": "Head",
+    "Head\n---\n    code\n\nend": "Head end",
+    "> Head\n---\n    code": "Head",
+    "- Head\n  ---\n  text": "Head text",
+    "#no head\n    goes on": "no head goes on",
+    "***\n    code\n\n___\ntext": "text",
+    # inline marks end with their block
+    "- `a\n- b` c": "a b c",
+    "# `a\nb` c": "a b c",
+    "> `a\n> b` c": "c",
+    "`a\nb` c": "c",
+    "- [a](http://host\n  'title') b": "a b",
+    # definitions
+    "[a]: http://host\n[b]: <http://x y> 'title\nmore'\n[text][A] [none][C]": "text none C",
+    "text\n[a]: http://host\n\n[t][a]": "text a http host t a",
+    "- [a b]: http://host\n\n[t][A  B]": "t",
+    "> [a]: /x\n\n[t][] [u][a]": "t u",
+    # line ends
+    "- a\r\n\r\n      code\r\n\r\n  text\r\n": "a text",
+    "> a\r\n>\r\n>     code\r\n": "a",
+}
+
+
+def test_blocks(docs):
+    names = {f"{i}.md": text for i, text in enumerate(BLOCKS)}
+    rows = tokens(docs(names), ["path"], path="path").orderBy("path", "start").collect()
+    got = {name: [] for name in names}
+    for r in rows:
+        assert names[r.path].encode()[r.start:r.end].decode() == r.word
+        got[r.path].append(r.word)
+    wrong = {
+        names[n]: (" ".join(w), BLOCKS[names[n]]) for n, w in got.items() if " ".join(w) != BLOCKS[names[n]]
+    }
+    assert not wrong
+
+
+def test_masked_text_keeps_bytes_and_lines(spark):
+    texts = [(t,) for t in BLOCKS]
+    frame = spark.createDataFrame(texts, "text string").withColumn("masked", mask_markdown(F.col("text")))
+    for r in frame.collect():
+        assert len(r.masked.encode()) == len(r.text.encode())
+        assert [i for i, c in enumerate(r.masked.encode()) if c == 10] == [
+            i for i, c in enumerate(r.text.encode()) if c == 10
+        ]
+
+
+def test_many_lines_and_deep_nesting(docs):
+    deep = "".join(f"{'  ' * i}- w{chr(97 + i % 26)}x\n" for i in range(200))
+    assert len(found(docs, deep)) == 200
+    long = "- item\n\n      code\n\n  text\n" * 3000
+    assert found(docs, long) == ["item", "text"] * 3000
+    assert found(docs, "> " * 300 + "deep") == ["deep"]

@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import functools
+import weakref
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+_built: weakref.WeakKeyDictionary[Any, dict] = weakref.WeakKeyDictionary()
+
+
+def built_once(build: Callable[..., Any]) -> Callable[..., Any]:
+    """For expressions of column names and options: built once for each Spark context.
+
+    A large expression takes thousands of calls to the JVM, more time than small tables need.
+    """
+
+    @functools.wraps(build)
+    def column(*names: object) -> Any:
+        session = SparkSession.getActiveSession()
+        if session is None:
+            return build(*names)
+        known = _built.setdefault(session.sparkContext, {})
+        key = (build.__module__, build.__qualname__, names)
+        if key not in known:
+            known[key] = build(*names)
+        return known[key]
+
+    return column
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.

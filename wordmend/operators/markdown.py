@@ -1,8 +1,8 @@
 """Markdown: blank everything that is not running text.
 
-Every pass keeps byte offsets and line breaks, so the words that are left have their true
-positions. Known limits: code blocks nested in list items are judged by indentation alone,
-and a reference label counts as one if the document has any reference definition.
+The block structure (``operators.blocks``) hides code and HTML blocks and blanks the marks of lists
+and quotes. Inline code, tags, link targets, labels and entities are masked within each block.
+Every step keeps byte offsets and line breaks, so the words that are left have their true positions.
 """
 
 from __future__ import annotations
@@ -14,50 +14,15 @@ from pyspark.sql import functions as F
 
 from wordmend.functions.arrays import let
 from wordmend.functions.text import blank, mask
+from wordmend.operators.blocks import STRUCTURE, TAG, blocks
 
-_FENCE = (
-    r"(?dms)^[ \t>]*(?:(`{3,}+)[^`\n]*+|(~{3,}+)[^\n]*+)(?:\n|\z)"
-    r".*?(?:^[ \t>]*(?:\1`*+|\2~*+)[ \t\r]*+$|\z)"
-)
-# The blank line before a block belongs to the match: blanking it changes nothing.
-_AFTER_BLANK = r"(?:\A|^[ \t\r]*+\n)"
-_INDENTED = (
-    rf"(?dm){_AFTER_BLANK}"
-    r"(?:(?: {4}| {0,3}\t)[^\n]*+(?:\n[ \t\r]*+(?=\n|\z))*+(?:\n|\z))++"
-)
-_BLANK_LINE_END = r"[^\n]*+(?:\n(?![ \t\r]*+(?:\n|\z))[^\n]*+)*+"
-# Tags that open an HTML block which lasts until a blank line.
-_BLOCK_TAGS = (
-    "address article aside base basefont blockquote body caption center col colgroup dd "
-    "details dialog dir div dl dt fieldset figcaption figure footer form frame frameset "
-    "h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav "
-    "noframes ol optgroup option p param search section summary table tbody td tfoot th "
-    "thead title tr track ul"
-)
-_ATTRIBUTES = (
-    r"(?:\s++[A-Za-z_:][\w.:\-]*+"
-    r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?)*+"""
-)
-_TAG = rf"(?:<[A-Za-z][A-Za-z0-9\-]*+{_ATTRIBUTES}\s*+/?>|</[A-Za-z][A-Za-z0-9\-]*+\s*+>)"
-_HTML_BLOCK = (
-    r"(?dims)(?:^ {0,3}(?:"
-    r"<!--.*?(?:-->[^\n]*+|\z)"
-    r"|<\?.*?(?:\?>[^\n]*+|\z)"
-    r"|<!\[CDATA\[.*?(?:\]\]>[^\n]*+|\z)"
-    r"|<![A-Z].*?(?:>[^\n]*+|\z)"
-    r"|<(script|pre|style|textarea)(?=[\s>]).*?(?:</\1>[^\n]*+|\z)"
-    rf"|</?(?:{'|'.join(_BLOCK_TAGS.split())})(?=[\s/>]){_BLANK_LINE_END}"
-    rf")|{_AFTER_BLANK} {{0,3}}(?!<(?:script|pre|style|textarea)[\s>]){_TAG}[ \t\r]*+$"
-    r"(?:\n(?![ \t\r]*+(?:\n|\z))[^\n]*+)*+"
-    r")"
-)
 # Escapes, autolinks and lone back-ticks are matched so that they cannot open something else.
 _CODE_OR_TAG = (
     r"(?s)\\[!-/:-@\[-`{-~]"
     r"|(?<!`)(`++)(?:[^`\n]++|\n(?![ \t\r]*+\n)|(?!\1(?!`))`++)*+\1(?!`)"
     r"|`++"
     r"|<[A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*+>"
-    rf"|{_TAG}"
+    rf"|{TAG}"
 )
 
 
@@ -72,10 +37,12 @@ _INLINE = _CODE_OR_TAG + "".join(
     rf"|\Q{start}\E{_until(rf'\Q{end}\E')}" for start, end in _ENDS.items()
 )
 _TITLE = r"""(?:"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'|\((?:[^()\\]++|\\.)*+\))"""
-_DEFINITION = (
-    r"(?dm)^ {0,3}\[[^\]\[\n]++\]:[ \t]*+\n?[ \t]*+(?:<[^<>\n]*+>|[^\s<]\S*+)"
-    rf"(?:(?:[ \t]++|[ \t]*+\n[ \t]*+){_TITLE})?[ \t\r]*+$"
+# Definitions of link targets, which only the beginning of a paragraph can be.
+_DEFINITIONS = (
+    r"(?dm)\A(?: *\[[^\]\[\n]*[^\]\[\s][^\]\[\n]*\]:[ \t]*+\n?[ \t]*+(?:<[^<>\n]*+>|[^\s<]\S*+)"
+    rf"(?:(?:[ \t]++|[ \t]*+\n[ \t]*+){_TITLE})?[ \t\r]*+$\n?)++"
 )
+_DEFINED = r"(?dm)^ *\[([^\]\[\n]++)\]:"
 _TARGET = (
     r"(?s)(?<=\])\(\s*+(?:<[^<>\n]*+>|(?:[^\s()\\]++|\\.|\((?:[^\s()\\]++|\\.)*+\))*+)"
     rf"(?:\s++{_TITLE})?\s*+\)"
@@ -109,16 +76,48 @@ def _inline(text: Column) -> Column:
     return let(once, _when_found("<[!?]", lambda t: mask(t, _CODE_OR_TAG, _blank_closed)))
 
 
-def _references(text: Column) -> Column:
-    return mask(mask(text, _LABEL, hint="]["), _DEFINITION)
+def _named(label: Column) -> Column:
+    """Labels are compared without case and runs of blanks."""
+    return F.lower(F.trim(F.regexp_replace(label, r"\s+", " ")))
 
 
-def mask_markdown(text: Column) -> Column:
-    """Markdown text with code, HTML, link targets and entities blanked."""
-    out = let(text, _when_found("```|~~~", lambda t: mask(t, _FENCE)))
-    out = mask(out, _INDENTED)
-    out = mask(out, _HTML_BLOCK, hint="<")
-    out = let(out, _when_found("[`<]", _inline))
+def _labels(pieces: Column) -> Column:
+    """The labels that a document defines."""
+    texts = F.filter(pieces, lambda p: ~p["hidden"] & F.contains(p["text"], F.lit("]:")))
+    defined = F.transform(
+        texts,
+        lambda p: F.regexp_extract_all(
+            F.regexp_extract(p["text"], _DEFINITIONS, 0), F.lit(_DEFINED), F.lit(1)
+        ),
+    )
+    return F.transform(F.flatten(defined), _named)
+
+
+def _spans(text: Column, labels: Column) -> Column:
+    """The text of a block with everything but running text blanked."""
+
+    def known(found: Column) -> Column:
+        inside = _named(F.substring(found, F.lit(2), F.char_length(found) - 2))
+        return F.when(F.array_contains(labels, inside), blank(found)).otherwise(found)
+
+    out = let(text, _when_found("[`<]", _inline))
     out = mask(out, _TARGET, hint="](")
-    out = let(out, _when_found(_DEFINITION, _references))
+    out = mask(out, _LABEL, known, hint="][")
+    out = mask(out, _DEFINITIONS, hint="]:")
     return mask(out, _ENTITY, hint="&")
+
+
+def mask_markdown(text: Column) -> Column:
+    """Markdown text with code, HTML, link targets and entities blanked."""
+
+    def whole(s: Column) -> Column:
+        masked = F.transform(
+            s.pieces,
+            lambda p: F.when(p["hidden"], blank(p["text"])).otherwise(_spans(p["text"], s.labels)),
+        )
+        return F.array_join(masked, "\n")
+
+    flat = F.array(F.struct(text.alias("text"), F.lit(False).alias("hidden")))
+    pieces = F.when(text.rlike(STRUCTURE), blocks(text)).otherwise(flat)
+    both = let(pieces, lambda p: F.struct(p.alias("pieces"), _labels(p).alias("labels")))
+    return let(both, whole)

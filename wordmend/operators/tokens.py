@@ -11,7 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordmend.functions.arrays import let, matches_and_gaps, piece_lengths, running_starts
+from wordmend.functions.arrays import (
+    built_once,
+    let,
+    matches_and_gaps,
+    piece_lengths,
+    running_starts,
+)
 from wordmend.functions.patterns import (
     BIG_SEGMENT,
     CODE_WORD,
@@ -46,6 +52,16 @@ def mask_regions(text: Column, patterns: Sequence[str]) -> Column:
     return text
 
 
+@built_once
+def _line_starts(lines: str) -> Column:
+    return running_starts(F.transform(lines, lambda x: F.octet_length(x) + 1))
+
+
+@built_once
+def _word_starts(gaps: str, matches: str) -> Column:
+    return running_starts(piece_lengths(F.col(gaps), F.col(matches)))
+
+
 def lines(documents: DataFrame, keys: Sequence[str], *texts: str) -> DataFrame:
     """One row per line: ``line`` (from 1), ``line_start`` (byte offset) and the line of each
     of ``texts``, which are versions of one text with equal byte lengths and line breaks.
@@ -54,7 +70,7 @@ def lines(documents: DataFrame, keys: Sequence[str], *texts: str) -> DataFrame:
     split = documents.select(
         *keys, *[F.split(t, "\n", -1).alias(a) for t, a in zip(texts, arrays, strict=True)]
     )
-    starts = running_starts(F.transform(arrays[0], lambda x: F.octet_length(x) + 1))
+    starts = _line_starts(arrays[0])
     return split.select(
         *keys, F.posexplode(F.arrays_zip(*arrays, starts.alias("starts"))).alias("_n", "_line")
     ).select(
@@ -93,16 +109,18 @@ def _cut(scanned: Column, base: Column, at: Column, base_at: Column) -> Column:
     return let(found, cut)
 
 
-def _segments(scanned: Column, line: Column) -> Column:
+@built_once
+def _segments(scanned: str, line: str) -> Column:
     """A line as fragments: one, or several if it is long."""
-    whole = F.array(fragment(F.lit(0), scanned, line, whole=False))
+    whole = F.array(fragment(F.lit(0), F.col(scanned), F.col(line), whole=False))
     return F.when(F.octet_length(scanned) <= SHORT_LINE_BYTES, whole).otherwise(
-        _cut(scanned, line, F.lit(0), F.lit(0))
+        _cut(F.col(scanned), F.col(line), F.lit(0), F.lit(0))
     )
 
 
-def _fragments(style: Column, is_python: Column, blocks: bool) -> Column:
-    code = code_fragments(F.col("_scan"), is_python)
+@built_once
+def _fragments(blocks: bool) -> Column:
+    code = code_fragments(F.col("_scan"), F.col("_python"))
     if blocks:
         code = F.concat(code, F.array(fragment(F.lit(0), F.col("_blocks"), F.col("_text"))))
     short = F.transform(
@@ -111,12 +129,19 @@ def _fragments(style: Column, is_python: Column, blocks: bool) -> Column:
             _cut(f["text"], f["base"], f["at"], f["base_at"])
         ),
     )
-    return F.when(style == SOURCE_CODE, F.flatten(short)).otherwise(
-        _segments(F.col("_scan"), F.col("_text"))
+    return F.when(F.col("_style") == SOURCE_CODE, F.flatten(short)).otherwise(
+        _segments("_scan", "_text")
     )
 
 
-def _word_arrays(style: Column, text: Column) -> tuple[Column, Column]:
+@built_once
+def _markdown(name: str) -> Column:
+    return mask_markdown(F.col(name))
+
+
+@built_once
+def _word_arrays(style_name: str, text_name: str) -> tuple[Column, Column]:
+    style, text = F.col(style_name), F.col(text_name)
     rules = {MARKDOWN: MARKDOWN_WORD, SOURCE_CODE: CODE_WORD, PLAIN_TEXT: PLAIN_PART}
     pairs = {name: matches_and_gaps(text, rule) for name, rule in rules.items()}
 
@@ -154,9 +179,7 @@ def scan(
             F.coalesce(source_lang(F.col("_path")) == "python", F.lit(False)).alias("_python"),
         )
         is_python = F.col("_python")
-        body = F.when(F.col("_style") == MARKDOWN, mask_markdown(F.col("_text"))).otherwise(
-            F.col("_text")
-        )
+        body = F.when(F.col("_style") == MARKDOWN, _markdown("_text")).otherwise(F.col("_text"))
         if block_comments:
             is_code = F.col("_style") == SOURCE_CODE
             body = F.when(is_code, without_blocks(F.col("_text"), is_python)).otherwise(body)
@@ -182,10 +205,10 @@ def scan(
         place += ["line", "line_start", "_offset", "_base", "_base_at", "_whole"]
         found = lines(source, carried, *versions)
         if path:
-            fragments = _fragments(F.col("_style"), F.col("_python"), block_comments)
+            fragments = _fragments(block_comments)
         else:
             found = found.withColumn("_style", F.lit(PLAIN_TEXT))
-            fragments = _segments(F.col(versions[-1]), F.col("_text"))
+            fragments = _segments(versions[-1], "_text")
         found = found.select(
             *keys, "_style", "line", "line_start", F.explode(fragments).alias("_f")
         ).select(
@@ -209,15 +232,14 @@ def scan(
             *keys, F.lit(PLAIN_TEXT).alias("_style"), F.explode(stretches).alias("_scan")
         )
     if path:
-        matches, gaps = _word_arrays(F.col("_style"), F.col("_scan"))
+        matches, gaps = _word_arrays("_style", "_scan")
     else:
         matches, gaps = matches_and_gaps(F.col("_scan"), PLAIN_PART)
 
     arrays = found.select(*place, matches.alias("_matches"), gaps.alias("_gaps"))
     zipped = ["_matches", "_gaps"]
     if positions:
-        lengths = piece_lengths(F.col("_gaps"), F.col("_matches"))
-        arrays = arrays.withColumn("_starts", running_starts(lengths))
+        arrays = arrays.withColumn("_starts", _word_starts("_gaps", "_matches"))
         zipped.append("_starts")
     pieces = arrays.select(
         *place, F.posexplode(F.arrays_zip(*zipped)).alias("_i", "_piece")
@@ -254,6 +276,19 @@ def scan(
     return result if positions else result.drop("_style")
 
 
+@built_once
+def _sides() -> tuple[Column, Column]:
+    end = F.col("_at") + F.octet_length("_part")
+    return before(F.col("_raw"), F.col("_at")), after(F.col("_raw"), end)
+
+
+@built_once
+def _context() -> Column:
+    both_ends = F.col("_style") != MARKDOWN
+    short = short_context(F.col("_left"), F.col("_part"), F.col("_right"), both_ends)
+    return F.when(F.col("_whole"), F.col("_base")).otherwise(short)
+
+
 def with_context(words: DataFrame) -> DataFrame:
     """Add ``context`` to scanned words. Best done after filters: it costs time per word.
 
@@ -262,14 +297,9 @@ def with_context(words: DataFrame) -> DataFrame:
     each of its words.
     """
     sides = words.withColumn("_raw", F.col("_base").cast("binary")).withColumns(
-        {
-            "_left": before(F.col("_raw"), F.col("_at")),
-            "_right": after(F.col("_raw"), F.col("_at") + F.octet_length("_part")),
-        }
+        dict(zip(("_left", "_right"), _sides(), strict=True))
     )
-    both_ends = F.col("_style") != MARKDOWN
-    short = short_context(F.col("_left"), F.col("_part"), F.col("_right"), both_ends)
-    context = F.when(F.col("_whole"), F.col("_base")).otherwise(short)
+    context = _context()
     return sides.withColumn("context", context).drop(*_INTERNAL, "_raw", "_left", "_right")
 
 
