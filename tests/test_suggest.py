@@ -163,3 +163,48 @@ def test_distance(spark):
     pairs = [("hello", "hello"), ("hello", "hallo"), ("hello", "hullo"), ("hello", "world"), ("é", "e")]
     got = spark.createDataFrame(pairs, "a string, b string").select(F.levenshtein("a", "b")).collect()
     assert [r[0] for r in got] == [0, 1, 1, 4, 1]
+
+
+def _crowd(spark, letters=60):
+    """Words of 3 to 5 letters under one prefix: all share the string that three deletions leave."""
+    alphabet = [chr(0x4E00 + i) for i in range(letters)]
+    ends = [*alphabet, *(a + b for a in alphabet for b in alphabet)]
+    ends += [a + b + c for a in alphabet for b in alphabet for c in alphabet]
+    return ["ab" + end for end in ends]
+
+
+def test_keys_that_are_hot_on_both_sides(spark):
+    dictionary = _crowd(spark)
+    assert len(dictionary) > 200_000
+    asked = [w + "x" for w in dictionary[5:200_000:25_000]]
+    entries = spark.createDataFrame([(w,) for w in dictionary], "candidate string").withColumn(
+        "key", F.left("candidate", F.lit(2))
+    )
+    words = spark.createDataFrame([(w,) for w in asked], "word string").withColumn(
+        "key", F.left("word", F.lit(2))
+    )
+    met = runtime.two_sided_join(words, entries, "key", [F.col("word")], [F.col("candidate")])
+    tasks = met.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    pairs = [r["count"] for r in tasks]
+    assert sum(pairs) == len(asked) * len(dictionary)
+    assert max(pairs) <= 2 * sum(pairs) / runtime.shuffle_tasks(spark)
+
+
+def test_a_crowd_under_one_prefix_has_the_same_suggestions(spark, monkeypatch):
+    monkeypatch.setattr(module, "MANY_CANDIDATES", 0)
+    dictionary = _crowd(spark, 18) + ["zz"]
+    asked = [w + "x" for w in dictionary[3::700]] + ["abx", "zzz", "qqq"]
+    words, entries = (spark.createDataFrame([(w,) for w in x], "word string") for x in (asked, dictionary))
+    got = {r.word: r.suggestions for r in module.suggest(words, entries).collect()}
+    assert got == {w: expected(w, set(dictionary), 5) for w in asked}
+
+
+@pytest.mark.parametrize("left, right", [(3000, 3), (3, 3000), (300, 300), (0, 5)])
+def test_two_sided_join_has_the_rows_of_a_join(spark, left, right):
+    a = spark.range(left).select(F.lit("k").alias("key"), F.col("id").alias("a"))
+    a = a.unionByName(spark.createDataFrame([("m", 1), ("only", 2)], "key string, a bigint"))
+    b = spark.range(right).select(F.lit("k").alias("key"), F.col("id").alias("b"))
+    b = b.unionByName(spark.createDataFrame([("m", 1), ("m", 2)], "key string, b bigint"))
+    got = runtime.two_sided_join(a, b, "key", [F.col("a")], [F.col("b")])
+    assert got.columns == ["key", "a", "b"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, a.join(b, "key").collect()))

@@ -34,16 +34,6 @@ C_STRING = (
 PYTHON_STRING = r"""(?s)"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'"""
 ESCAPE_PAIR = r"(?s)\\(?:.|\z)"
 
-# Block comments, with the line comments and literals that could hide their delimiters.
-C_BLOCK_OR_OTHER = (
-    r"(?s)//[^\n]*+|/\*.*?(?:\*/|\z)"
-    r"""|"(?:[^"\\\n]++|\\.)*+"?|'(?:[^'\\\n]++|\\.)*+'?"""
-)
-PYTHON_BLOCK_OR_OTHER = (
-    r"""(?s)\"{3}.*?(?:\"{3}|\z)|'{3}.*?(?:'{3}|\z)|#[^\n]*+"""
-    r"""|"(?:[^"\\\n]++|\\.)*+"?|'(?:[^'\\\n]++|\\.)*+'?"""
-)
-
 # --- file types ------------------------------------------------------------------------
 
 # Lower-cased file extensions.

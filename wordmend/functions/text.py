@@ -47,26 +47,6 @@ def mask(
     return let(text, apply)
 
 
-def keep_only(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
-    """Blank everything but the matches for which ``keep`` holds."""
-
-    def apply(t: Column) -> Column:
-        found, gaps = matches_and_gaps(t, pattern)
-        return F.array_join(
-            F.zip_with(
-                gaps,
-                found,
-                lambda g, m: F.concat(
-                    blank(g),
-                    F.coalesce(F.when(keep(m), m).otherwise(blank(m)), F.lit("")),
-                ),
-            ),
-            "",
-        )
-
-    return let(text, apply)
-
-
 def before(raw: Column, at: Column) -> Column:
     """Up to 21 characters in front of byte ``at`` of a line.
 

@@ -11,14 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wordmend.functions.arrays import let, matches_and_gaps, piece_lengths, running_starts
-from wordmend.functions.patterns import (
-    C_BLOCK_OR_OTHER,
-    C_STRING,
-    ESCAPE_PAIR,
-    PYTHON_BLOCK_OR_OTHER,
-    PYTHON_STRING,
-)
-from wordmend.functions.text import blank, keep_only, mask
+from wordmend.functions.patterns import C_STRING, ESCAPE_PAIR, PYTHON_STRING
+from wordmend.functions.text import mask
 
 NO_FRAGMENTS = "array<struct<at:int,text:string,base:string,base_at:int,whole:boolean>>"
 
@@ -123,24 +117,3 @@ def code_fragments(line: Column, is_python: Column) -> Column:
         ).otherwise(F.concat(c_comments(text), c_strings(text)))
 
     return let(F.regexp_replace(line, r"\r\z", ""), both)
-
-
-def _is_block(found: Column) -> Column:
-    return (F.left(found, F.lit(2)) == "/*") | F.left(found, F.lit(3)).isin('"""', "'''")
-
-
-def only_blocks(text: Column, is_python: Column) -> Column:
-    """Source text with everything but block comments and docstrings blanked."""
-    return F.when(is_python, keep_only(text, PYTHON_BLOCK_OR_OTHER, _is_block)).otherwise(
-        keep_only(text, C_BLOCK_OR_OTHER, _is_block)
-    )
-
-
-def without_blocks(text: Column, is_python: Column) -> Column:
-    """Source text with block comments and docstrings blanked."""
-    def change(m: Column) -> Column:
-        return F.when(_is_block(m), blank(m)).otherwise(m)
-
-    return F.when(is_python, mask(text, PYTHON_BLOCK_OR_OTHER, change)).otherwise(
-        mask(text, C_BLOCK_OR_OTHER, change)
-    )

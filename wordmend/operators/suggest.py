@@ -38,7 +38,7 @@ from wordmend.functions.patterns import (
     SHORT_WORD,
     SHORT_WORD_CANDIDATES,
 )
-from wordmend.runtime import is_small, shuffle_tasks
+from wordmend.runtime import is_small, shuffle_tasks, two_sided_join
 
 # Kinds of probes: words near by with the same 3 characters, words further away with the same
 # 2, short words, all variants, variants made at the first characters, and one that every word
@@ -196,11 +196,18 @@ def _ranked(hits: DataFrame) -> DataFrame:
     return hits.select("word", F.explode(rows).alias("_r")).select("word", "_r.candidate", "_r.at")
 
 
-def _match(words: DataFrame, probes: Column, index: DataFrame, distance: int) -> DataFrame:
+def _match(
+    words: DataFrame, probes: Column, index: DataFrame, distance: int, two_sided: bool = False
+) -> DataFrame:
     asked = words.select("*", F.explode(probes).alias("_p")).select(
         *words.columns, "_p.key", "_p.kind", "_p.rank"
     )
-    return asked.join(index, "key").where(_close_enough(distance))
+    if not two_sided:
+        return asked.join(index, "key").where(_close_enough(distance))
+    met = two_sided_join(
+        asked.where("key IS NOT NULL"), index, "key", [F.col("word")], [F.col("candidate")]
+    )
+    return met.where(_close_enough(distance))
 
 
 def _index(dictionary: DataFrame, kinds: Sequence[int]) -> DataFrame:
@@ -236,7 +243,9 @@ def _hits_by_shuffle(words: DataFrame, dictionary: DataFrame, kinds: Sequence[in
     Equal prefixes would bring a large part of the dictionary together with a large part of
     the words. Words within edit distance t share a string that is left after at most t
     deletions, so words with the same prefix are joined on such a string of the rest. A pair
-    can be found more than once.
+    can be found more than once. Short words have most such strings in common (all of up to
+    three letters behind the prefix share the empty one), so a string may have many words on
+    both sides, whose pairs are divided among tasks.
     """
     is_long = F.char_length("word") > LONG_WORD
     parts = []
@@ -297,7 +306,7 @@ def _piece_hits(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFrame
         ),
     )
     long_enough = F.col("open") & (F.col("size") > LONG_WORD - distance)
-    return _match(words.where(long_enough), probes, index, distance)
+    return _match(words.where(long_enough), probes, index, distance, two_sided=True)
 
 
 def _deletion_hits(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFrame:
@@ -316,7 +325,7 @@ def _deletion_hits(words: DataFrame, dictionary: DataFrame, kind: int) -> DataFr
             F.lit("key"), k, F.lit("kind"), F.lit(kind), F.lit("rank"), F.lit(0)
         ),
     )
-    return _match(reachable, probes, index, distance)
+    return _match(reachable, probes, index, distance, two_sided=True)
 
 
 def prefix_matches(words: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:

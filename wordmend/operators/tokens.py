@@ -30,7 +30,8 @@ from wordmend.functions.patterns import (
     URL,
 )
 from wordmend.functions.text import CONTEXT_BYTES, after, before, mask, short_context
-from wordmend.operators.code import code_fragments, fragment, only_blocks, without_blocks
+from wordmend.operators.code import code_fragments, fragment
+from wordmend.operators.lexer import split_blocks
 from wordmend.operators.markdown import mask_markdown
 from wordmend.sources.documents import (
     MARKDOWN,
@@ -139,6 +140,11 @@ def _markdown(name: str) -> Column:
     return mask_markdown(F.col(name))
 
 
+@built_once
+def _split(text: str, lang: str) -> Column:
+    return split_blocks(F.col(text), F.col(lang))
+
+
 @built_once
 def _word_arrays(style_name: str, text_name: str) -> tuple[Column, Column]:
     style, text = F.col(style_name), F.col(text_name)
@@ -167,29 +173,22 @@ def scan(
     """``(keys…, word)``, and with ``positions`` also ``line``, ``column``, ``start``, ``end``
     and the helper columns from which ``with_context`` makes the context.
 
-    With ``path`` the rules follow the file type; without it everything is plain text.
+    With ``path`` the rules follow the file type; without it everything is plain text. With
+    ``block_comments`` comments and literals of source code are followed over lines.
     """
     source = documents.select(*keys, F.col(text).alias("_text"), *([F.col(path).alias("_path")] if path else []))
     versions = ["_text"]
     if path:
-        source = source.select(
-            *keys,
-            "_text",
-            file_type(F.col("_path")).alias("_style"),
-            F.coalesce(source_lang(F.col("_path")) == "python", F.lit(False)).alias("_python"),
-        )
-        is_python = F.col("_python")
+        lang = F.coalesce(source_lang(F.col("_path")), F.lit("")).alias("_lang")
+        style = file_type(F.col("_path")).alias("_style")
+        source = source.select(*keys, "_text", style, lang).withColumn("_python", F.col("_lang") == "python")
         body = F.when(F.col("_style") == MARKDOWN, _markdown("_text")).otherwise(F.col("_text"))
         if block_comments:
             is_code = F.col("_style") == SOURCE_CODE
-            body = F.when(is_code, without_blocks(F.col("_text"), is_python)).otherwise(body)
-            source = source.withColumn(
-                "_blocks",
-                mask_regions(
-                    F.when(is_code, only_blocks(F.col("_text"), is_python)).otherwise(F.col("_text")),
-                    skip_regions,
-                ),
-            )
+            source = source.withColumn("_split", F.when(is_code, _split("_text", "_lang")))
+            body = F.coalesce(F.col("_split.rest"), body)
+            blocks = F.coalesce(F.col("_split.blocks"), F.col("_text"))
+            source = source.withColumn("_blocks", mask_regions(blocks, skip_regions))
             versions.append("_blocks")
         source = source.withColumn("_scan", mask_regions(body, skip_regions))
         versions.append("_scan")

@@ -236,6 +236,23 @@ def block_comment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_word(words_of(made, DOC, path="path", block_comments=True))
 
 
+@query
+def nested_comment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments in comments and raw strings over several lines, by the same option."""
+    made = documents(spark, sf_dir).select(
+        "doc_id",
+        F.concat(
+            F.lit("fn code() {}\n/* outer /* "),
+            F.col("text"),
+            F.lit('\n */ last */ code();\nlet s = r##"'),
+            F.col("text"),
+            F.lit('\n"# "##; code(); // end'),
+        ).alias("text"),
+        F.lit("x.rs").alias("path"),
+    )
+    return _per_word(words_of(made, DOC, path="path", block_comments=True))
+
+
 @query
 def docstring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Docstrings over several lines, by the same option."""
@@ -284,6 +301,36 @@ def markdown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_word(words_of(made, DOC, path="path"))
 
 
+# Lines of documents in nested lists, quotes, code and HTML; only what is not hidden is text.
+BLOCK_FORMS = (
+    ("- Line ", "\n\n      hidden ", "\n\n  - Deep ", "\n\n    more ", "\n"),
+    ("> Line ", "\nlazy ", "\n>\n>     hidden ", "\n"),
+    ("1. Line ", "\n   ```\n   hidden ", "\n   ```\n\n   after ", "\n"),
+    ("- > Line ", "\n  >\n  > ~~~\n  > hidden ", "\n  > ~~~\n"),
+    ("> - Line ", "\n>\n>       hidden ", "\n>\n>   after ", "\n"),
+    ("* <div>\n  hidden ", "\n\n  Line ", "\n"),
+)
+
+
+@query
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines stand in lists and quotes, with code and HTML inside these."""
+
+    def form(x: Column, i: Column) -> Column:
+        made = F.lit(None).cast("string")
+        for n, parts in enumerate(BLOCK_FORMS):
+            spelled = [F.lit(parts[0]), *(p for part in parts[1:] for p in (x, F.lit(part)))]
+            made = F.when(i % len(BLOCK_FORMS) == n, F.concat(*spelled)).otherwise(made)
+        return made
+
+    made = documents(spark, sf_dir).select(
+        "doc_id",
+        F.array_join(F.transform(F.split("text", "\n", -1), form), "\n").alias("text"),
+        F.lit("x.md").alias("path"),
+    )
+    return _per_word(words_of(made, DOC, path="path"))
+
+
 @query
 def mixed_file_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all file types in one pass, each by its own rules."""

@@ -322,6 +322,11 @@ FROM docs_lines"""
         f"SELECT doc_id, word, count(*) AS n FROM ({every}) WHERE strlen(word) > 1 GROUP BY ALL"
     )
     coded = _lines("coded", "documents", "doc_id", _DECORATED_TEXT)
+    out["nested_comment_words"] = rf"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    text || ' ' || text || ' outer last end', '{_LETTERS}')) AS word FROM documents)
+SELECT doc_id, word, count(*) AS n FROM words WHERE strlen(word) > 1 GROUP BY ALL"""
     out["code_positions"] = f"""
 WITH {coded},{_pieces("literal", "coded", "doc_id, line", c_literal)},
 inside AS (
@@ -346,6 +351,16 @@ WITH words AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '{_MARKDOWN}')) AS word FROM documents
   UNION ALL
   SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: 'shown')) FROM documents)
+SELECT doc_id, word, count(*) AS n FROM words WHERE regexp_matches(word, '\p{{L}}') GROUP BY ALL"""
+    out["markdown_blocks"] = rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x,
+         (generate_subscripts(string_split(text, chr(10)), 1) - 1) % 6 AS form FROM documents),
+shown AS (
+  SELECT doc_id, 'Line ' || x || CASE form WHEN 0 THEN ' Deep ' || x || ' more ' || x
+    WHEN 1 THEN ' lazy ' || x WHEN 2 THEN ' after ' || x WHEN 4 THEN ' after ' || x ELSE '' END AS t
+  FROM lines),
+words AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_MARKDOWN}')) AS word FROM shown)
 SELECT doc_id, word, count(*) AS n FROM words WHERE regexp_matches(word, '\p{{L}}') GROUP BY ALL"""
     out["mixed_file_words"] = f"""
 WITH {_mixed("text")}

@@ -99,6 +99,56 @@ def salted_join(
     return left.drop("_copies").join(right.drop("_copies"), [*on, "_salt"], how).drop("_salt")
 
 
+# Cells that the pairs of a task's even share are divided into at least, so that they even out.
+_CELLS_PER_TASK = 16
+
+
+def two_sided_join(
+    left: DataFrame, right: DataFrame, key: str, left_spread: Sequence[Column], right_spread: Sequence[Column]
+) -> DataFrame:
+    """Inner join on ``key`` (not null), which may have many rows on both sides.
+
+    The pairs of a key are a rectangle. One with more pairs than a share is divided into a grid:
+    its left rows are split by a hash of ``left_spread`` into as many parts as the grid has
+    rows and copied to all of its columns, its right rows the other way round, so that every cell
+    is a group of its own. The grid has the shape that copies the fewest rows. No more keys
+    than there are shares can be that large, so their list is small at any size.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_l")).join(
+        right.groupBy(key).agg(F.count("*").alias("_r")), key
+    )
+    pairs = stage(counts.withColumn("_pairs", F.col("_l").cast("double") * F.col("_r")), "join-sizes")
+    total = pairs.agg(F.sum("_pairs")).first()[0] or 0.0
+    share = max(1.0, total / (_CELLS_PER_TASK * shuffle_tasks(left.sparkSession)))
+    cells = F.col("_pairs") / share
+    rows = F.greatest(F.lit(1.0), F.least(F.col("_l"), F.sqrt(cells * F.col("_l") / F.col("_r"))))
+    grid = (
+        pairs.where(F.col("_pairs") > share)
+        .withColumn("_rows", F.ceil(rows).cast("int"))
+        .withColumn("_columns", F.ceil(F.greatest(F.lit(1.0), cells / F.col("_rows"))).cast("int"))
+        .select(key, "_rows", "_columns")
+    )
+
+    def dealt(side: DataFrame, spread: Sequence[Column], own: str, copied: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*spread), F.coalesce(own, F.lit(1))).cast("int")
+        others = F.sequence(F.lit(0), F.coalesce(copied, F.lit(1)) - 1)
+        return (
+            side.join(F.broadcast(grid), key, "left")
+            .withColumn(f"{own}_at", part)
+            .withColumn(f"{copied}_at", F.explode(others))
+            .drop("_rows", "_columns")
+        )
+
+    # The work is in the pairs, not in the bytes, by which Spark would merge partitions.
+    tasks, cell = shuffle_tasks(left.sparkSession), [key, "_rows_at", "_columns_at"]
+    return (
+        dealt(left, left_spread, "_rows", "_columns")
+        .repartition(tasks, *cell)
+        .join(dealt(right, right_spread, "_columns", "_rows").repartition(tasks, *cell), cell)
+        .drop(*cell[1:])
+    )
+
+
 def join_by_key(
     facts: DataFrame, lookup: DataFrame, key: str, count: str, spread: list[Column]
 ) -> DataFrame:
