@@ -2,6 +2,8 @@
 
 import pytest
 
+from wordmend.plans.report import append_personal_words
+from wordmend.sources import dictionaries
 from wordmend.sources.dictionaries import (
     build_dictionary,
     describe_dictionary,
@@ -9,10 +11,12 @@ from wordmend.sources.dictionaries import (
     install_dictionary,
     load_dictionary,
     load_word_table,
+    read_dictionaries,
     update_dictionaries,
     words_in_order,
 )
 from wordmend.sources.documents import read_documents
+from wordmend.sources.wordlists import read_personal_words
 
 
 def test_read_documents(spark, tmp_path):
@@ -50,7 +54,7 @@ def test_dictionaries(spark, words, tmp_path):
     got = {r.language: r for r in dictionary_catalog(spark, path).collect()}
     assert {k: r.word_count for k, r in got.items()} == {"en_US": 3, "fr_FR": 2}
     assert all(r.size_bytes > 0 for r in got.values())
-    assert got["fr_FR"].path == path + "/language=fr_FR"
+    assert got["fr_FR"].path.startswith(path) and got["fr_FR"].path.endswith("/language=fr_FR")
     assert load_word_table(spark, got["fr_FR"].path).count() == 2
     assert describe_dictionary(spark, path, "xx").count() == 0
 
@@ -60,3 +64,82 @@ def test_dictionaries(spark, words, tmp_path):
     update_dictionaries(spark, {"en_US": str(tmp_path / "list.txt"), "xx": "unused"}, path)
     counts = {r.language: r.word_count for r in dictionary_catalog(spark, path).collect()}
     assert counts == {"en_US": 2, "fr_FR": 2, "de_DE": 2}
+
+
+def installed(spark, path):
+    rows = read_dictionaries(spark, path).collect()
+    return {(r.language, r.word) for r in rows}
+
+
+def test_a_failed_publication_changes_nothing(spark, words, tmp_path, monkeypatch):
+    path = str(tmp_path / "dictionaries")
+    build_dictionary(words("one two"), path, "en")
+    build_dictionary(words("un"), path, "fr")
+    before, catalog = installed(spark, path), sorted(dictionary_catalog(spark, path).collect())
+    (tmp_path / "list.txt").write_text("new\nlist\n")
+    sources = {"en": str(tmp_path / "list.txt"), "fr": str(tmp_path / "list.txt")}
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(dictionaries, "_publish", lost)  # all words are written, the manifest is not
+    with pytest.raises(RuntimeError):
+        update_dictionaries(spark, sources, path)
+    assert installed(spark, path) == before
+    assert sorted(dictionary_catalog(spark, path).collect()) == catalog
+    monkeypatch.undo()
+    update_dictionaries(spark, sources, path)
+    assert installed(spark, path) == {(lang, w) for lang in ("en", "fr") for w in ("new", "list")}
+
+
+def test_readers_keep_the_version_they_began_with(spark, words, tmp_path):
+    path = str(tmp_path / "dictionaries")
+    build_dictionary(words("one two"), path, "en")
+    reader = load_dictionary(spark, path, "en")
+    build_dictionary(words("three"), path, "en")
+    assert {r.word for r in reader.collect()} == {"one", "two"}
+    assert {r.word for r in load_dictionary(spark, path, "en").collect()} == {"three"}
+
+
+def test_a_batch_is_published_once(spark, words, tmp_path):
+    path = str(tmp_path / "dictionaries")
+    build_dictionary(words("one two"), path, "en", batch="first")
+    build_dictionary(words("three"), path, "en", batch="second")
+    build_dictionary(words("one two"), path, "en", batch="first")  # a job that is repeated late
+    assert installed(spark, path) == {("en", "three")}
+    # A batch that was half written before is written anew.
+    (tmp_path / "dictionaries/words/batch=third/language=en").mkdir(parents=True)
+    (tmp_path / "dictionaries/words/batch=third/language=en/part-0.parquet").write_text("broken")
+    build_dictionary(words("four"), path, "en", batch="third")
+    assert installed(spark, path) == {("en", "four")}
+
+
+def test_nothing_installed(spark, tmp_path):
+    path = str(tmp_path / "none")
+    assert dictionary_catalog(spark, path).count() == 0
+    assert load_dictionary(spark, path, "en").collect() == []
+
+
+def test_the_catalog_reads_no_words(spark, words, tmp_path):
+    path = str(tmp_path / "dictionaries")
+    build_dictionary(words("one two"), path, "en")
+    plan = dictionary_catalog(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan.lower() and "word#" not in plan
+    # Publishing counts by the footers of the files: no column is read.
+    (folder,) = (tmp_path / "dictionaries/words").glob("batch=*")
+    plan = dictionaries._measured(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
+    (row,) = dictionary_catalog(spark, path).collect()
+    size = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    assert (row.word_count, row.size_bytes) == (2, size)
+
+
+def test_additions_to_a_personal_list_can_be_repeated(spark, words, tmp_path):
+    path = str(tmp_path / "personal")
+    append_personal_words(words("one two"), path, batch="a")
+    append_personal_words(words("two three"), path)
+    append_personal_words(words("one two"), path, batch="a")
+    assert spark.read.option("recursiveFileLookup", "true").text(path).count() == 4
+    assert {r.word for r in read_personal_words(spark, path).collect()} == {"one", "two", "three"}
+    (tmp_path / "one.txt").write_text("Alone\n# not\n")
+    assert [r.word for r in read_personal_words(spark, str(tmp_path / "one.txt")).collect()] == ["alone"]

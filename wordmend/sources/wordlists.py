@@ -26,7 +26,8 @@ def listed_words(lines: DataFrame) -> DataFrame:
 
 
 def read_personal_words(spark: SparkSession, path: str) -> DataFrame:
-    return personal_words(spark.read.text(path))
+    """A personal list: a file, or a folder of files at any depth."""
+    return personal_words(spark.read.option("recursiveFileLookup", "true").text(path))
 
 
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
