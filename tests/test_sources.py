@@ -15,7 +15,8 @@ from wordmend.sources.dictionaries import (
     update_dictionaries,
     words_in_order,
 )
-from wordmend.sources.documents import read_documents
+from wordmend.operators.tokens import tokens
+from wordmend.sources.documents import read_documents, read_lines
 from wordmend.sources.wordlists import read_personal_words
 
 
@@ -143,3 +144,62 @@ def test_additions_to_a_personal_list_can_be_repeated(spark, words, tmp_path):
     assert {r.word for r in read_personal_words(spark, path).collect()} == {"one", "two", "three"}
     (tmp_path / "one.txt").write_text("Alone\n# not\n")
     assert [r.word for r in read_personal_words(spark, str(tmp_path / "one.txt")).collect()] == ["alone"]
+
+
+def small_blocks(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.fixture
+def blocks(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    yield lambda size: small_blocks(spark, size)
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+LARGE = {
+    "a.txt": "one two é ünïcode\r\n\nlast word " * 9000 + "end",
+    "b.py": "x = 1 # comment here\ny = 'a literal' # more\n" * 5000,
+    "c.txt": "\ufeffmarked text\nwith more lines\n" * 1,
+    "d.txt": "\ufeff" + "grey owls fly\n" * 5000 + "no end",
+    "e.txt": "",
+    "f.txt": "\n\n\n",
+    "g.txt": "long " * 40_000 + "\nshort",
+    "h.md": "# heading\n",
+}
+
+
+def test_large_files_are_read_in_many_tasks(spark, tmp_path, blocks):
+    """The same words at the same places as whole files have, however they are divided."""
+    for name, text in LARGE.items():
+        (tmp_path / name).write_bytes(text.encode())
+    columns = ["path", "word", "line", "column", "start", "end", "context"]
+    whole = read_documents(spark, str(tmp_path)).where("path NOT LIKE '%.md'")
+    want = tokens(whole, ["path"], path="path").select(*columns)
+    expected = sorted(map(tuple, want.collect()))
+    for size in (20_000, 3_001):
+        blocks(size)
+        lines = read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() >= 40
+        got = tokens(lines, ["path"], path="path", by_line=True).select(*columns)
+        assert sorted(map(tuple, got.collect())) == expected
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+def test_lines_of_large_files(spark, tmp_path, blocks):
+    blocks(64)
+    text = "".join(f"line {i}\n" for i in range(500))
+    (tmp_path / "a+b é.txt").write_text(text)
+    rows = sorted(read_lines(spark, str(tmp_path / "a+b é.txt")).collect(), key=lambda r: r.line)
+    assert [(r.line, r.text) for r in rows] == [(i + 1, f"line {i}") for i in range(500)]
+    assert all(text[r.line_start :].startswith(r.text + "\n") for r in rows)
+    assert {r.path.rsplit("/", 1)[1] for r in rows} == {"a+b é.txt"}
+
+
+def test_block_comments_need_whole_documents(spark, tmp_path):
+    (tmp_path / "a.c").write_text("x")
+    with pytest.raises(ValueError, match="whole documents"):
+        tokens(read_lines(spark, str(tmp_path)), ["path"], path="path", by_line=True, block_comments=True)

@@ -169,19 +169,32 @@ def scan(
     skip_regions: Sequence[str] = (),
     block_comments: bool = False,
     positions: bool = True,
+    by_line: bool = False,
 ) -> DataFrame:
     """``(keys…, word)``, and with ``positions`` also ``line``, ``column``, ``start``, ``end``
     and the helper columns from which ``with_context`` makes the context.
 
     With ``path`` the rules follow the file type; without it everything is plain text. With
     ``block_comments`` comments and literals of source code are followed over lines.
+
+    With ``by_line`` a row is a line with ``line`` and ``line_start``, as ``read_lines`` gives them: plain
+    text and source code are tokenized line by line anyway. Markdown and block comments are
+    not, so the one is left out and the other refused.
     """
-    source = documents.select(*keys, F.col(text).alias("_text"), *([F.col(path).alias("_path")] if path else []))
+    if by_line and block_comments:
+        raise ValueError("block comments need whole documents")
+    place = ["line", "line_start"] if by_line else []
+    kept = [F.col(path).alias("_path")] if path else []
+    source = documents.select(*keys, *place, F.col(text).alias("_text"), *kept)
     versions = ["_text"]
     if path:
         lang = F.coalesce(source_lang(F.col("_path")), F.lit("")).alias("_lang")
         style = file_type(F.col("_path")).alias("_style")
-        source = source.select(*keys, "_text", style, lang).withColumn("_python", F.col("_lang") == "python")
+        source = source.select(*keys, *place, "_text", style, lang).withColumn(
+            "_python", F.col("_lang") == "python"
+        )
+        if by_line:
+            source = source.where(F.col("_style") != MARKDOWN)
         body = F.when(F.col("_style") == MARKDOWN, _markdown("_text")).otherwise(F.col("_text"))
         if block_comments:
             is_code = F.col("_style") == SOURCE_CODE
@@ -200,9 +213,12 @@ def scan(
         carried = list(keys)
 
     place = [*keys, "_style"]
-    if path or positions:
+    if path or positions or by_line:
         place += ["line", "line_start", "_offset", "_base", "_base_at", "_whole"]
-        found = lines(source, carried, *versions)
+        if by_line:
+            found = source.select(*carried, "line", "line_start", *versions)
+        else:
+            found = lines(source, carried, *versions)
         if path:
             fragments = _fragments(block_comments)
         else:

@@ -76,7 +76,13 @@ from wordmend.sources.dictionaries import (
     words_in_order,
     write_dictionaries,
 )
-from wordmend.sources.documents import file_type, read_documents, source_lang, spread
+from wordmend.sources.documents import (
+    file_type,
+    read_documents,
+    read_lines,
+    source_lang,
+    spread,
+)
 from wordmend.sources.wordlists import (
     builtin_words,
     listed_words,
@@ -123,6 +129,26 @@ def files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def large_file_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a few large files, read in blocks: words with their places in the files."""
+    folder = _folder(spark, "large")
+    parts = read(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("value"), (F.col("doc_id") % 4).alias("part")
+    )
+    sorted_parts = parts.repartition("part").sortWithinPartitions("part", "doc_id")
+    sorted_parts.drop("doc_id").write.partitionBy("part").text(folder)
+    found = positions_of(read_lines(spark, folder), ["path"], by_line=True)
+    return found.groupBy(
+        F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part"), "word"
+    ).agg(
+        F.count("*").alias("n"),
+        F.min("start").alias("first_start"),
+        F.max("line").alias("last_line"),
+        F.sum("column").alias("columns"),
+    )
+
+
 @query
 def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = with_path(read(spark, sf_dir, "documents").select("doc_id"))

@@ -352,6 +352,13 @@ WITH words AS (
   UNION ALL
   SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: 'shown')) FROM documents)
 SELECT doc_id, word, count(*) AS n FROM words WHERE regexp_matches(word, '\p{{L}}') GROUP BY ALL"""
+    out["large_file_words"] = f"""
+WITH files AS (
+  SELECT doc_id % 4 AS part, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text
+  FROM documents GROUP BY ALL),{_tokens('docs', 'files', 'part')}
+SELECT part, word, count(*) AS n, min("start")::BIGINT AS first_start, max(line)::BIGINT AS last_line,
+       sum("column")::BIGINT AS "columns"
+FROM docs GROUP BY ALL"""
     out["markdown_blocks"] = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS x,

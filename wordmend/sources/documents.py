@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordmend.functions.patterns import MARKDOWN_EXTENSIONS, SOURCE_EXTENSIONS
+from wordmend.runtime import is_small, stage
 
 MARKDOWN = "markdown"
 SOURCE_CODE = "source_code"
@@ -31,9 +35,12 @@ def read_documents(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame
         if not found:
             return spark.createDataFrame([], "path string, text string")
         files = spark.read.text(found, wholetext=True)
-    # The path is given as a URI; a plus sign in it stands for itself.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return files.select(path.alias("path"), F.col("value").alias("text"))
+    return files.select(_decoded("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def _decoded(path: str) -> Column:
+    """A path that is given as a URI, in which a plus sign stands for itself."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
 
 
 def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -50,6 +57,80 @@ def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
+_BOM = "\ufeff"
+_PLACED = "path string, block bigint, text string, nth bigint, at bigint"
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of each line within its block, and the bytes before it there."""
+    now, lines, size = None, 0, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        paths, blocks = batch.column("path"), batch.column("block")
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        keys = pc.binary_join_element_wise(blocks.cast(pa.string()), paths, " ").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(batch)]
+        nth, at = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+        for first, last in zip(edges, edges[1:], strict=False):
+            if keys[first] != now:
+                now, lines, size = keys[first], 0, 0
+            ends = size + np.cumsum(sizes[first:last])
+            nth[first:last] = lines + np.arange(last - first)
+            at[first:last] = ends - sizes[first:last]
+            lines, size = lines + last - first, int(ends[-1])
+        yield pa.RecordBatch.from_arrays(
+            [paths, blocks, batch.column("text"), pa.array(nth), pa.array(at)],
+            names=["path", "block", "text", "nth", "at"],
+        )
+
+
+def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
+    """Files of any size as ``(path, line, line_start, text)``, one row for each line.
+
+    Files are read in blocks, each by a task of its own, which ends with a whole line. A first pass
+    counts lines and bytes of the blocks; what stands before a block is the sum over those in
+    front of it. A second pass numbers the lines within the blocks and adds that. Lines end at
+    ``\\n``; a byte order mark stays in front of the first one.
+    """
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+    raw = spark.read.option("lineSep", "\n").text(wanted)
+    blocks = raw.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("value").alias("text"),
+    )
+    sums = blocks.groupBy("path", "block", "size").agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("text") + 1).alias("bytes")
+    )
+    whole, earlier = Window.partitionBy("path"), Window.partitionBy("path").orderBy("block")
+    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    # The reader leaves a byte order mark out, so that bytes are missing at the end.
+    mark = F.when(F.col("size") - F.sum("bytes").over(whole) >= 2, 3).otherwise(0)
+    bases = stage(
+        sums.select(
+            "path",
+            "block",
+            F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines_before"),
+            F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
+            mark.alias("mark"),
+        ),
+        "blocks",
+    )
+    placed = blocks.drop("size").mapInArrow(_place, _PLACED)
+    known = F.broadcast(bases) if is_small(bases) else bases
+    is_first = (F.col("lines_before") == 0) & (F.col("nth") == 0)
+    start = F.col("bytes_before") + F.col("at") + F.when(is_first, 0).otherwise(F.col("mark"))
+    text = F.when(is_first & (F.col("mark") > 0), F.concat(F.lit(_BOM), F.col("text")))
+    return placed.join(known, ["path", "block"]).select(
+        _decoded("path").alias("path"),
+        (F.col("lines_before") + F.col("nth") + 1).alias("line"),
+        start.alias("line_start"),
+        F.coalesce(text, F.col("text")).alias("text"),
+    )
+
+
 def spread(documents: DataFrame) -> DataFrame:
     """Give every core work when a table is read in fewer parts than there are cores.
 
