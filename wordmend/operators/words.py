@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Sequence
 
@@ -14,21 +15,30 @@ from wordmend.runtime import is_small
 
 
 def valid_patterns(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
-    """The patterns Java can compile; the others are skipped with a warning."""
-    good = []
+    """The patterns Java can compile; the others are skipped with a warning.
+
+    All are tried in one job; if one fails, the halves are.
+    """
+    good = _compiled(spark, [p for p in dict.fromkeys(patterns) if p not in DEFAULT_IGNORE])
+    known = {*good, *DEFAULT_IGNORE}
     for pattern in patterns:
-        if pattern in DEFAULT_IGNORE:
-            good.append(pattern)
-            continue
-        try:
-            spark.range(1).select(F.lit("x").rlike(_unicode(pattern))).collect()
-        except PySparkException as problem:
-            if "PATTERN" not in (problem.getCondition() or "").upper():
-                raise
+        if pattern not in known:
             warnings.warn(f"Invalid regex pattern skipped: {pattern}", stacklevel=2)
-        else:
-            good.append(pattern)
-    return good
+    return [pattern for pattern in patterns if pattern in known]
+
+
+def _compiled(spark: SparkSession, patterns: list[str]) -> list[str]:
+    if not patterns:
+        return []
+    tried = [F.lit("x").rlike(_unicode(p)).alias(f"p{i}") for i, p in enumerate(patterns)]
+    try:
+        spark.range(1).select(*tried).collect()
+    except PySparkException as problem:
+        if "PATTERN" not in (problem.getCondition() or "").upper():
+            raise
+        half = len(patterns) // 2
+        return _compiled(spark, patterns[:half]) + _compiled(spark, patterns[half:]) if half else []
+    return patterns
 
 
 def _unicode(pattern: str) -> str:
@@ -36,11 +46,61 @@ def _unicode(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+_LITERAL = 3
+_SIMPLE_ESCAPES = "wWdDsSbBAzZ"
+
+
+def required_literal(pattern: str) -> str | None:
+    """The longest text that every match of a simple pattern holds; nothing if it is shorter than
+    ``_LITERAL`` characters, or if the pattern has groups, alternatives or anything unusual."""
+    if any(sign in pattern for sign in ("|", "(", ")", "&&")):
+        return None
+    best = run = ""
+    at = 0
+    while at < len(pattern):
+        sign, literal, end = pattern[at], "", at + 1
+        if sign == "\\":
+            literal, end = pattern[at + 1 : at + 2], at + 2
+            if literal.isalnum() and literal not in _SIMPLE_ESCAPES:
+                return None
+            literal = "" if literal.isalnum() else literal
+        elif sign == "[":
+            inside = re.match(r"\[\^?(?:[^\[\]\\]|\\[^pPQ])+\]", pattern[at:])
+            if not inside:
+                return None
+            end = at + inside.end()
+        elif sign not in ".^$":
+            literal = sign
+        how_often = re.match(r"(?:[*?]|\{[^}]*\}|\+)[?+]?", pattern[end:])
+        often = how_often.group() if how_often else ""
+        # What need not occur, or may occur more than once, ends a run.
+        run = run + literal if literal and not often.startswith(("*", "?", "{")) else ""
+        best = max(best, run, key=len)
+        if often or not literal:
+            run = ""
+        at = end + len(often)
+    return best if len(best) >= _LITERAL else None
+
+
 def is_ignored(word: Column, patterns: Sequence[str] = DEFAULT_IGNORE) -> Column:
-    """One-byte words, numbers and words in which a pattern is found."""
+    """One-byte words, numbers and words in which a pattern is found.
+
+    Patterns that need a literal text are tried only on words that have three characters of it,
+    which is one look-up for each place of a word, however many patterns there are.
+    """
     ignored = (F.octet_length(word) <= 1) | word.rlike(r"^\p{N}+$")
+    literals = {p: required_literal(p) for p in patterns if p not in DEFAULT_IGNORE}
     for pattern in patterns:
-        ignored = ignored | word.rlike(_unicode(pattern))
+        if literals.get(pattern) is None:
+            ignored = ignored | word.rlike(_unicode(pattern))
+    some = [p for p, literal in literals.items() if literal]
+    if some:
+        starts = sorted({literals[p][:_LITERAL] for p in some})
+        places = F.sequence(F.lit(1), F.char_length(word) - (_LITERAL - 1))
+        has_start = F.exists(places, lambda i: F.substring(word, i, F.lit(_LITERAL)).isin(*starts))
+        long_enough = F.char_length(word) >= _LITERAL
+        any_of = word.rlike("(?U)" + "|".join(f"(?:{p})" for p in some))
+        ignored = ignored | F.when(long_enough, F.when(has_start, any_of)).eqNullSafe(True)
     return ignored
 
 

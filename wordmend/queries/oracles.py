@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from wordmend.functions.patterns import BUILTIN_ENGLISH
+from wordmend.functions.patterns import BUILTIN_ENGLISH, COMMON_TYPOS
+from wordmend.functions.patterns import EMAIL as _EMAIL
+from wordmend.functions.patterns import URL as _URL
 from wordmend.queries.tables import EXTENSIONS
 
 _PART = r"[\p{L}''][\p{Ll}\p{Lt}\p{Lm}\p{Lo}'']*"
 _MARKDOWN = r"[\p{L}''\-]+"
 _LETTERS = r"\p{L}+"
-_URL = r"https?://\S+"
-_EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+_TYPED, _MEANT = ("".join(side) for side in zip(*COMMON_TYPOS, strict=True))
 
 # levenshtein() of DuckDB counts bytes. Letters of two bytes are written as one byte that
 # does not occur in words, which makes byte and character distance equal.
@@ -104,13 +105,13 @@ def _unknown(name: str, tokens: str, *lists: str) -> str:
 _CHECKED = f"{_DICTIONARY},{_DOCS},{_unknown('bad', 'docs', 'dictionary')}"
 _ASKED = f"{_CHECKED},\nasked AS (SELECT DISTINCT lower(word) AS word FROM bad)"
 
-_VARIANTS = """
+_VARIANTS = f"""
   list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))
   || list_transform(range(1, length(word)), lambda i: substr(word, 1, i - 1)
        || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2))
   || list_transform(
-       list_filter(range(1, length(word) + 1), lambda i: contains('aeiobcfgmst', substr(word, i, 1))),
-       lambda i: substr(word, 1, i - 1) || translate(substr(word, i, 1), 'aeiobcfgmst', 'eiouvkvjnzd')
+       list_filter(range(1, length(word) + 1), lambda i: contains('{_TYPED}', substr(word, i, 1))),
+       lambda i: substr(word, 1, i - 1) || translate(substr(word, i, 1), '{_TYPED}', '{_MEANT}')
          || substr(word, i + 1))"""
 
 
