@@ -116,3 +116,23 @@ def test_nothing_labelled(spark, empty, odd):
     model = language.fit(empty)
     assert {r.lang_pred for r in language.predict(odd, model).collect()} == {"und"}
     assert language.predict(empty, model).count() == 0
+
+
+def test_many_languages_share_a_bounded_sample(spark):
+    """Sixty languages of the same letters: the automata together stay within the given letters."""
+    languages = [f"l{i:02}" for i in range(60)]
+    rows = []
+    for name in languages:
+        draw = random.Random(name)
+        syllables = ["".join(draw.choices("abcdefgh", k=draw.choice((2, 3)))) for _ in range(9)]
+        for _ in range(14):
+            text = " ".join("".join(draw.choices(syllables, k=draw.choice((1, 2)))) for _ in range(60))
+            rows.append((len(rows), text, name))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    known, asked = frame.where("doc_id % 7 <> 3"), frame.where("doc_id % 7 = 3")
+    model = language.fit(known, letters_per_document=200, letters=120_000)
+    assert model.languages == languages
+    sizes = [2 ** cost - 1 for cost in model.costs]
+    assert sum(sizes) <= 120_000 + 60 * 20 and max(sizes) <= 10 * 201
+    found = language.predict(asked, model).collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found)

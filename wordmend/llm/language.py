@@ -4,12 +4,13 @@ A suffix automaton of labelled text is built for every language. A text is parse
 right into the longest pieces that occur in a language's text; the language that needs the fewest
 pieces, each weighed by the logarithm of the length of its text, wins. The labelled text is a
 sample of bounded size (``documents_per_language`` documents, ``letters_per_document`` letters of
-each); every whole text is parsed.
+each, ``letters`` for all languages together); every whole text is parsed. The automaton of a language
+is built in a task of its own; the driver gets the transitions only.
 
 Every letter of the samples has a symbol. The automata are flat transition tables over the symbols of
 their own language, or sorted transitions if these are more than ``SYMBOLS``, and many stretches of text step through them together in
 numpy. Texts are cut into stretches of ``_STRETCH`` letters, so the time does not depend on the
-longest text; a cut adds at most one piece, the same for every language.
+longest text; a cut adds at most one piece to the parse of a language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every
 text if there is no labelled text; equal results go to the first language by code point;
@@ -31,10 +32,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmend.llm.columns import numbered, restored
+from wordmend.runtime import stage
 
 UNKNOWN = "und"
 DOCUMENTS_PER_LANGUAGE = 300
 LETTERS_PER_DOCUMENT = 1000
+LETTERS = 2_000_000  # of all languages together: bounds the model with any number of languages
 SYMBOLS = 62
 
 _STRETCH = 256
@@ -80,8 +83,13 @@ class SuffixAutomaton:
 
     def edges(self) -> np.ndarray:
         """``(state, symbol, next state)`` of every transition."""
-        return np.array(
-            [(state, symbol, to) for state, row in enumerate(self.next) for symbol, to in row.items()],
+        return np.fromiter(
+            (
+                number
+                for state, row in enumerate(self.next)
+                for symbol, to in row.items()
+                for number in (state, symbol, to)
+            ),
             np.int32,
         ).reshape(-1, 3)
 
@@ -158,48 +166,79 @@ def fit(
     lang: str = "lang",
     documents_per_language: int = DOCUMENTS_PER_LANGUAGE,
     letters_per_document: int = LETTERS_PER_DOCUMENT,
+    letters: int = LETTERS,
 ) -> Model:
     """Automata from a sample of ``labelled``: per language, the documents that are first by a
-    hash of their text."""
+    hash of their text, and fewer of them if all languages together had more than ``letters``."""
     known = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
-        F.col(lang).alias("lang"), F.substring(text, 1, 2 * letters_per_document).alias("text")
+        F.col(lang).cast("string").alias("lang"), F.substring(text, 1, 2 * letters_per_document).alias("text")
     )
     order = F.xxhash64("text")
     # Copies have one hash and fall together, so different texts are counted, about. A share of twice
     # the sample of them first, so that the ranking is over few rows of any language. There is one
     # count for each language: it is broadcast, and no text is shuffled by language.
     counts = known.groupBy("lang").agg(F.approx_count_distinct(order, 0.02).alias("n"))
-    share = F.pmod(order, F.lit(1 << 20)) <= F.lit(2.0 * documents_per_language * (1 << 20)) / F.col("n")
-    few = known.join(F.broadcast(counts), "lang").where(share | (F.col("n") <= 2 * documents_per_language))
+    counts = stage(counts, "language-counts")
+    most = letters // (letters_per_document * max(1, counts.count()))
+    taken = max(1, min(documents_per_language, most))
+    share = F.pmod(order, F.lit(1 << 20)) <= F.lit(2.0 * taken * (1 << 20)) / F.col("n")
+    few = known.join(F.broadcast(counts), "lang").where(share | (F.col("n") <= 2 * taken))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
     sample = (
-        few.select("lang", "text")
-        .distinct()
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= documents_per_language)
-        .toPandas()
+        few.select("lang", "text").distinct().withColumn("rank", rank).where(F.col("rank") <= taken)
     )
-    texts: dict[str, str] = {}
-    for language, rows in sample.sort_values(["lang", "rank"]).groupby("lang"):
-        letters = _letters_only(pa.array(rows["text"], pa.string())).to_pylist()
-        joined = " ".join(part[:letters_per_document] for part in letters if part.strip())
-        if joined:
-            texts[str(language)] = joined
-    used = "".join(texts.values())
-    counted = Counter(used)
-    common = sorted(set(used) - {" "}, key=lambda c: (-counted[c], c))
-    code = {letter: symbol for symbol, letter in enumerate(common, 2)} | {" ": _GAP}
-    languages = sorted(texts)
-    built = [SuffixAutomaton([code[c] for c in texts[name]]) for name in languages]
+    built = sample.groupBy("lang").applyInArrow(_build(letters_per_document), _BUILT).collect()
+    built = sorted(built, key=lambda row: row.lang)
+    counted: Counter[str] = Counter()
+    for row in built:
+        counted.update(dict(zip(row.letters, row.counts, strict=True)))
+    common = sorted(counted, key=lambda c: (-counted[c], c))
+    code = {letter: symbol for symbol, letter in enumerate(common, 2)}
+    edges = []
+    for row in built:
+        symbols = np.array([_GAP, _OTHER, *(code[c] for c in row.letters)], np.int32)
+        own = np.frombuffer(row.edges, np.int32).reshape(-1, 3).copy()
+        own[:, 1] = symbols[own[:, 1]]
+        edges.append(own)
     return Model(
         "".join(common),
-        languages,
-        [automaton.edges() for automaton in built],
-        [len(automaton.next) for automaton in built],
-        [float(np.log2(len(texts[name]) + 1)) for name in languages],
+        [row.lang for row in built],
+        edges,
+        [row.states for row in built],
+        [float(np.log2(row.length + 1)) for row in built],
     )
 
 
+_BUILT = (
+    "lang string, letters string, counts array<bigint>, edges binary, states bigint, length bigint"
+)
+
+
+def _build(letters_per_document: int):
+    """The automaton of one language, as edges over symbols of its own letters from 2 on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("rank")
+        texts = _letters_only(rows.column("text").combine_chunks()).to_pylist()
+        joined = " ".join(text[:letters_per_document] for text in texts if text.strip())
+        counted = Counter(joined)
+        own = sorted(set(joined) - {" "})
+        code = {letter: symbol for symbol, letter in enumerate(own, 2)} | {" ": _GAP}
+        automaton = SuffixAutomaton([code[c] for c in joined])
+        found = {
+            "lang": pa.array([str(rows.column("lang")[0].as_py())], pa.string()),
+            "letters": pa.array(["".join(own)], pa.string()),
+            "counts": pa.array([[counted[c] for c in own]], pa.list_(pa.int64())),
+            "edges": pa.array([automaton.edges().tobytes()], pa.binary()),
+            "states": pa.array([len(automaton.next)], pa.int64()),
+            "length": pa.array([len(joined)], pa.int64()),
+        }
+        whole = pa.table(found)
+        return whole if joined else whole.slice(0, 0)
+
+    return run
+
+
 def costs(model: Model, tables: list[Table], column: pa.Array) -> np.ndarray:
     """Bits per letter of every text in every language; not a number if it has no letter."""
     symbols, offsets = model.symbols(column)
