@@ -270,9 +270,9 @@ def nested_comment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(
             F.lit("fn code() {}\n/* outer /* "),
             F.col("text"),
-            F.lit('\n */ last */ code();\nlet s = r##"'),
+            F.lit('\n */ last */ code();\nlet s = r#####"'),
             F.col("text"),
-            F.lit('\n"# "##; code(); // end'),
+            F.lit('\n"# "#####; code(); // end'),
         ).alias("text"),
         F.lit("x.rs").alias("path"),
     )
