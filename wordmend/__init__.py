@@ -14,6 +14,7 @@ from wordmend.plans.report import (
     write_flat_report,
     write_json_report,
 )
+from wordmend.plans.watch import check_new_files, checked_files
 from wordmend.sources.dictionaries import (
     build_dictionary,
     describe_dictionary,
@@ -23,7 +24,7 @@ from wordmend.sources.dictionaries import (
     load_word_table,
     update_dictionaries,
 )
-from wordmend.sources.documents import read_documents
+from wordmend.sources.documents import read_documents, read_lines
 from wordmend.sources.wordlists import builtin_words, read_personal_words, read_word_list
 
 __all__ = [
@@ -35,6 +36,8 @@ __all__ = [
     "build_dictionary",
     "builtin_words",
     "check",
+    "check_new_files",
+    "checked_files",
     "describe_dictionary",
     "dictionary_catalog",
     "find",
@@ -47,6 +50,7 @@ __all__ = [
     "misspellings_per_document",
     "new_personal_words",
     "read_documents",
+    "read_lines",
     "read_personal_words",
     "read_word_list",
     "review_list",

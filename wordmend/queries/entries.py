@@ -50,6 +50,7 @@ from wordmend.plans.report import (
     write_flat_report,
     write_json_report,
 )
+from wordmend.plans.watch import check_new_files, checked_files
 from wordmend.queries.tables import (
     DOC,
     TURN,
@@ -129,6 +130,20 @@ def files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def watched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files checked as they arrive: those of the first half, then the others and copies of the first."""
+    folder, out = _folder(spark, "arriving"), _folder(spark, "watched")
+    rows = read(spark, sf_dir, "benchmark").select(F.col("text").alias("value"), "item_id")
+    late = F.col("item_id") % 2 == 1
+    for part, some in (("first", rows.where(~late)), ("second", rows)):
+        some.write.partitionBy("item_id").text(f"{folder}/{part}")
+        check_new_files(spark, f"{folder}/*/*", out, builtin_words(spark)).awaitTermination()
+    found = checked_files(spark, out)
+    item = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint")
+    return found.groupBy(item.alias("item_id"), "word").agg(F.count("*").alias("n"))
+
+
 @query
 def large_file_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a few large files, read in blocks: words with their places in the files."""

@@ -38,6 +38,12 @@ def read_documents(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame
     return files.select(_decoded("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def files_as_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder as a stream of ``documents(path, text)``, each read once."""
+    files = spark.readStream.schema("value string").text(folder, wholetext=True)
+    return files.select(_decoded("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def _decoded(path: str) -> Column:
     """A path that is given as a URI, in which a plus sign stands for itself."""
     return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
