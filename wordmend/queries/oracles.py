@@ -357,7 +357,8 @@ SELECT doc_id, word, count(*) AS n FROM words WHERE regexp_matches(word, '\p{{L}
     out["watched_files"] = f"""
 WITH {_tokens('bench', 'benchmark', 'item_id')},builtin AS (SELECT word FROM {_BUILTIN})
 SELECT item_id, word, count(*) * CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM bench
-WHERE lower(word) NOT IN (SELECT word FROM builtin) AND NOT {_ignored('word')} GROUP BY ALL"""
+WHERE lower(word) NOT IN (SELECT word FROM builtin) AND NOT {_ignored('word')}
+GROUP BY item_id, word"""
     out["large_file_words"] = f"""
 WITH files AS (
   SELECT doc_id % 4 AS part, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text
