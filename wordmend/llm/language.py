@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmend.llm.columns import numbered, restored
+from wordmend.llm.held import held
 from wordmend.runtime import stage
 
 UNKNOWN = "und"
@@ -269,9 +270,6 @@ def costs(model: Model, tables: list[Table], column: pa.Array) -> np.ndarray:
     return bits
 
 
-_tables: dict[str, list[Table]] = {}
-
-
 def predict(
     documents: DataFrame, model: Model, text: str = "text", keep_text: bool = True
 ) -> DataFrame:
@@ -286,15 +284,13 @@ def predict(
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = sent.value
-        if name not in _tables:
-            _tables.clear()
-            _tables[name] = learned.tables()
+        tables = held(f"language-{name}", learned.tables)
         for whole in batches:
             for batch in _small(whole):
                 column = batch.column(len(kept))
                 found, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
                 if learned.languages:
-                    bits = costs(learned, _tables[name], column)
+                    bits = costs(learned, tables, column)
                     for row in np.flatnonzero(~np.isnan(bits[:, 0])):
                         order = np.argsort(bits[row], kind="stable")
                         found[row] = learned.languages[order[0]]

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordmend.llm.held import held
 from wordmend.llm.ranks import ranked
 from wordmend.llm.words import BLANKS, cuts, hashed, mixed, slices, texts
 from wordmend.runtime import stage
@@ -173,9 +174,6 @@ class Encoder:
         return self._flat[place].astype("<u4"), first
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def pieces(
     documents: DataFrame,
     key: str = "doc_id",
@@ -197,7 +195,7 @@ def pieces(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary_path(vocabulary)
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        encoder = held(f"packing-{path}", lambda: Encoder(path))
         last, width = np.array([end], "<u4").tobytes(), 4 * sequence
         for batch in slices(batches):
             rows, out = [], []
