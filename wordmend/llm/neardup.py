@@ -245,7 +245,8 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
     numbered = salted_join(pairs, counted, ["pivot"], "_n", [F.col("node")]).select(
         "pivot", "node", F.ceil(F.col("_n") / _PART).cast("int").alias("_parts")
     )
-    numbered = numbered.withColumn("part", part).drop("_parts")
+    # Read by each of the next steps; otherwise the pairs would be joined again for every one.
+    numbered = stage(numbered.withColumn("part", part).drop("_parts"), "numbered-pairs")
     own = numbered.select("pivot", "part").distinct().withColumn("node", F.col("pivot"))
     needed = numbered.withColumn("own", F.lit(1)).unionByName(own.withColumn("own", F.lit(0)))
     uses = needed.groupBy("node").agg(F.count("*").alias("_n"))
