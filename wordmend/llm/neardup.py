@@ -1,9 +1,10 @@
 """Near-duplicate documents: consistent weighted sampling of TF-IDF shingles, banded, verified.
 
 A text is a weighted set of shingles (five words). The weight is ``(1 + ln tf) * ln(1 + idf)`` with
-``idf = min(documents / document frequency, IDF_CAP)``: the low cap makes shingles that a large
-share of all documents have weigh less, but keeps the few edits of a large family of copies from
-outweighing what its members share. Improved consistent weighted sampling draws ``BANDS * ROWS``
+``idf = min(documents / document frequency, IDF_CAP)``. Frequencies are exact for all shingles in
+more than one in ``IDF_CAP`` documents; rarer ones, which are most, weigh the same, so that the table
+of frequencies does not grow with the number of documents. In a large family of copies the edits weigh
+more than what its members share. Improved consistent weighted sampling draws ``BANDS * ROWS``
 samples of a text; two texts agree on a sample with the probability of their weighted Jaccard
 similarity. Texts that agree on all samples of a band are candidates, and candidates are linked if
 their weighted Jaccard similarity, computed from the whole texts, is at least ``THRESHOLD``.
@@ -39,8 +40,10 @@ from wordmend.runtime import salted_join, shuffle_tasks, stage, two_sided_join
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 15, 5
-IDF_CAP = 4.0
-_FILTER = 1 << 15  # cells of the frequency filter; a cell's even load is far below 1 / IDF_CAP
+IDF_CAP = 256.0
+_LETTERS = 6  # bytes of a word, about
+_FILTERS = 1 << 12, 1 << 22  # least and most cells of the frequency filter
+_CELLS = 1 << 12  # cells that are summed together
 _SAMPLES = BANDS * ROWS
 _BLOCK = 1 << 15  # values worked on at a time
 _TABLE = 1 << 16
@@ -53,27 +56,55 @@ def _distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(found, SHINGLE), return_counts=True)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(_FILTER, np.int64)
-    for batch in slices(batches):
-        found = words(batch.column("text"))
-        for row in range(len(batch)):
-            counts += np.bincount(_distinct(found.of(row))[0] % _FILTER, minlength=_FILTER)
-    cells = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
+def _cells(cells: int):
+    """How many texts have shingles of each cell, in blocks of cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(cells, np.int32)
+        for batch in slices(batches):
+            found = words(batch.column("text"))
+            for row in range(len(batch)):
+                np.add.at(counts, (_distinct(found.of(row))[0] % cells).astype(np.int64), 1)
+        blocks = counts.reshape(-1, _CELLS)
+        used = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array([blocks[i].tobytes() for i in used], pa.binary())],
+            names=["block", "counts"],
+        )
+
+    return run
+
+
+def _frequent(limit: float):
+    """The cells of a block that more than ``limit`` texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first = np.zeros(_CELLS, np.int64), 0
+        for batch in batches:
+            first = batch.column("block")[0].as_py() * _CELLS if len(batch) else first
+            for counts in batch.column("counts"):
+                total += np.frombuffer(counts.as_buffer(), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(first + np.flatnonzero(total > limit))], names=["cell"])
+
+    return run
 
 
-def common_shingles(texts: DataFrame, documents: int) -> dict[int, int]:
-    """Document frequency of the shingles in more than ``documents / IDF_CAP`` documents.
+def common_shingles(texts: DataFrame, documents: int, size: int) -> dict[int, int]:
+    """Document frequency of the shingles in more than ``documents / IDF_CAP`` documents, and in
+    more than one; ``size`` is the bytes of a text, on the average.
 
-    All shingles are counted, in two passes: first by a hash into few cells, then those of cells
-    that reach the limit exactly. There are at most ``IDF_CAP`` times as many such shingles as a
-    document has on average, at any number of documents.
+    All shingles are counted, in two passes: first by a hash into cells, several times as many as
+    such shingles can be, then those of cells that reach the limit exactly. There are at most
+    ``IDF_CAP`` times as many such shingles as a document has on average, at any number of documents.
     """
-    limit = documents / IDF_CAP
-    cells = texts.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    kept = np.zeros(_FILTER, bool)
-    kept[[row.cell for row in cells.where(F.col("n") > limit).collect()]] = True
+    limit = max(1.0, documents / IDF_CAP)
+    wanted = 4 * size / _LETTERS * min(IDF_CAP, documents)
+    least, most = _FILTERS
+    cells = int(min(most, max(least, 2 ** np.ceil(np.log2(max(1.0, wanted))))))
+    blocks = texts.mapInArrow(_cells(cells), "block long, counts binary").groupBy("block")
+    frequent = blocks.applyInArrow(_frequent(limit), "cell long").toArrow()
+    kept = np.zeros(cells, bool)
+    kept[frequent.column("cell").to_numpy()] = True
     if not kept.any():
         return {}
 
@@ -81,14 +112,15 @@ def common_shingles(texts: DataFrame, documents: int) -> dict[int, int]:
         for batch in slices(batches):
             found = words(batch.column("text"))
             parts = [_distinct(found.of(row))[0] for row in range(len(batch))]
-            parts = [part[kept[part % _FILTER]] for part in parts] or [np.zeros(0, np.uint64)]
+            parts = [part[kept[part % cells]] for part in parts] or [np.zeros(0, np.uint64)]
             values, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values.view(np.int64)), pa.array(n)], names=["shingle", "n"]
             )
 
     exact = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return {row.shingle: row.n for row in exact.where(F.col("n") > limit).collect()}
+    found = exact.where(F.col("n") > limit).toArrow()
+    return dict(zip(found.column("shingle").to_pylist(), found.column("n").to_pylist(), strict=True))
 
 
 class Weights:
@@ -121,8 +153,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def corpus_weights(texts: DataFrame) -> Weights:
     texts = texts.select("text")
-    documents = texts.count()
-    return Weights(documents, common_shingles(texts, documents))
+    documents, size = texts.agg(F.count("*"), F.coalesce(F.avg(F.octet_length("text")), F.lit(0.0))).first()
+    return Weights(documents, common_shingles(texts, documents, size))
 
 
 # --- samples ---------------------------------------------------------------------------
