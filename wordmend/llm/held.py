@@ -19,3 +19,8 @@ def held(name: str, make: Callable[[], _Kept]) -> _Kept:
         _held.clear()
         _held[name] = make()
     return _held[name]
+
+
+def forget() -> None:
+    """Called by tasks of steps without a model: a worker that served a step with one lets it go."""
+    _held.clear()

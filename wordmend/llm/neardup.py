@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordmend.llm.columns import numbered, restored
+from wordmend.llm.held import forget
 from wordmend.llm.words import mixed, shingles, slices, words
 from wordmend.runtime import salted_join, shuffle_tasks, stage, two_sided_join
 
@@ -60,6 +61,7 @@ def _cells(cells: int):
     """How many texts have shingles of each cell, in blocks of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts = np.zeros(cells, np.int32)
         for batch in slices(batches):
             found = words(batch.column("text"))
@@ -204,6 +206,7 @@ def samples(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _signatures(weights: Weights):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         base = np.uint64(0x9E3779B97F4A7C15)
         for batch in slices(batches):
             found = words(batch.column("text"))

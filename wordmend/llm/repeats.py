@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordmend.llm.columns import numbered, restored
+from wordmend.llm.held import forget
 from wordmend.llm.words import Words, mixed, slices, words
 
 MIN_WORDS = 26
@@ -114,6 +115,7 @@ def spans(found: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
 
 def _spans_of(min_words: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             rank = np.empty(len(whole), np.int64)
             keys = pc.rank(whole.column("key"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense")
@@ -163,6 +165,7 @@ def _spans_of(min_words: int):
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by hash and place; all but the first place of a hash are repeats."""
+    forget()
     carried_hash = carried_place = None  # the last hash of the batch before, and its first place
     for batch in batches:
         later = batch.column("later").to_numpy(zero_copy_only=False).copy()
@@ -224,6 +227,7 @@ def repeated_spans(
 
 def _cut(schema: T.StructType, text: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts, gone, counts = [], [], []
             values = batch.column(text).cast(pa.binary())
