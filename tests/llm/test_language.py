@@ -136,3 +136,23 @@ def test_many_languages_share_a_bounded_sample(spark):
     assert sum(sizes) <= 120_000 + 60 * 20 and max(sizes) <= 10 * 201
     found = language.predict(asked, model).collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found)
+
+
+def test_tables_take_the_room_of_their_transitions():
+    """Whatever the number of symbols; a column for each would be 4 * 53 bytes a state."""
+    draw = random.Random(5)
+    letters = "".join(chr(97 + i) for i in range(26)) + "".join(chr(0x3B1 + i) for i in range(25))
+    code = {c: i for i, c in enumerate(letters, 2)} | {" ": 0}
+    automaton = language.SuffixAutomaton([code[c] for c in letters + "".join(draw.choices(letters, k=20_000))])
+    one = language.Model(letters, ["x"], [automaton.edges()], [len(automaton.next)], [1.0])
+    (table,) = one.tables()
+    size = sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray))
+    assert size <= 16 * (len(automaton.next) + len(one.edges[0]))
+    # The same transitions as the automaton's, and from the root without one.
+    for state in draw.sample(range(len(automaton.next)), 500):
+        for symbol in (0, 1, *range(2, len(letters) + 2)):
+            row = automaton.next[state]
+            begun = state == 0 or symbol not in row
+            to = (automaton.next[0] if begun else row).get(symbol, 0)
+            found = table.after(np.array([state]), table.own[[symbol]])[0]
+            assert (found >> 2, found & 3) == (to, begun)

@@ -7,10 +7,11 @@ sample of bounded size (``documents_per_language`` documents, ``letters_per_docu
 each, ``letters`` for all languages together); every whole text is parsed. The automaton of a language
 is built in a task of its own; the driver gets the transitions only.
 
-Every letter of the samples has a symbol. The automata are flat transition tables over the symbols of
-their own language, or sorted transitions if these are more than ``SYMBOLS``, and many stretches of text step through them together in
-numpy. Texts are cut into stretches of ``_STRETCH`` letters, so the time does not depend on the
-longest text; a cut adds at most one piece to the parse of a language.
+Every letter of the samples has a symbol. An automaton is a row of its transitions, found by a set of
+symbols of each state, or by bisection if a language has more than ``SYMBOLS``; its size is that
+of the transitions. Many stretches of text step through it together in numpy. Texts are cut into
+stretches of ``_STRETCH`` letters, so the time does not depend on the longest text; a cut adds at
+most one piece to the parse of a language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every
 text if there is no labelled text; equal results go to the first language by code point;
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmend.llm.columns import numbered, restored
-from wordmend.llm.held import held
+from wordmend.llm.held import forget, held
 from wordmend.runtime import stage
 
 UNKNOWN = "und"
@@ -124,39 +125,52 @@ class Model:
 
 
 class Table:
-    """``4 * next state * width + pieces begun``, by state (times width) and symbol of a language.
+    """Transitions of a language: ``4 * next state + pieces begun`` by state and symbol.
 
-    Without a transition the next piece starts at the root with the same symbol; a symbol that the
-    language never has (0 in ``own``) is a piece of its own.
+    Nearly all states have one or two transitions, so only those that exist take room: they stand in a
+    row by state and symbol. A state has the place of its first one and a set of its symbols as bits;
+    how many smaller symbols are in the set gives the place. More symbols than a set has bits are
+    looked up by bisection. Without a transition the next piece starts at the root with the same
+    symbol; a symbol that the language never has (0 in ``own``) is a piece of its own.
     """
 
     def __init__(self, edges: np.ndarray, states: int, symbols: int) -> None:
         used = np.unique(edges[:, 1])
-        width = len(used) + 1
-        dense = len(used) <= SYMBOLS + 1
-        self.own = np.zeros(symbols, np.uint8 if dense else np.int32)
-        self.own[used] = np.arange(1, width)
-        self.dtype = np.int32 if states * width * 4 < 1 << 31 else np.int64
-        symbol = self.own[edges[:, 1]].astype(np.int64)
-        to = edges[:, 2].astype(np.int64) * width * 4
+        self.width = len(used) + 1
+        few = len(used) <= SYMBOLS + 1
+        self.own = np.zeros(symbols, np.uint8 if few else np.int32)
+        self.own[used] = np.arange(1, self.width)
+        self.dtype = np.int32 if states * 4 < 1 << 31 else np.int64
         from_root = edges[:, 0] == 0
-        self.root = np.ones(width, self.dtype)
-        self.root[symbol[from_root]] = to[from_root] + 1
-        at = edges[~from_root, 0].astype(np.int64) * width + symbol[~from_root]
-        to = to[~from_root].astype(self.dtype)
-        self.cells = self.keys = None
-        if dense:
-            self.cells = np.tile(self.root, states)
-            self.cells[at] = to
+        self.root = np.ones(self.width, self.dtype)
+        self.root[self.own[edges[from_root, 1]]] = edges[from_root, 2].astype(self.dtype) * 4 + 1
+        others = edges[~from_root]
+        at = others[:, 0].astype(np.int64) * self.width + self.own[others[:, 1]]
+        order = np.argsort(at)
+        self.to = np.append(others[order, 2].astype(self.dtype) * 4, self.dtype(0))
+        self.sets = self.keys = None
+        if few:
+            state, symbol = np.divmod(at[order], self.width)
+            count = np.bincount(state, minlength=states)
+            self.first = (np.cumsum(count) - count).astype(self.dtype)
+            self.sets = np.zeros(states, np.uint64)
+            some = np.flatnonzero(count)
+            if len(some):
+                bits = np.uint64(1) << symbol.astype(np.uint64)
+                self.sets[some] = np.bitwise_or.reduceat(bits, self.first[some])
+            self.bit = np.uint64(1) << np.arange(self.width, dtype=np.uint64)
         else:
-            order = np.argsort(at)
             self.keys = np.append(at[order], -1)
-            self.to = np.append(to[order], 0)
 
     def after(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         if self.keys is None:
-            return self.cells[state + symbol]
-        key = state.astype(np.int64) + symbol
+            found, bit = self.sets.take(state), self.bit.take(symbol)
+            place = np.bitwise_count(found & (bit - np.uint64(1))) + self.first.take(state)
+            value = self.to.take(place)
+            none = np.flatnonzero(found & bit == 0)
+            value[none] = self.root.take(symbol.take(none))
+            return value
+        key = state * self.width + symbol
         place = np.searchsorted(self.keys[:-1], key)
         return np.where(self.keys[place] == key, self.to[place], self.root[symbol])
 
@@ -219,6 +233,7 @@ def _build(letters_per_document: int):
     """The automaton of one language, as edges over symbols of its own letters from 2 on."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         rows = table.sort_by("rank")
         texts = _letters_only(rows.column("text").combine_chunks()).to_pylist()
         joined = " ".join(text[:letters_per_document] for text in texts if text.strip())
@@ -258,11 +273,11 @@ def costs(model: Model, tables: list[Table], column: pa.Array) -> np.ndarray:
     seen = lengths > 0
     for k, table in enumerate(tables):
         own = table.own[symbols]
-        state = np.zeros(len(owner), table.dtype)
+        state = np.zeros(len(owner), np.int64)
         pieces = np.zeros(len(owner), np.int32)
         for step in range(steps):
             n = alive[step]
-            value = table.after(state[:n], own[begin[:n] + step])
+            value = table.after(state[:n], own.take(begin[:n] + step))
             pieces[:n] += value & 3
             state[:n] = value >> 2
         total = np.bincount(owner, pieces, len(lengths))
