@@ -1,5 +1,7 @@
 """Near-duplicate vectors against all pairs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -117,3 +119,28 @@ def test_double_precision_and_empty_table(spark):
     got = forest.near_vectors(spark.createDataFrame(rows, schema)).collect()
     assert [(r.n_links, r.component_id) for r in got] == [(1, 1), (1, 1)]
     assert forest.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lists_of_any_width_are_compared_in_little_memory():
+    """The lists of two rows may be long, and a leaf may hold very many pairs."""
+    rng = np.random.default_rng(2)
+    table = np.sort(rng.integers(0, 10_000, (300, 60)), 1)
+    a, b = rng.integers(0, 300, (2, 20_000))
+    tracemalloc.start()
+    got = forest._first_common(forest._listed(table), a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    for i in range(0, 20_000, 100):
+        both = set(table[a[i]].tolist()) & set(table[b[i]].tolist())
+        assert got[i] == min(both, default=forest._NONE)
+
+
+def test_units_are_made_when_asked_for():
+    """A part holds its vectors once, as they are stored, and has the same links as of all units."""
+    rng = np.random.default_rng(6)
+    vectors = clustered(rng, 3000)
+    weights, homes = rng.integers(1, 4, 3000), np.zeros((3000, 1), np.int64)
+    want = forest.links_of_part(forest._units(vectors.astype(float)), weights, homes, 0, 0.93, 5)
+    got = forest.links_of_part(forest.Vectors(vectors), weights, homes, 0, 0.93, 5)
+    assert all((x == y).all() for x, y in zip(got, want, strict=True)) and got[0].any()

@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,9 @@ _MISSED = 0.01  # chance that all trees part it
 _DENSE, _TRIALS = 0.1, 256
 _BLOCK = 1024
 _PAIRS = 1 << 18
+_CELLS = 1 << 18  # memberships compared at once
+_ROWS = 8192  # vectors made units at once
+_NONE = np.iinfo(np.int64).max
 
 _FOUND = "kind int, a binary, b binary, n long"
 _COUNT, _LINK = 0, 1
@@ -60,6 +64,19 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
+class Vectors:
+    """Vectors as they are stored, whose unit rows in double precision are made when they are asked for."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.vectors, self.shape = vectors, vectors.shape
+
+    def __len__(self) -> int:
+        return len(self.vectors)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        return _units(self.vectors[rows].astype(float))
+
+
 def trees(levels: int) -> int:
     """How many trees of so many levels miss a pair at the threshold with ``_MISSED`` at most."""
     together = _KEPT**levels
@@ -78,24 +95,33 @@ def _sides(projected: np.ndarray, width: float) -> tuple[float, float]:
 
 
 def _dense(
-    units: np.ndarray, rows: np.ndarray, threshold: float, random: np.random.Generator
+    units: np.ndarray | Vectors, rows: np.ndarray, threshold: float, random: np.random.Generator
 ) -> bool:
     a, b = random.integers(0, len(rows), (2, _TRIALS))
     cosines = (units[rows[a]] * units[rows[b]]).sum(1)[a != b]
     return len(cosines) > 0 and (cosines >= threshold).mean() >= _DENSE
 
 
-def leaves(units: np.ndarray, threshold: float, random: np.random.Generator) -> list[np.ndarray]:
+def _projected(units: np.ndarray | Vectors, rows: np.ndarray, direction: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows))
+    for i in range(0, len(rows), _ROWS):
+        out[i : i + _ROWS] = units[rows[i : i + _ROWS]] @ direction
+    return out
+
+
+def leaves(
+    units: np.ndarray | Vectors, threshold: float, random: np.random.Generator
+) -> list[np.ndarray]:
     """The leaves of one random tree, as rows of ``units``."""
     width = margin(threshold, units.shape[1])
-    open_nodes, done = [np.arange(len(units))], []
+    open_nodes, done = [np.arange(len(units), dtype=np.int32)], []
     while open_nodes:
         rows = open_nodes.pop()
         if len(rows) <= LEAF or _dense(units, rows, threshold, random):
             done.append(rows)
             continue
         direction = random.standard_normal(units.shape[1])
-        projected = units[rows] @ (direction / np.linalg.norm(direction))
+        projected = _projected(units, rows, direction / np.linalg.norm(direction))
         low, high = _sides(projected, width)
         sides = rows[projected <= high], rows[projected > low]
         if max(map(len, sides)) == len(rows):
@@ -105,27 +131,51 @@ def leaves(units: np.ndarray, threshold: float, random: np.random.Generator) ->
     return done
 
 
-def _members(of: list[np.ndarray], size: int) -> np.ndarray:
-    """The numbers of the leaves that hold each row, ascending, filled up with -1."""
-    rows = np.concatenate(of)
-    numbers = np.repeat(np.arange(len(of)), [len(x) for x in of])
-    order = np.lexsort((numbers, rows))
-    rows, numbers = rows[order], numbers[order]
-    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    table = np.full((size, nth.max(initial=0) + 1), -1)
-    table[rows, nth] = numbers
-    return table
+class Lists(NamedTuple):
+    """Ascending numbers of each row, one row after the other."""
 
+    starts: np.ndarray
+    numbers: np.ndarray
 
-def _first_common(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least number that both rows of each pair hold."""
-    left, right = table[a][:, :, None], table[b][:, None, :]
-    shared = (left == right) & (left >= 0)
-    return np.where(shared, left, np.iinfo(np.int64).max).min((1, 2))
+
+def _members(of: list[np.ndarray], size: int) -> Lists:
+    """The numbers of the leaves that hold each row."""
+    rows = np.concatenate(of)
+    numbers = np.repeat(np.arange(len(of), dtype=np.int32), [len(x) for x in of])
+    starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=size))])
+    return Lists(starts, numbers[np.argsort(rows, kind="stable")])
+
+
+def _listed(table: np.ndarray) -> Lists:
+    """The rows of a table that is filled up with -1."""
+    held = table >= 0
+    return Lists(np.concatenate([[0], np.cumsum(held.sum(1))]), table[held])
+
+
+def _first_common(lists: Lists, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that both rows of each pair hold, or ``_NONE``."""
+    starts, numbers = lists
+    if len(numbers) == len(starts) - 1 and (np.diff(starts) == 1).all():
+        return np.where(numbers[a] == numbers[b], numbers[a], _NONE)
+    out = np.full(len(a), _NONE)
+    width = starts[b + 1] - starts[b]
+    cells = (starts[a + 1] - starts[a]) * width
+    ends = np.cumsum(cells)
+    first = 0
+    while first < len(a):
+        begun = ends[first] - cells[first]
+        last = max(first + 1, int(np.searchsorted(ends, begun + _CELLS, "right")))
+        pair = np.repeat(np.arange(first, last), cells[first:last])
+        cell = np.arange(len(pair)) + begun - (ends - cells)[pair]
+        left = numbers[starts[a[pair]] + cell // width[pair]]
+        same = left == numbers[starts[b[pair]] + cell % width[pair]]
+        np.minimum.at(out, pair[same], left[same])
+        first = last
+    return out
 
 
 def _pairs(
-    units: np.ndarray, rows: np.ndarray, threshold: float
+    units: np.ndarray | Vectors, rows: np.ndarray, threshold: float
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs within a leaf, block by block."""
     for i in range(0, len(rows), _BLOCK):
@@ -163,7 +213,12 @@ class Union:
 
 
 def links_of_part(
-    units: np.ndarray, weights: np.ndarray, homes: np.ndarray, home: int, threshold: float, seed: int
+    units: np.ndarray | Vectors,
+    weights: np.ndarray,
+    homes: np.ndarray | Lists,
+    home: int,
+    threshold: float,
+    seed: int,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weight of the links of each row that belong to this part, and the least row it is connected to.
 
@@ -172,22 +227,25 @@ def links_of_part(
     random = np.random.default_rng(seed)
     counts, union = np.zeros(len(units), np.int64), Union(len(units))
     levels = max(0, math.ceil(math.log2(max(1, len(units) / LEAF))))
-    forest: list[np.ndarray] = []
+    if not isinstance(homes, Lists):
+        homes = _listed(homes)
+    earlier: list[Lists] = []
     for _ in range(trees(levels)):
         grown = leaves(units, threshold, random)
-        first = len(forest)
-        forest += grown
-        table = _members(forest, len(units))
-        for number, rows in enumerate(grown, first):
+        own = _members(grown, len(units))
+        for number, rows in enumerate(grown):
             for a, b in _pairs(units, rows, threshold):
-                new = _first_common(table, a, b) == number
+                new = _first_common(own, a, b) == number
+                for lists in earlier:
+                    new[new] = _first_common(lists, a[new], b[new]) == _NONE
                 a, b = a[new], b[new]
                 union.join(a, b)
-                own = _first_common(homes, a, b) == home
-                np.add.at(counts, a[own], weights[b[own]])
-                np.add.at(counts, b[own], weights[a[own]])
+                here = _first_common(homes, a, b) == home
+                np.add.at(counts, a[here], weights[b[here]])
+                np.add.at(counts, b[here], weights[a[here]])
         if len(grown) == 1:
             break
+        earlier.append(own)
     return counts, union.roots()
 
 
@@ -228,11 +286,15 @@ def _prepare(wide: bool):
     return run
 
 
+def _stored(column: pa.Array, wide: bool) -> np.ndarray:
+    """Vectors of one length."""
+    kind = np.float64 if wide else np.float32
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
 def _matrix(column: pa.Array, wide: bool) -> np.ndarray:
     """Unit rows of vectors of one length."""
-    kind = np.float64 if wide else np.float32
-    data = b"".join(column.to_pylist())
-    return _units(np.frombuffer(data, kind).reshape(len(column), -1).astype(float))
+    return _units(_stored(column, wide).astype(float))
 
 
 def _directions(tree: int, levels: int, dimensions: int) -> np.ndarray:
@@ -306,20 +368,27 @@ def _route(cuts: dict[str, list[list[float]]], wide: bool):
 
 
 def _compare(wide: bool, threshold: float):
-    def part(rows: pa.Table, label: str, home: int) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
+    def part(held: list[pa.RecordBatch], label: str, home: int) -> Iterator[pa.RecordBatch]:
+        size = sum(map(len, held))
+        if size < 2:
             return
-        rows = rows.combine_chunks()
-        units = _matrix(rows.column("vector").chunk(0), wide)
-        listed = rows.column("homes").chunk(0)
-        sizes = pc.list_value_length(listed).to_numpy()
-        homes = np.full((len(rows), sizes.max()), -1)
-        homes[np.arange(homes.shape[1]) < sizes[:, None]] = listed.flatten().to_numpy()
-        seed = int.from_bytes(hashlib.blake2b(f"{label} {home}".encode(), digest_size=8).digest(), "big")
-        counts, roots = links_of_part(
-            units, rows.column("weight").to_numpy(), homes, home, threshold, seed
+        weights = np.concatenate([batch.column("weight").to_numpy() for batch in held])
+        nodes = pa.concat_arrays([batch.column("node") for batch in held])
+        sizes = [pc.list_value_length(batch.column("homes")).to_numpy() for batch in held]
+        homes = Lists(
+            np.concatenate([[0], np.cumsum(np.concatenate(sizes))]),
+            np.concatenate([batch.column("homes").flatten().to_numpy() for batch in held]),
         )
-        nodes = rows.column("node").chunk(0)
+        # A batch is let go as soon as its vectors are copied.
+        vectors, filled = None, 0
+        while held:
+            some = _stored(held.pop(0).column("vector"), wide)
+            if vectors is None:
+                vectors = np.empty((size, some.shape[1]), some.dtype)
+            vectors[filled : filled + len(some)] = some
+            filled += len(some)
+        seed = int.from_bytes(hashlib.blake2b(f"{label} {home}".encode(), digest_size=8).digest(), "big")
+        counts, roots = links_of_part(Vectors(vectors), weights, homes, home, threshold, seed)
         linked, joined = np.flatnonzero(counts), np.flatnonzero(roots != np.arange(len(roots)))
         none = pa.nulls(len(linked), pa.binary())
         kinds = np.repeat([_COUNT, _LINK], [len(linked), len(joined)]).astype(np.int32)
@@ -343,12 +412,12 @@ def _compare(wide: bool, threshold: float):
             edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for first, last in zip(edges, edges[1:], strict=False):
                 if now is not None and keys[first] != now:
-                    yield from part(pa.Table.from_batches(held), *now)
+                    yield from part(held, *now)
                     held = []
                 now = keys[first]
                 held.append(batch.slice(first, last - first))
         if held:
-            yield from part(pa.Table.from_batches(held), *now)
+            yield from part(held, *now)
 
     return run
 
