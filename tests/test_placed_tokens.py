@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wordmend import runtime
 from wordmend.plans.check import RANGE, check, placed_tokens
+from wordmend.plans.fix import _decided_by_document, apply_decisions, chosen, with_decisions
 from wordmend.plans.report import flat_report, flat_report_in_ranges, json_report
 
 
@@ -84,3 +85,31 @@ def test_ranges_of_keys(spark):
                 for r in sorted(parts, key=lambda r: r.p)]
         assert all(x[1] < y[0] for x, y in zip(held, held[1:]))
         assert placed.count() == 3000 and len(parts) >= 0.6 * tasks
+
+
+def test_decisions_by_document(spark, documents, words):
+    """Misspellings and decisions may repeat; keys and choices may be null."""
+    found = spark.createDataFrame(
+        [(1, 0, 3, "a", ["x", "y"]), (1, 0, 3, "b", ["z"]), (1, 4, 6, "c", []), (2, 0, 3, "d", ["u"]), (None, 0, 3, "e", ["v"])],
+        "id int, start int, end int, word string, suggestions array<string>",
+    )
+    decisions = spark.createDataFrame(
+        [(1, 0, 3, "replace", 1), (1, 0, 3, "replace", 2), (1, 4, 6, "replace", 1), (1, 0, 3, "skip", 1), (2, 0, 3, "add", 1),
+         (2, 0, 3, "replace", None), (2, 0, 3, "replace", 1), (3, 0, 3, "replace", 1), (None, 0, 3, "replace", 1)],
+        "id int, start long, end long, action string, choice int",
+    )
+    new = ["id", "start", "end", chosen().alias("new")]
+    want = with_decisions(found, decisions, ["id"]).select(*new).where("new IS NOT NULL")
+    got = _decided_by_document(found, decisions, ["id"]).select(*new).where("new IS NOT NULL")
+    assert table(got) == table(want) and got.count() == 4
+
+
+def test_a_review_shuffles_documents_only(documents, words):
+    dealt, found = placed_tokens(documents, ["id"], words("the cat"), context=False)
+    decisions = found.select("id", "start", "end", F.lit("replace").alias("action"), F.lit(1).alias("choice"))
+    fixed = apply_decisions(dealt, found, decisions, ["id"])[0]
+    text = plan(fixed)
+    assert not re.findall(r"Exchange hashpartitioning\([^)]*start", text)
+    assert "ENSURE_REQUIREMENTS" not in "".join(re.findall(r"\n[^\n]* Exchange [^\n]*", text))
+    rows = {r.id: r.text for r in fixed.collect()}
+    assert rows[None] == "teh nobody" and rows[20].startswith("the cat teha\n")
